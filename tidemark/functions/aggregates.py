@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 
 
-def minute_weighted_means(weight: Column) -> list[Column]:
+def minute_weighted_means(weight: str) -> list[Column]:
     """Means of the seven KPIs, one vote per minute the order was ongoing.
 
     ``sum(w*x) / sum(w where x is known)`` over orders equals the plain mean
@@ -18,25 +18,23 @@ def minute_weighted_means(weight: Column) -> list[Column]:
     of summation. A KPI without any value is NULL.
     """
 
-    def mean(source: str, unit: int) -> Column:
-        value = F.col(source).cast("double")
-        known = F.sum(F.when(value.isNotNull(), weight)).cast("double")
-        return F.sum(value * weight) / (known * F.lit(float(unit)))
+    def mean(source: str, unit: int, name: str) -> Column:
+        known = f"CAST(sum({weight}) FILTER (WHERE {source} IS NOT NULL) AS DOUBLE)"
+        total = f"sum(CAST({source} AS DOUBLE) * {weight})"
+        return F.expr(f"{total} / ({known} * {float(unit)!r}D) AS {name}")
 
-    times = [mean(d.micros, S.MICROS_PER_MINUTE).alias(f"avg_{d.name}") for d in S.DURATIONS]
-    costs = [mean(c, 1).alias(f"avg_{c}") for c in S.COSTS]
+    times = [mean(d.micros, S.MICROS_PER_MINUTE, f"avg_{d.name}") for d in S.DURATIONS]
+    costs = [mean(c, 1, f"avg_{c}") for c in S.COSTS]
     return times + costs
 
 
-def r_squared(y: str, x: str) -> Column:
-    """R² of the least-squares line y ~ x over the rows where both are known.
+def r_squared(y: str, x: str) -> str:
+    """SQL for R² of the least-squares line y ~ x over rows where both are known.
 
-    Fewer than one complete pair: NULL. Constant x: the line explains nothing,
-    0. Constant y: undefined, NULL.
+    No complete pair: NULL. Constant x: the line explains nothing, 0. Constant
+    y: undefined, NULL.
     """
-    return (
-        F.when(F.regr_count(y, x) == 0, F.lit(None).cast("double"))
-        .when(F.regr_sxx(y, x) == 0, F.lit(0.0))
-        .when(F.regr_syy(y, x) == 0, F.lit(None).cast("double"))
-        .otherwise(F.regr_r2(y, x))
-    )
+    return f"""CASE WHEN regr_count({y}, {x}) = 0 THEN NULL
+                    WHEN regr_sxx({y}, {x}) = 0 THEN 0.0D
+                    WHEN regr_syy({y}, {x}) = 0 THEN NULL
+                    ELSE regr_r2({y}, {x}) END"""

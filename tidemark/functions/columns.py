@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.config import StudyConfig
 
 
-def local_timestamp(text: Column) -> Column:
-    """Wall-clock timestamp of a ``Y-m-d H:M:S`` string; anything else is NULL."""
-    return F.when(text.rlike(r"\d:\d{1,2}:\d"), text.try_cast("timestamp_ntz"))
+def local_timestamp(text: str) -> str:
+    """SQL for the wall clock in a ``Y-m-d H:M:S`` string; anything else is NULL."""
+    return rf"CASE WHEN {text} RLIKE r'\d:\d{{1,2}}:\d' THEN try_cast({text} AS TIMESTAMP_NTZ) END"
 
 
-def second_of_day(ts: Column) -> Column:
-    """Whole seconds since midnight, fractions cut off."""
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-
-
-def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+def second_of_day(ts: str) -> str:
+    """SQL for whole seconds since midnight, fractions cut off."""
+    return f"hour({ts}) * 3600 + minute({ts}) * 60 + second({ts})"
 
 
 def finite_or_null(value: Column) -> Column:
@@ -60,8 +56,9 @@ def level_range_labels(cfg: StudyConfig) -> list[str]:
     return [*closed, f"{cfg.range_cap}+"]
 
 
-def level_range(level: Column, cfg: StudyConfig) -> Column:
-    """Label of the right-closed range holding ``level``; NULL when not positive."""
-    labels = F.array(*[F.lit(label) for label in level_range_labels(cfg)])
-    slot = F.least(F.ceil(level / cfg.range_width), F.lit(cfg.range_cap // cfg.range_width + 1))
-    return F.when(level > 0, F.element_at(labels, slot.cast("int")))
+def level_range(level: str, cfg: StudyConfig) -> str:
+    """SQL for the label of the right-closed range holding ``level``; NULL when not positive."""
+    labels = ", ".join(f"'{label}'" for label in level_range_labels(cfg))
+    last = cfg.range_cap // cfg.range_width + 1
+    slot = f"CAST(least(ceil({level} / {cfg.range_width}), {last}) AS INT)"
+    return f"CASE WHEN {level} > 0 THEN element_at(array({labels}), {slot}) END"

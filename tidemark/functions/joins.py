@@ -1,9 +1,8 @@
-"""Join helpers."""
+"""Join and reshape helpers."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,17 +14,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     ``<=>`` still plans as a hash or sort-merge join, so large inputs are
     shuffled on the keys and adaptive execution can split skewed partitions.
     """
-    renamed = right.select(
-        *[F.col(k).alias(f"__right_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
-    matches = reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__right_{k}"]) for k in keys]
-    )
-    return left.join(renamed, matches, how).drop(*[f"__right_{k}" for k in keys])
+    matches = F.expr(" AND ".join(f"l.`{k}` <=> r.`{k}`" for k in keys))
+    joined = left.alias("l").join(right.alias("r"), matches, how)
+    if how == "left_semi":
+        return joined
+    return joined.select("l.*", *[f"r.`{c}`" for c in right.columns if c not in keys])
 
 
-def to_long(df: DataFrame, ids: Sequence[str], concepts: Sequence[str], value: str, label: str = "concept") -> DataFrame:
+def to_long(
+    df: DataFrame, ids: Sequence[str], concepts: Sequence[str], value: str, label: str = "concept"
+) -> DataFrame:
     """Unpivot ``concepts`` into (label, value) rows, all values as doubles."""
-    typed = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in concepts])
+    typed = df.selectExpr(*ids, *[f"CAST({c} AS DOUBLE) AS {c}" for c in concepts])
     return typed.unpivot(list(ids), list(concepts), label, value)

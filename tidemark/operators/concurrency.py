@@ -13,30 +13,35 @@ order's minutes are differences of its running area.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.config import StudyConfig
 from tidemark.functions.joins import null_safe_join
 
+CELL_MINUTE = [*S.CELL, "minute"]
+CELL_HOUR = [*S.CELL, "hour"]
+
 
 def ongoing_intervals(orders: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Orders with at least one ongoing minute: [first_minute, end_minute)."""
-    first = F.greatest(F.lit(cfg.open_minute), F.ceil(F.col("dispatch_tod") / 60).cast("int"))
-    end = F.least(F.lit(cfg.close_minute), F.ceil(F.col("pickup_tod") / 60).cast("int"))
+    known = orders.where("dispatch_tod IS NOT NULL AND pickup_tod IS NOT NULL")
     return (
-        orders.where(F.col("dispatch_tod").isNotNull() & F.col("pickup_tod").isNotNull())
-        .withColumns({"first_minute": first, "end_minute": end})
-        .where(F.col("first_minute") < F.col("end_minute"))
-        .withColumn("minutes", F.col("end_minute") - F.col("first_minute"))
+        known.selectExpr(
+            "*",
+            f"greatest({cfg.open_minute}, CAST(ceil(dispatch_tod / 60) AS INT)) AS first_minute",
+            f"least({cfg.close_minute}, CAST(ceil(pickup_tod / 60) AS INT)) AS end_minute",
+        )
+        .where("first_minute < end_minute")
+        .withColumn("minutes", F.expr("end_minute - first_minute"))
     )
 
 
 def ongoing_minutes(intervals: DataFrame) -> DataFrame:
     """One row per order and ongoing minute."""
-    minutes = F.sequence(F.col("first_minute"), F.col("end_minute") - 1)
-    return intervals.withColumn("minute", F.explode(minutes)).drop("first_minute", "end_minute", "minutes")
+    unfolded = intervals.selectExpr("*", "explode(sequence(first_minute, end_minute - 1)) AS minute")
+    return unfolded.drop("first_minute", "end_minute", "minutes")
 
 
 def ongoing_minutes_on_grid(orders: DataFrame, working_grid: DataFrame) -> DataFrame:
@@ -45,39 +50,45 @@ def ongoing_minutes_on_grid(orders: DataFrame, working_grid: DataFrame) -> DataF
     Each order meets only the grid minutes of the hours it touches. The grid
     is broadcast: distinct minutes of a day are 1,440 rows at most.
     """
-    slots = working_grid.where(F.col("minute").between(0, 1439)).select("minute").distinct()
-    slots = slots.withColumn("slot", (F.col("minute") / 60).cast("int"))
-    timed = orders.where(F.col("dispatch_tod") < F.col("pickup_tod")).withColumn(
-        "slot",
-        F.explode(F.sequence((F.col("dispatch_tod") / 3600).cast("int"), (F.col("pickup_tod") / 3600).cast("int"))),
+    slots = working_grid.where("minute BETWEEN 0 AND 1439").select("minute").distinct()
+    slots = slots.selectExpr("minute", "minute DIV 60 AS slot")
+    timed = orders.where("dispatch_tod < pickup_tod").selectExpr(
+        "*", "explode(sequence(dispatch_tod DIV 3600, pickup_tod DIV 3600)) AS slot"
     )
-    at = F.col("minute") * 60
     return (
         timed.join(F.broadcast(slots), "slot")
-        .where((F.col("dispatch_tod") <= at) & (F.col("pickup_tod") > at))
+        .where("dispatch_tod <= minute * 60 AND pickup_tod > minute * 60")
         .drop("slot")
     )
 
 
-def hour_segments(intervals: DataFrame) -> DataFrame:
-    """Intervals cut at full hours; ``minutes`` and ``hour`` are the piece's own."""
-    hours = F.sequence((F.col("first_minute") / 60).cast("int"), ((F.col("end_minute") - 1) / 60).cast("int"))
-    cut = intervals.withColumn("hour", F.explode(hours)).withColumns(
-        {
-            "first_minute": F.greatest(F.col("first_minute"), F.col("hour") * 60),
-            "end_minute": F.least(F.col("end_minute"), (F.col("hour") + 1) * 60),
-        }
+def hour_segments(spans: DataFrame) -> DataFrame:
+    """[first_minute, end_minute) spans cut at full hours, with ``hour`` and ``minutes`` of each piece."""
+    kept = [c for c in spans.columns if c not in ("hour", "minutes", "first_minute", "end_minute")]
+    return (
+        spans.selectExpr(
+            *kept,
+            "first_minute",
+            "end_minute",
+            "explode(sequence(CAST(first_minute DIV 60 AS INT), CAST((end_minute - 1) DIV 60 AS INT))) AS hour",
+        )
+        .selectExpr(
+            *kept,
+            "hour",
+            "greatest(first_minute, hour * 60) AS first_minute",
+            "least(end_minute, (hour + 1) * 60) AS end_minute",
+        )
+        .withColumn("minutes", F.expr("end_minute - first_minute"))
     )
-    return cut.withColumn("minutes", F.col("end_minute") - F.col("first_minute"))
 
 
 def _events(intervals: DataFrame, *carried: str) -> DataFrame:
     """+1 where an order starts to be ongoing, -1 at the minute it no longer is."""
-    pair = F.array(
-        F.struct(F.col("first_minute").alias("minute"), F.lit(1).alias("step")),
-        F.struct(F.col("end_minute").alias("minute"), F.lit(-1).alias("step")),
+    return intervals.selectExpr(
+        *S.CELL,
+        *carried,
+        "inline(array(struct(first_minute AS minute, 1 AS step), struct(end_minute AS minute, -1 AS step)))",
     )
-    return intervals.select(*S.CELL, *carried, F.inline(pair))
 
 
 def concurrency_curve(intervals: DataFrame) -> DataFrame:
@@ -87,17 +98,36 @@ def concurrency_curve(intervals: DataFrame) -> DataFrame:
     collapse to at most one row per cell and minute on the map side, so each
     window partition is bounded by the minutes of a day however hot the store.
     """
-    steps = _events(intervals).groupBy(*S.CELL, "minute").agg(F.sum("step").alias("step"))
-    ordered = Window.partitionBy(*S.CELL).orderBy("minute")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = steps.select(
-        *S.CELL,
-        "minute",
-        F.lead("minute").over(ordered).alias("until"),
-        F.sum("step").over(so_far).alias("ongoing"),
-        F.sum(F.col("step") * F.col("minute")).over(so_far).alias("moment"),
+    steps = _events(intervals).groupBy(*CELL_MINUTE).agg(F.sum("step").alias("step"))
+    ordered = f"PARTITION BY {', '.join(S.CELL)} ORDER BY minute"
+    so_far = f"({ordered} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    running = steps.selectExpr(
+        *CELL_MINUTE,
+        f"lead(minute) OVER ({ordered}) AS until",
+        f"sum(step) OVER {so_far} AS ongoing",
+        f"sum(step * minute) OVER {so_far} AS moment",
+    )
+    return running.selectExpr(*CELL_MINUTE, "until", "ongoing", "minute * ongoing - moment AS area")
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    """Adds a never-NULL form of the order id.
+
+    Rows without an id form one order, as in any grouping. Grouping and joining
+    on the same two columns lets the join reuse the grouping's partitions.
+    """
+    return rows.selectExpr("*", f"coalesce({S.ORDER}, 0) AS known_id", f"{S.ORDER} IS NULL AS no_id")
+
+
+def _level_by_id(intervals: DataFrame) -> DataFrame:
+    marks = concurrency_curve(intervals).select(*CELL_MINUTE, "area")
+    ends = null_safe_join(_events(_identified(intervals), "known_id", "no_id"), marks, CELL_MINUTE)
+    totals = ends.groupBy("known_id", "no_id").agg(
+        F.expr("sum(-step * area) AS order_minutes"), F.expr("sum(-step * minute) AS minutes_ongoing")
+    )
+    return totals.selectExpr("*", "order_minutes / minutes_ongoing AS mean_ongoing").withColumn(
+        S.LEVEL, F.expr("CAST(rint(mean_ongoing) AS INT)")
     )
-    return running.withColumn("area", F.col("minute") * F.col("ongoing") - F.col("moment")).drop("moment")
 
 
 def order_levels(intervals: DataFrame) -> DataFrame:
@@ -107,25 +137,15 @@ def order_levels(intervals: DataFrame) -> DataFrame:
     area at its two ends only; the lookup is keyed by cell and minute, which
     spreads even a single busy store-day over many tasks.
     """
-    marks = concurrency_curve(intervals).select(*S.CELL, "minute", "area")
-    ends = null_safe_join(_events(intervals, S.ORDER), marks, [*S.CELL, "minute"])
-    totals = ends.groupBy(S.ORDER).agg(
-        F.sum(-F.col("step") * F.col("area")).alias("order_minutes"),
-        F.sum(-F.col("step") * F.col("minute")).alias("minutes"),
-    )
-    mean = F.col("order_minutes") / F.col("minutes")
-    return totals.select(
-        S.ORDER,
-        F.col("minutes").cast("bigint").alias("minutes_ongoing"),
-        mean.alias("mean_ongoing"),
-        F.rint(mean).cast("int").alias(S.LEVEL),
+    return _level_by_id(intervals).selectExpr(
+        f"CASE WHEN NOT no_id THEN known_id END AS {S.ORDER}", "minutes_ongoing", "mean_ongoing", S.LEVEL
     )
 
 
 def with_level(intervals: DataFrame) -> DataFrame:
     """Intervals with the level of their order."""
-    levels = order_levels(intervals).select(S.ORDER, S.LEVEL)
-    return null_safe_join(intervals, levels, [S.ORDER])
+    levels = _level_by_id(intervals).select("known_id", "no_id", S.LEVEL)
+    return _identified(intervals).join(levels, ["known_id", "no_id"]).drop("known_id", "no_id")
 
 
 def ongoing_concurrency(intervals: DataFrame) -> DataFrame:
@@ -135,19 +155,20 @@ def ongoing_concurrency(intervals: DataFrame) -> DataFrame:
     joined to hour pieces of the orders; minutes are unfolded after the join,
     so what is shuffled stays at order size.
     """
-    curve = concurrency_curve(intervals).where(F.col("ongoing") > 0)
-    per_minute = curve.select(
+    per_minute = (
+        concurrency_curve(intervals)
+        .where("ongoing > 0")
+        .selectExpr(*S.CELL, "ongoing", "explode(sequence(minute, until - 1)) AS minute")
+    )
+    packed = per_minute.groupBy(*S.CELL, F.expr("CAST(minute DIV 60 AS INT) AS hour")).agg(
+        F.expr("collect_list(struct(minute, ongoing)) AS curve")
+    )
+    pieces = hour_segments(intervals).select(S.ORDER, *CELL_HOUR, "first_minute", "end_minute")
+    return null_safe_join(pieces, packed, CELL_HOUR).selectExpr(
+        S.ORDER,
         *S.CELL,
-        F.explode(F.sequence(F.col("minute"), F.col("until") - 1)).alias("minute"),
-        F.col("ongoing"),
-    ).withColumn("hour", (F.col("minute") / 60).cast("int"))
-    packed = per_minute.groupBy(*S.CELL, "hour").agg(F.collect_list(F.struct("minute", "ongoing")).alias("curve"))
-    pieces = hour_segments(intervals).select(S.ORDER, *S.CELL, "hour", "first_minute", "end_minute")
-    joined = null_safe_join(pieces, packed, [*S.CELL, "hour"])
-    own = F.filter(
-        "curve", lambda at: (at["minute"] >= F.col("first_minute")) & (at["minute"] < F.col("end_minute"))
+        f"inline(filter(curve, at -> at.minute >= first_minute AND at.minute < end_minute)) AS (minute, {S.LEVEL})",
     )
-    return joined.select(S.ORDER, *S.CELL, F.inline(own)).withColumnRenamed("ongoing", S.LEVEL)
 
 
 def hourly_concurrency(intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,8 +177,7 @@ def hourly_concurrency(intervals: DataFrame, keys: list[str]) -> DataFrame:
     A minute with n ongoing orders counts n times, so the mean is the sum of
     squares over the sum of the curve; minutes without orders do not count.
     """
-    curve = concurrency_curve(intervals).where(F.col("ongoing") > 0)
-    pieces = hour_segments(curve.withColumnsRenamed({"minute": "first_minute", "until": "end_minute"}))
-    seen = F.col("ongoing") * F.col("minutes")
-    mean = F.sum(F.col("ongoing") * seen) / F.sum(seen)
-    return pieces.groupBy(*keys).agg(mean.alias("avg_ongoing_orders"))
+    curve = concurrency_curve(intervals).where("ongoing > 0")
+    pieces = hour_segments(curve.selectExpr(*S.CELL, "ongoing", "minute AS first_minute", "until AS end_minute"))
+    mean = "sum(ongoing * ongoing * minutes) / sum(ongoing * minutes)"
+    return pieces.groupBy(*keys).agg(F.expr(f"{mean} AS avg_ongoing_orders"))

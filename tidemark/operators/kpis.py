@@ -23,15 +23,13 @@ def outcome_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     shuffle is even; only partial counts meet at the group.
     """
     per_order = rows.groupBy(*keys, S.ORDER).agg(*[F.max(c).alias(c) for c in S.OUTCOMES])
-    known = F.col(S.ORDER).isNotNull()
-    return per_order.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(F.when(known, F.col(c))), F.lit(0)).cast("bigint").alias(c) for c in S.OUTCOMES]
-    )
+    counted = [f"coalesce(sum({c}) FILTER (WHERE {S.ORDER} IS NOT NULL), 0) AS {c}" for c in S.OUTCOMES]
+    return per_order.groupBy(*keys).agg(*map(F.expr, counted))
 
 
 def kpi_means(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The seven KPI means per ``keys``, weighted by column ``minutes``."""
-    return rows.groupBy(*keys).agg(*minute_weighted_means(F.col("minutes")))
+    return rows.groupBy(*keys).agg(*minute_weighted_means("minutes"))
 
 
 # --- store -----------------------------------------------------------------
@@ -50,11 +48,11 @@ def store_kpis_long(store_kpis: DataFrame) -> DataFrame:
 
 def store_wtp_totals(store_kpis: DataFrame) -> DataFrame:
     """Delivered orders of a store and their total and mean waiting time at pickup."""
-    return store_kpis.select(
+    return store_kpis.selectExpr(
         S.STORE,
-        F.col("delivered").alias("total_orders"),
-        (F.col("delivered") * F.col("avg_min_wtp")).alias("total_wtp"),
-        F.col("avg_min_wtp").alias("avg_wtp"),
+        "delivered AS total_orders",
+        "delivered * avg_min_wtp AS total_wtp",
+        "avg_min_wtp AS avg_wtp",
     )
 
 
@@ -64,7 +62,7 @@ def store_wtp_totals(store_kpis: DataFrame) -> DataFrame:
 def outcomes_by_date_hour(orders: DataFrame) -> DataFrame:
     """Outcome rows of all orders by activation date and hour (not distinct)."""
     return orders.groupBy(S.STORE, "date", "hour").agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in S.OUTCOMES]
+        *[F.expr(f"coalesce(sum({c}), 0) AS {c}") for c in S.OUTCOMES]
     )
 
 

@@ -8,28 +8,28 @@ from pyspark.sql import types as T
 
 from tidemark import schema as S
 from tidemark.config import StudyConfig
-from tidemark.functions.columns import local_timestamp, micros_between, second_of_day
+from tidemark.functions.columns import local_timestamp, second_of_day
 
 
 def parse_lifecycle(log: DataFrame) -> DataFrame:
     """The six lifecycle columns as TIMESTAMP_NTZ; unparseable text is NULL."""
-
-    def parsed(name: str):
-        kind = log.schema[name].dataType
-        if isinstance(kind, T.StringType):
-            return local_timestamp(F.col(name))
-        return F.col(name).cast("timestamp_ntz")
-
-    return log.withColumns({c: parsed(c) for c in S.LIFECYCLE})
+    parsed = {}
+    for field in log.schema.fields:
+        if field.name not in S.LIFECYCLE or isinstance(field.dataType, T.TimestampNTZType):
+            continue
+        is_text = isinstance(field.dataType, T.StringType)
+        parsed[field.name] = F.expr(
+            local_timestamp(field.name) if is_text else f"CAST({field.name} AS TIMESTAMP_NTZ)"
+        )
+    return log.withColumns(parsed) if parsed else log
 
 
 def status_flags(log: DataFrame, cfg: StudyConfig) -> DataFrame:
     """``delivered`` and ``cancels``: 1, or NULL for any other outcome."""
-    status = F.col("final_status")
     return log.withColumns(
         {
-            "delivered": F.when(status == cfg.delivered_status, 1),
-            "cancels": F.when(status == cfg.canceled_status, 1),
+            "delivered": F.when(F.col("final_status") == cfg.delivered_status, 1),
+            "cancels": F.when(F.col("final_status") == cfg.canceled_status, 1),
         }
     )
 
@@ -38,33 +38,34 @@ def clock_times(log: DataFrame) -> DataFrame:
     """Second of day at which the order reached the store and was picked up."""
     return log.withColumns(
         {
-            "dispatch_tod": second_of_day(F.col("partner_dispatch_time_local")),
-            "pickup_tod": second_of_day(F.col("pickup_time_local")),
+            "dispatch_tod": F.expr(second_of_day("partner_dispatch_time_local")),
+            "pickup_tod": F.expr(second_of_day("pickup_time_local")),
         }
     )
 
 
 def duration_micros(log: DataFrame) -> DataFrame:
     """The five durations in whole microseconds, possibly negative."""
-    return log.withColumns({d.micros: micros_between(F.col(d.start), F.col(d.end)) for d in S.DURATIONS})
+    return log.withColumns(
+        {d.micros: F.expr(f"timestampdiff(MICROSECOND, {d.start}, {d.end})") for d in S.DURATIONS}
+    )
 
 
 def duration_minutes(orders: DataFrame) -> DataFrame:
     """The five durations in fractional minutes."""
-    return orders.withColumns(
-        {d.name: F.col(d.micros) / F.lit(float(S.MICROS_PER_MINUTE)) for d in S.DURATIONS}
-    )
+    unit = f"{float(S.MICROS_PER_MINUTE)!r}D"
+    return orders.withColumns({d.name: F.expr(f"{d.micros} / {unit}") for d in S.DURATIONS})
 
 
 def order_facts(log: DataFrame, cfg: StudyConfig) -> DataFrame:
     """The narrow order table every later step reads."""
     typed = duration_micros(clock_times(status_flags(parse_lifecycle(log), cfg)))
-    return typed.select(
+    return typed.selectExpr(
         S.ORDER,
         S.STORE,
         S.NAME,
-        F.to_date("activation_time_local").alias("date"),
-        F.hour("activation_time_local").alias("hour"),
+        "to_date(activation_time_local) AS date",
+        "hour(activation_time_local) AS hour",
         "dispatch_tod",
         "pickup_tod",
         *S.OUTCOMES,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
@@ -22,9 +22,10 @@ def _widen(long: DataFrame, header: str, values: Sequence | None) -> DataFrame:
     fails the query instead of vanishing from the report.
     """
     if values is not None:
-        known = F.col(header).isin(list(values))
-        stray = F.concat(F.lit(f"{header} outside the report header: "), F.col(header).cast("string"))
-        long = long.withColumn(header, F.when(known | F.col(header).isNull(), F.col(header)).otherwise(F.raise_error(stray)))
+        known = ", ".join(repr(v) for v in values)
+        stray = f"raise_error(concat('{header} outside the report header: ', {header}))"
+        checked = f"CASE WHEN {header} IS NULL OR {header} IN ({known}) THEN {header} ELSE {stray} END"
+        long = long.withColumn(header, F.expr(checked))
     pivot = long.groupBy(*GROUP, "concept").pivot(header, list(values) if values is not None else None)
     return pivot.agg(F.first("value"))
 
@@ -37,7 +38,7 @@ def _with_store_columns(wide: DataFrame, kpis_long: DataFrame, r2_long: DataFram
     if r2_long is not None:
         out = null_safe_join(out, r2_long, [S.STORE, "concept"], how)
         lead = [*GROUP, "concept", "r2", "value"]
-    return out.select(*lead, *[F.col(f"`{h}`") for h in headers])
+    return out.select(*lead, *[f"`{h}`" for h in headers])
 
 
 def report_hour(by_hour: DataFrame, kpis_long: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -73,25 +74,20 @@ def kpis_by_level_range(by_level: DataFrame, cfg: StudyConfig) -> DataFrame:
     """
     strict = S.TIME_MEANS[:4]
 
-    def mean(c: str) -> Column:
-        if c in strict:
-            return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c)).alias(c)
-        return F.avg(c).alias(c)
+    def mean(c: str) -> str:
+        return f"CASE WHEN count({c}) = count(*) THEN avg({c}) END AS {c}" if c in strict else f"avg({c}) AS {c}"
 
-    ranged = by_level.withColumn("level_range", level_range(F.col(S.LEVEL), cfg))
-    return ranged.groupBy(*GROUP, "level_range").agg(
-        *[F.sum(c).alias(c) for c in S.OUTCOMES], *[mean(c) for c in S.KPI_MEANS]
-    )
+    ranged = by_level.withColumn("level_range", F.expr(level_range(S.LEVEL, cfg)))
+    measures = [f"sum({c}) AS {c}" for c in S.OUTCOMES] + [mean(c) for c in S.KPI_MEANS]
+    return ranged.groupBy(*GROUP, "level_range").agg(*map(F.expr, measures))
 
 
 def cumulative_by_range(ranges: DataFrame) -> DataFrame:
     """Adds delivered orders up to and including each range, and their share."""
-    group = Window.partitionBy(*GROUP)
-    so_far = group.orderBy("level_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    accum = F.sum("delivered").over(so_far)
-    return ranges.withColumns(
-        {"accum": accum, "perc": F.try_divide(accum, F.sum("delivered").over(group))}
-    )
+    group = f"PARTITION BY {', '.join(GROUP)}"
+    accum = f"sum(delivered) OVER ({group} ORDER BY level_range ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    total = f"sum(delivered) OVER ({group})"
+    return ranges.selectExpr("*", f"{accum} AS accum", f"try_divide({accum}, {total}) AS perc")
 
 
 def report_level_range(
@@ -107,8 +103,7 @@ def report_level_range(
 
 
 def _series(by_level: DataFrame, top: DataFrame, carried: list[str], concepts: list[str]) -> DataFrame:
-    keys = top.select(F.col(S.STORE).alias("__store"))
-    kept = by_level.join(keys, by_level[S.STORE].eqNullSafe(keys["__store"]), "left_semi")
+    kept = null_safe_join(by_level, top.select(S.STORE), [S.STORE], "left_semi")
     return to_long(kept, [*GROUP, S.LEVEL, *carried], concepts, "value", label="kpi")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.config import StudyConfig
+from tidemark.functions.joins import null_safe_join
 
 
 def store_order_counts(log: DataFrame) -> DataFrame:
@@ -28,12 +29,11 @@ def store_order_distribution(counts: DataFrame) -> DataFrame:
 def order_count_cutoff(counts: DataFrame, percentile: float) -> DataFrame:
     """One row with the exact, linearly interpolated percentile of ``orders``.
 
-    Runs over the distribution, not the stores: n distinct counts need at
-    least n(n+1)/2 orders, so the final task sees at most the square root of
-    twice the log's length.
+    The aggregate keeps one counter per distinct value, merged from partial
+    counters. n distinct order counts need at least n(n+1)/2 orders, so the
+    final state stays below the square root of twice the log's length.
     """
-    spread = store_order_distribution(counts)
-    return spread.agg(F.percentile("orders", F.lit(percentile), F.col("addresses")).alias("cutoff"))
+    return counts.agg(F.percentile("orders", F.lit(percentile)).alias("cutoff"))
 
 
 def stores_above_percentile(counts: DataFrame, percentile: float) -> DataFrame:
@@ -49,8 +49,7 @@ def top_n_stores(selected: DataFrame, n: int) -> DataFrame:
 
 def orders_of_stores(orders: DataFrame, stores: DataFrame) -> DataFrame:
     """Rows of ``orders`` whose store is in ``stores``; a NULL id matches NULL."""
-    keys = stores.select(F.col(S.STORE).alias("__store"))
-    return orders.join(keys, orders[S.STORE].eqNullSafe(keys["__store"]), "left_semi")
+    return null_safe_join(orders, stores.select(S.STORE), [S.STORE], "left_semi")
 
 
 def filter_orders(log: DataFrame, store_name: str | None = None, stores: Iterable[int] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
@@ -24,7 +24,7 @@ def kpi_r2(by_level: DataFrame, cfg: StudyConfig) -> DataFrame:
     source = {c: c for c in S.CONCEPTS}
     if cfg.compat_labels:
         source.update(avg_min_accept="avg_min_wtp", avg_min_prep_time="avg_min_wtp")
-    fits = [r_squared(source[c], S.LEVEL).alias(c) for c in S.CONCEPTS]
+    fits = [F.expr(f"{r_squared(source[c], S.LEVEL)} AS {c}") for c in S.CONCEPTS]
     return by_level.groupBy(S.STORE).agg(*fits)
 
 
@@ -35,22 +35,21 @@ def kpi_r2_long(r2: DataFrame) -> DataFrame:
 def _correlation_rows(rows: DataFrame, strict: bool) -> DataFrame:
     """All ordered column pairs as (var1, var2, corr), from one aggregate row."""
 
-    def coefficient(a: str, b: str) -> Column:
-        corr = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-        corr = F.when(~F.isnan(corr), corr)
-        if not strict:
-            return corr
-        complete = (F.count(a) == F.count(F.lit(1))) & (F.count(b) == F.count(F.lit(1)))
-        return F.when(complete, corr)
-
-    pairs = {(a, b): f"c{i}" for i, (a, b) in enumerate(combinations(CORRELATED, 2))}
-    matrix = rows.agg(*[coefficient(a, b).alias(name) for (a, b), name in pairs.items()])
-
-    def cell(a: str, b: str) -> Column:
-        value = F.lit(1.0) if a == b else F.col(pairs.get((a, b)) or pairs[(b, a)])
-        return F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), value.alias("corr"))
-
-    return matrix.select(F.inline(F.array(*[cell(a, b) for a in CORRELATED for b in CORRELATED])))
+    def coefficient(a: str, b: str):
+        usable = f"count({a}) = count(*) AND count({b}) = count(*)" if strict else "true"
+        corr = f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+        return F.expr(f"CASE WHEN {usable} THEN nanvl({corr}, NULL) END AS `{a}|{b}`")
+
+    pairs = [coefficient(a, b) for a, b in combinations(CORRELATED, 2)]
+    itself = [F.expr(f"max(1.0D) AS `{a}|{a}`") for a in CORRELATED]
+    matrix = rows.agg(*pairs, *itself)
+    half = matrix.unpivot([], [f"`{c}`" for c in matrix.columns], "pair", "corr")
+    return half.selectExpr(
+        "corr",
+        """inline(array_distinct(array(
+             struct(split_part(pair, '|', 1) AS var1, split_part(pair, '|', 2) AS var2),
+             struct(split_part(pair, '|', 2) AS var1, split_part(pair, '|', 1) AS var2))))""",
+    ).select("var1", "var2", "corr")
 
 
 def level_kpi_correlation(by_level: DataFrame) -> DataFrame:

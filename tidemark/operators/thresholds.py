@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
@@ -32,34 +32,29 @@ def level_thresholds(by_level: DataFrame, cfg: StudyConfig) -> DataFrame:
     Two rounds of window aggregates over one partitioning: the first finds
     peaks and lowest exceedances, the second the levels they point at.
     """
-    group = Window.partitionBy(*GROUP)
-    level = F.col(S.LEVEL).cast("double")
-    peaks = {"dispatch": "avg_min_dispatch", "accept": "avg_min_accept"}
+    over = f"OVER (PARTITION BY {', '.join(GROUP)})"
+    peaks = ["dispatch", "accept"]
     limits = {"wtp": cfg.wtp_limit, "prep_time": cfg.prep_limit}
-    first: dict[str, Column] = {"__levels": F.count(F.lit(1)).over(group)}
-    for suffix, kpi in peaks.items():
-        first[f"__peak_{suffix}"] = F.max(kpi).over(group)
-        first[f"__known_{suffix}"] = F.count(kpi).over(group)
-    for suffix, limit in limits.items():
-        exceeds = F.col(THRESHOLD_KPIS[suffix]) >= limit
-        first[f"__low_{suffix}"] = F.min(F.when(exceeds, level)).over(group)
-    marked = by_level.withColumns(first)
-
-    second: dict[str, Column] = {}
-    for suffix, kpi in peaks.items():
-        at_peak = F.max(F.when(F.col(kpi) == F.col(f"__peak_{suffix}"), level)).over(group)
-        gaps = F.col(f"__known_{suffix}") < F.col("__levels")
-        second[f"threshold_{suffix}"] = F.when(gaps, F.lit(float("-inf"))).otherwise(at_peak)
-    for suffix, limit in limits.items():
-        low = F.col(f"__low_{suffix}")
-        later = (F.col(THRESHOLD_KPIS[suffix]) >= limit) & (level > low)
-        runner_up = F.min(F.when(later, level)).over(group)
-        second[f"threshold_{suffix}"] = F.when(F.col("__levels") == 1, low).otherwise(runner_up)
-    return marked.withColumns(second).select(*by_level.columns, *[f"threshold_{s}" for s in THRESHOLD_KPIS])
-
 
-def _above(suffix: str) -> Column:
-    return F.col(S.LEVEL) > F.col(f"threshold_{suffix}")
+    first = [f"count(*) {over} AS n_levels"]
+    second = []
+    for suffix in peaks:
+        kpi = THRESHOLD_KPIS[suffix]
+        first += [f"max({kpi}) {over} AS peak_{suffix}", f"count({kpi}) {over} AS known_{suffix}"]
+        second.append(
+            f"""CASE WHEN known_{suffix} < n_levels THEN double('-Infinity')
+                     ELSE max(CASE WHEN {kpi} = peak_{suffix} THEN double({S.LEVEL}) END) {over}
+                END AS threshold_{suffix}"""
+        )
+    for suffix, limit in limits.items():
+        exceeds = f"{THRESHOLD_KPIS[suffix]} >= {float(limit)!r}D"
+        first.append(f"min(CASE WHEN {exceeds} THEN {S.LEVEL} END) {over} AS low_{suffix}")
+        second.append(
+            f"""double(CASE WHEN n_levels = 1 THEN low_{suffix}
+                  ELSE min(CASE WHEN {exceeds} AND {S.LEVEL} > low_{suffix} THEN {S.LEVEL} END) {over}
+                END) AS threshold_{suffix}"""
+        )
+    return by_level.selectExpr("*", *first).selectExpr(*by_level.columns, *second)
 
 
 def impact(thresholds: DataFrame, suffix: str) -> DataFrame:
@@ -68,12 +63,13 @@ def impact(thresholds: DataFrame, suffix: str) -> DataFrame:
     Groups without a level above the threshold have no row.
     """
     threshold = f"threshold_{suffix}"
-    lost = F.coalesce(F.sum("delivered"), F.lit(0))
-    weight = F.coalesce(F.sum(F.col("delivered") * F.col("avg_min_wtp")), F.lit(0.0))
     return (
-        thresholds.where(_above(suffix))
+        thresholds.where(f"{S.LEVEL} > {threshold}")
         .groupBy(*GROUP, threshold)
-        .agg(lost.alias(f"lost_orders_{suffix}"), weight.alias(f"wtp_impact_{suffix}"))
+        .agg(
+            F.expr(f"coalesce(sum(delivered), 0) AS lost_orders_{suffix}"),
+            F.expr(f"coalesce(sum(delivered * avg_min_wtp), 0.0D) AS wtp_impact_{suffix}"),
+        )
     )
 
 
@@ -84,25 +80,20 @@ def impacts(thresholds: DataFrame) -> DataFrame:
     """
     aggregates, rows = [], []
     for suffix, kpi in THRESHOLD_KPIS.items():
-        above = _above(suffix)
-        hit = F.max(F.when(above, F.col(f"threshold_{suffix}")))
-        lost = F.coalesce(F.sum(F.when(above, F.col("delivered"))), F.lit(0))
-        weight = F.sum(F.when(above, F.col("delivered") * F.col("avg_min_wtp")))
+        above = f"FILTER (WHERE {S.LEVEL} > threshold_{suffix})"
         aggregates += [
-            hit.alias(f"t_{suffix}"),
-            F.when(hit.isNotNull(), lost).alias(f"l_{suffix}"),
-            F.when(hit.isNotNull(), F.coalesce(weight, F.lit(0.0))).alias(f"w_{suffix}"),
+            f"max(threshold_{suffix}) {above} AS threshold_{suffix}",
+            f"sum(delivered) {above} AS lost_{suffix}",
+            f"sum(delivered * avg_min_wtp) {above} AS wtp_{suffix}",
         ]
+        hit = f"threshold_{suffix} IS NOT NULL"
         rows.append(
-            F.struct(
-                F.lit(kpi).alias("concept"),
-                F.col(f"t_{suffix}").alias("threshold"),
-                F.col(f"l_{suffix}").alias("lost_orders"),
-                F.col(f"w_{suffix}").alias("wtp_impact"),
-            )
+            f"""struct('{kpi}' AS concept, threshold_{suffix} AS threshold,
+                       CASE WHEN {hit} THEN coalesce(lost_{suffix}, 0) END AS lost_orders,
+                       CASE WHEN {hit} THEN coalesce(wtp_{suffix}, 0.0D) END AS wtp_impact)"""
         )
-    wide = thresholds.groupBy(*GROUP).agg(*aggregates)
-    return wide.select(*GROUP, F.inline(F.array(*rows)))
+    wide = thresholds.groupBy(*GROUP).agg(*map(F.expr, aggregates))
+    return wide.selectExpr(*GROUP, f"inline(array({', '.join(rows)}))")
 
 
 def assess(impacts: DataFrame, totals: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -112,41 +103,39 @@ def assess(impacts: DataFrame, totals: DataFrame, cfg: StudyConfig) -> DataFrame
     the real one. With nothing left it is the real one, or NULL if no waiting
     time remained to be spread.
     """
-    joined = null_safe_join(impacts, totals, [S.STORE], "left")
-    left_orders = F.col("total_orders") - F.col("lost_orders")
-    left_wtp = F.col("total_wtp") - F.col("wtp_impact")
-    remaining = F.when(left_orders != 0, F.try_divide(left_wtp, left_orders)).when(
-        left_wtp > 0, F.col("avg_wtp")
-    )
-    capped = F.when(remaining > F.col("avg_wtp"), F.col("avg_wtp")).otherwise(remaining)
-    lost = F.col("perc_lost")
-    suggestion = (
-        F.when(lost >= cfg.critical_share, "Critical")
-        .when((lost >= cfg.follow_up_share) & (lost < cfg.critical_share), "Follow-up")
-        .when((lost >= 0) & (lost < cfg.follow_up_share), "Decrease")
-        .when(F.col("threshold").isNull() & (F.col("avg_wtp") <= cfg.increase_wtp), "Increase")
-        .otherwise("Keep")
-    )
     rated = (
-        joined.withColumn("impact_wtp", capped)
-        .withColumn("perc_lost", F.try_divide(F.col("lost_orders"), F.col("total_orders")))
-        .withColumn("suggestion", suggestion)
+        null_safe_join(impacts, totals, [S.STORE], "left")
+        .selectExpr(
+            "*",
+            "try_divide(lost_orders, total_orders) AS perc_lost",
+            """CASE WHEN total_orders <> lost_orders
+                    THEN try_divide(total_wtp - wtp_impact, total_orders - lost_orders)
+                    WHEN total_wtp - wtp_impact > 0 THEN avg_wtp END AS remaining_wtp""",
+        )
+        .selectExpr(
+            "*",
+            "CASE WHEN remaining_wtp > avg_wtp THEN avg_wtp ELSE remaining_wtp END AS impact_wtp",
+            f"""CASE WHEN perc_lost >= {float(cfg.critical_share)!r}D THEN 'Critical'
+                     WHEN perc_lost >= {float(cfg.follow_up_share)!r}D THEN 'Follow-up'
+                     WHEN perc_lost >= 0 THEN 'Decrease'
+                     WHEN threshold IS NULL AND avg_wtp <= {float(cfg.increase_wtp)!r}D THEN 'Increase'
+                     ELSE 'Keep' END AS suggestion""",
+        )
     )
-    kept = F.col("suggestion") == "Keep"
     zeroed = ["threshold", "lost_orders", "perc_lost", "impact_wtp"]
-    return rated.withColumns({c: F.when(kept, 0.0).otherwise(F.col(c).cast("double")) for c in zeroed})
+    return rated.withColumns({c: F.expr(f"CASE WHEN suggestion = 'Keep' THEN 0.0D ELSE {c} END") for c in zeroed})
 
 
 def store_suggestions(impacts: DataFrame, totals: DataFrame, cfg: StudyConfig) -> DataFrame:
     """The suggestion report, decided on waiting time at pickup."""
-    waiting = impacts.where(F.col("concept") == "avg_min_wtp")
-    return assess(waiting, totals, cfg).select(
+    waiting = impacts.where("concept = 'avg_min_wtp'")
+    return assess(waiting, totals, cfg).selectExpr(
         S.STORE,
         S.NAME,
         "suggestion",
-        F.col("threshold").alias("suggested_threshold"),
-        F.col("lost_orders").alias("potential_lost_orders"),
+        "threshold AS suggested_threshold",
+        "lost_orders AS potential_lost_orders",
         "perc_lost",
         "impact_wtp",
-        F.col("avg_wtp").alias("real_wtp"),
+        "avg_wtp AS real_wtp",
     )

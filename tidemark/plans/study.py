@@ -13,23 +13,32 @@ from tidemark.staging import Staging
 
 
 class Study:
-    """Tables of a saturation study, each built when first asked for.
+    """Tables of a saturation study, each planned when first asked for.
 
     The log itself is read twice: once for store order counts (two columns),
-    once to write the narrow rows of the selected stores. Tables that several
-    reports share are staged, so every later step starts from a small input of
-    known size.
+    once for the narrow rows of the selected stores. A table that feeds more
+    than one step is staged first (:meth:`share`), so the work behind it is
+    done once and later steps start from an input of known size.
     """
 
     def __init__(self, log: DataFrame, cfg: StudyConfig | None = None):
         self.log = log
         self.cfg = cfg or StudyConfig()
         self.staging = Staging(log.sparkSession)
+        self._shared: set[str] = set()
+
+    def share(self, *tables: str) -> None:
+        """Stage the named tables before several others are built on them."""
+        for name in tables:
+            if name not in self._shared:
+                self.__dict__[name] = self.staging.table(getattr(self, name), name)
+                self._shared.add(name)
 
     # selection
 
     @cached_property
     def top_stores(self) -> DataFrame:
+        """Selected stores; staged so that their size is known to the semi join."""
         counts = selection.store_order_counts(self.log)
         return self.staging.table(selection.stores_above_percentile(counts, self.cfg.percentile), "top_stores")
 
@@ -45,21 +54,23 @@ class Study:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self.staging.table(lifecycle.order_facts(self.selected_log, self.cfg), "orders")
+        return lifecycle.order_facts(self.selected_log, self.cfg)
 
-    @cached_property
+    @property
     def intervals(self) -> DataFrame:
         return concurrency.ongoing_intervals(self.orders, self.cfg)
 
     @cached_property
     def levelled(self) -> DataFrame:
-        return self.staging.table(concurrency.with_level(self.intervals), "levelled")
+        self.share("orders")
+        return concurrency.with_level(self.intervals)
 
     # summaries
 
     @cached_property
     def store_kpis(self) -> DataFrame:
-        return self.staging.table(kpis.store_kpis(self.intervals), "store_kpis")
+        self.share("orders")
+        return kpis.store_kpis(self.intervals)
 
     @cached_property
     def store_kpis_long(self) -> DataFrame:
@@ -67,19 +78,23 @@ class Study:
 
     @cached_property
     def by_hour(self) -> DataFrame:
+        self.share("orders")
         return kpis.kpis_by_hour(self.orders, self.intervals)
 
     @cached_property
     def by_date_hour(self) -> DataFrame:
+        self.share("orders")
         return kpis.kpis_by_date_hour(self.orders, self.intervals)
 
     @cached_property
     def by_date_level(self) -> DataFrame:
+        self.share("levelled")
         return kpis.kpis_by_date_level(self.levelled)
 
     @cached_property
     def by_level(self) -> DataFrame:
-        return self.staging.table(kpis.kpis_by_level(self.levelled), "by_level")
+        self.share("levelled")
+        return kpis.kpis_by_level(self.levelled)
 
     @cached_property
     def r2(self) -> DataFrame:
@@ -105,10 +120,12 @@ class Study:
 
     @cached_property
     def report_level(self) -> DataFrame:
+        self.share("by_level")
         return reports.report_level(self.by_level, self.store_kpis_long, self.r2_long)
 
     @cached_property
     def report_level_range(self) -> DataFrame:
+        self.share("by_level")
         return reports.report_level_range(self.by_level, self.store_kpis_long, self.r2_long, self.cfg)
 
     @cached_property
@@ -118,6 +135,7 @@ class Study:
 
     def write_reports(self, folder: str, fmt: str = "parquet") -> list[str]:
         """Write the four published reports below ``folder``."""
+        self.share("by_level", "store_kpis")
         written = []
         for attribute, name in REPORT_NAMES.items():
             path = f"{folder.rstrip('/')}/{name}"

@@ -7,58 +7,53 @@ lunch rush by store class, and each nullable column has NULLs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.order_log import LOG_COLUMNS
 
 
-def order_log_from_orders(spark: SparkSession, orders: DataFrame) -> DataFrame:
+def _at(seconds: str, unless: str = "false") -> str:
+    """The day's timestamp at a second of day, NULL under a condition."""
+    return f"CASE WHEN NOT ({unless}) THEN timestampadd(SECOND, {seconds}, day) END"
+
+
+def order_log_from_orders(orders: DataFrame) -> DataFrame:
     first_day = orders.agg(F.min("o_orderdate").cast("timestamp_ntz")).scalar()
-    k = F.col("k")
-    act, store = F.col("act_s"), F.col("store")
-    base = orders.select(
-        F.col("o_orderkey").alias("k"),
-        F.col("o_orderstatus").alias("st"),
-        F.col("o_totalprice").alias("tp"),
-        F.floor(F.sqrt(F.col("o_custkey").cast("double"))).cast("bigint").alias("store"),
-        F.when(F.col("o_orderkey") % 2 == 0, 43200 + (F.col("o_orderkey") * 7919) % 10800)
-        .otherwise(21600 + (F.col("o_orderkey") * 7919) % 64800)
-        .alias("act_s"),
-    )
-    lunch = (act >= 43200) & (act < 54000)
-    rush = (
-        F.when((store % 4 == 0) | ~lunch, 0)
-        .when(store % 4 == 1, 600 + (k * 17) % 900)
-        .when(store % 4 == 2, 100 + (k * 17) % 900)
-        .otherwise((k * 17) % 900)
+    keyed = orders.select(
+        F.expr("o_orderkey AS k"),
+        F.expr("o_orderstatus AS st"),
+        F.expr("o_totalprice AS tp"),
+        F.expr("CAST(floor(sqrt(CAST(o_custkey AS DOUBLE))) AS BIGINT) AS store"),
+        F.expr("""CASE WHEN o_orderkey % 2 = 0 THEN 43200 + (o_orderkey * 7919) % 10800
+                  ELSE 21600 + (o_orderkey * 7919) % 64800 END AS activated"""),
+        (first_day + F.expr("make_dt_interval(CAST(o_orderkey % 5 AS INT))")).alias("day"),
     )
-    timed = (
-        base.withColumn("sent", act + 30 + (k * 13) % 240)
-        .withColumn("accepted", F.col("sent") + 15 + (k * 29) % 400)
-        .withColumn("arrived", F.col("accepted") + 120 + (k * 37) % 900)
-        .withColumn("picked", F.col("arrived") + (k * 31) % 600 + rush)
-        .withColumn("handed", F.col("picked") + 300 + (k * 41) % 1500)
-        .withColumn("day", first_day + F.make_dt_interval(days=(k % 5).cast("int")))
+    rush = """CASE WHEN store % 4 = 0 OR activated < 43200 OR activated >= 54000 THEN 0
+              WHEN store % 4 = 1 THEN 600 + (k * 17) % 900
+              WHEN store % 4 = 2 THEN 100 + (k * 17) % 900
+              ELSE (k * 17) % 900 END"""
+    timed = keyed.selectExpr(
+        "*",
+        "activated + 30 + (k * 13) % 240 AS sent",
+        "sent + 15 + (k * 29) % 400 AS accepted",
+        "accepted + 120 + (k * 37) % 900 AS arrived",
+        f"arrived + (k * 31) % 600 + {rush} AS picked",
+        "picked + 300 + (k * 41) % 1500 AS handed",
+        "st = 'P' AND k % 3 = 0 AS canceled",
+        "concat('STORE_', CAST(store AS STRING)) AS name",
     )
-    partial = F.col("st") == "P"
-    canceled = partial & (k % 3 == 0)
-
-    def at(seconds: str | Column) -> Column:
-        return F.timestamp_add("SECOND", F.col(seconds) if isinstance(seconds, str) else seconds, F.col("day"))
-
-    name = F.concat(F.lit("STORE_"), store.cast("string"))
-    return timed.select(
-        k.alias("order_id"),
-        store.alias("store_address_id"),
-        F.when(k % 97 == 0, F.concat(name, F.lit("_B"))).otherwise(name).alias("store_name"),
-        F.when(canceled, "CanceledStatus").otherwise("DeliveredStatus").alias("final_status"),
-        at("act_s").alias("activation_time_local"),
-        at("sent").alias("partner_dispatch_time_local"),
-        F.when(k % 23 != 0, at("accepted")).alias("partner_accepted_time_local"),
-        F.when(k % 11 != 0, at("arrived")).alias("enters_pickup_local"),
-        F.when(~(partial & (k % 6 == 0)), at("picked")).alias("pickup_time_local"),
-        F.when(~canceled, at("handed")).alias("delivery_time_local"),
-        F.when(k % 19 != 0, (200 + k % 300).cast("double") / 100).alias("cpo"),
-        (F.col("tp") / 100000 - 1).alias("cm0"),
+    return timed.selectExpr(
+        "k AS order_id",
+        "store AS store_address_id",
+        "CASE WHEN k % 97 = 0 THEN concat(name, '_B') ELSE name END AS store_name",
+        "CASE WHEN canceled THEN 'CanceledStatus' ELSE 'DeliveredStatus' END AS final_status",
+        f"{_at('activated')} AS activation_time_local",
+        f"{_at('sent')} AS partner_dispatch_time_local",
+        f"{_at('accepted', 'k % 23 = 0')} AS partner_accepted_time_local",
+        f"{_at('arrived', 'k % 11 = 0')} AS enters_pickup_local",
+        f"{_at('picked', 'canceled AND k % 6 = 0')} AS pickup_time_local",
+        f"{_at('handed', 'canceled')} AS delivery_time_local",
+        "CASE WHEN k % 19 <> 0 THEN CAST(200 + k % 300 AS DOUBLE) / 100 END AS cpo",
+        "tp / 100000 - 1 AS cm0",
     ).select(*LOG_COLUMNS)
