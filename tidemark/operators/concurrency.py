@@ -110,42 +110,32 @@ def concurrency_curve(intervals: DataFrame) -> DataFrame:
     return running.selectExpr(*CELL_MINUTE, "until", "ongoing", "minute * ongoing - moment AS area")
 
 
-def _identified(rows: DataFrame) -> DataFrame:
-    """Adds a never-NULL form of the order id.
+def order_levels(intervals: DataFrame) -> DataFrame:
+    """Level of each order: mean concurrency over its minutes, half to even.
 
-    Rows without an id form one order, as in any grouping. Grouping and joining
-    on the same two columns lets the join reuse the grouping's partitions.
+    Rows sharing an order id are one order, and so are rows without an id.
+    Each interval needs the curve's area at its two ends only; the lookup is
+    keyed by cell and minute, which spreads even a single busy store-day over
+    many tasks.
     """
-    return rows.selectExpr("*", f"coalesce({S.ORDER}, 0) AS known_id", f"{S.ORDER} IS NULL AS no_id")
-
-
-def _level_by_id(intervals: DataFrame) -> DataFrame:
     marks = concurrency_curve(intervals).select(*CELL_MINUTE, "area")
-    ends = null_safe_join(_events(_identified(intervals), "known_id", "no_id"), marks, CELL_MINUTE)
-    totals = ends.groupBy("known_id", "no_id").agg(
+    ends = null_safe_join(_events(intervals, S.ORDER), marks, CELL_MINUTE)
+    totals = ends.groupBy(S.ORDER).agg(
         F.expr("sum(-step * area) AS order_minutes"), F.expr("sum(-step * minute) AS minutes_ongoing")
     )
-    return totals.selectExpr("*", "order_minutes / minutes_ongoing AS mean_ongoing").withColumn(
-        S.LEVEL, F.expr("CAST(rint(mean_ongoing) AS INT)")
-    )
+    levels = totals.selectExpr(S.ORDER, "minutes_ongoing", "order_minutes / minutes_ongoing AS mean_ongoing")
+    return levels.withColumn(S.LEVEL, F.expr("CAST(rint(mean_ongoing) AS INT)"))
 
 
-def order_levels(intervals: DataFrame) -> DataFrame:
-    """Level of each order: mean concurrency over its minutes, half to even.
+def with_level(intervals: DataFrame) -> DataFrame:
+    """Intervals with the level of their order, reduced to what summaries read.
 
-    Rows sharing an order id are one order. Each interval needs the curve's
-    area at its two ends only; the lookup is keyed by cell and minute, which
-    spreads even a single busy store-day over many tasks.
+    Both join sides are plain shuffles on the order id, so adaptive execution
+    can split the partition of an id that is repeated on very many rows.
     """
-    return _level_by_id(intervals).selectExpr(
-        f"CASE WHEN NOT no_id THEN known_id END AS {S.ORDER}", "minutes_ongoing", "mean_ongoing", S.LEVEL
-    )
-
-
-def with_level(intervals: DataFrame) -> DataFrame:
-    """Intervals with the level of their order."""
-    levels = _level_by_id(intervals).select("known_id", "no_id", S.LEVEL)
-    return _identified(intervals).join(levels, ["known_id", "no_id"]).drop("known_id", "no_id")
+    levels = order_levels(intervals).select(S.ORDER, S.LEVEL)
+    kept = [S.ORDER, *S.CELL, *S.OUTCOMES, *[d.micros for d in S.DURATIONS], *S.COSTS, "minutes"]
+    return null_safe_join(intervals.select(*kept), levels, [S.ORDER])
 
 
 def ongoing_concurrency(intervals: DataFrame) -> DataFrame:

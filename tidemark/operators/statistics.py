@@ -33,12 +33,16 @@ def kpi_r2_long(r2: DataFrame) -> DataFrame:
 
 
 def _correlation_rows(rows: DataFrame, strict: bool) -> DataFrame:
-    """All ordered column pairs as (var1, var2, corr), from one aggregate row."""
+    """All ordered column pairs as (var1, var2, corr), from one aggregate row.
+
+    A constant column correlates with nothing; ``corr`` itself would fail on it.
+    """
 
     def coefficient(a: str, b: str):
         usable = f"count({a}) = count(*) AND count({b}) = count(*)" if strict else "true"
-        corr = f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
-        return F.expr(f"CASE WHEN {usable} THEN nanvl({corr}, NULL) END AS `{a}|{b}`")
+        spread = f"stddev_pop({a}) * stddev_pop({b})"
+        corr = f"try_divide(covar_pop(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), {spread})"
+        return F.expr(f"CASE WHEN {usable} THEN {corr} END AS `{a}|{b}`")
 
     pairs = [coefficient(a, b) for a, b in combinations(CORRELATED, 2)]
     itself = [F.expr(f"max(1.0D) AS `{a}|{a}`") for a in CORRELATED]
