@@ -1,0 +1,150 @@
+from __future__ import annotations
+
+import csv
+import os
+
+import pytest
+from builders import at, level_table, log_of, order
+from conftest import SF_DIR
+from pyspark.errors import PySparkException
+
+import __spark_entry__ as entry
+from tidemark import Study, StudyConfig
+from tidemark import schema as S
+from tidemark.operators import lifecycle, reports
+from tidemark.sinks.tables import REPORT_NAMES, write_report
+from tidemark.sources import order_log
+from tidemark.staging import Staging, shared_folder
+
+
+def write_csv(path, rows, quoting=csv.QUOTE_NONNUMERIC):
+    with open(path, "w", newline="") as out:
+        writer = csv.writer(out, quoting=quoting)
+        writer.writerow(order_log.LOG_COLUMNS)
+        writer.writerows(rows)
+
+
+def test_csv_log(spark, tmp_path):
+    stamp = "2020-06-01 10:00:00"
+    rows = [
+        [7, 'Burger "Best", Lima', 1, "DeliveredStatus", *[stamp] * 6, 1.5, -0.25],
+        [7, r"Tab\there", 2, "CanceledStatus", stamp, stamp, "", "", "", "", "", ""],
+        [8, "Ñandú # 1", 3, "Other", *["not a time"] * 6, 0, 0],
+    ]
+    write_csv(tmp_path / "log.csv", rows)
+    log = lifecycle.parse_lifecycle(order_log.read_order_log_csv(spark, str(tmp_path / "log.csv")))
+    got = {r[S.ORDER]: r for r in log.collect()}
+    assert [got[i][S.NAME] for i in (1, 2, 3)] == ['Burger "Best", Lima', "Tab\there", "Ñandú # 1"]
+    assert got[1]["pickup_time_local"] == at("06-01 10:00:00")
+    assert got[2]["pickup_time_local"] is None and got[2]["cpo"] is None
+    assert all(got[3][c] is None for c in S.LIFECYCLE)
+    assert (got[1]["cpo"], got[1]["cm0"]) == (1.5, -0.25)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    stamp = "2020-06-01 10:00:00"
+    values = dict(zip(order_log.LOG_COLUMNS, [7, "A", 1, "Other", *[stamp] * 6, 1.5, "n/a"]))
+    names = ["city", *reversed(order_log.LOG_COLUMNS)]
+    row = [{"city": "LIM", **values}[n] for n in names]
+    (tmp_path / "log.csv").write_text(",".join(names) + "\n" + ",".join(map(str, row)) + "\n")
+    log = order_log.read_order_log_csv(spark, str(tmp_path / "log.csv"))
+    assert log.columns == order_log.LOG_COLUMNS
+    got = log.collect()[0]
+    assert (got[S.STORE], got[S.ORDER], got["cpo"], got["cm0"]) == (7, 1, 1.5, None)
+    assert got["delivery_time_local"] == stamp
+
+
+def test_csv_and_table_give_the_same_levels(spark, tmp_path):
+    log = entry._log(spark, SF_DIR)
+    text = entry._as_csv_text(log).toPandas()
+    text.to_csv(tmp_path / "log.csv", index=False, quoting=csv.QUOTE_NONNUMERIC)
+    from_csv = Study(order_log.read_order_log_csv(spark, str(tmp_path / "log.csv")))
+    from_table = Study(log)
+    columns = [S.STORE, S.NAME, S.LEVEL, *S.OUTCOMES, "avg_min_wtp"]
+    a, b = from_csv.by_level.select(*columns), from_table.by_level.select(*columns)
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    assert b.count() > 0
+
+
+def test_parquet_log(spark, tmp_path):
+    rows = [order(1, "06-01 10:00:00", "06-01 10:03:00", cm0=float("nan"))]
+    log_of(spark, rows).write.parquet(str(tmp_path / "log"))
+    got = order_log.read_order_log(spark, str(tmp_path / "log")).collect()
+    assert got[0]["cm0"] is None and got[0]["cpo"] == 1.0
+
+
+def test_grid_file_equals_generated_grid(spark, tmp_path):
+    lines = ["hourmin", *[f"{m // 60}:{m % 60:02d}:00" for m in range(1440)]]
+    (tmp_path / "grid.csv").write_bytes("\r\n".join(lines).encode() + b"\r\n")
+    from_file = order_log.read_minute_grid_csv(spark, str(tmp_path / "grid.csv"))
+    generated = order_log.minute_grid(spark)
+    assert sorted(map(tuple, from_file.collect())) == sorted(map(tuple, generated.collect()))
+    assert order_log.working_minutes(from_file, 7, 21).count() == 840
+
+
+def test_reports_are_replaced(spark, tmp_path):
+    for low, high in ((0, 5), (0, 3)):
+        write_report(spark.range(low, high), path=str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 3
+    write_report(spark.range(2), path=str(tmp_path / "c"), fmt="csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["id"]
+    with pytest.raises(ValueError):
+        write_report(spark.range(2))
+
+
+def test_study_writes_four_reports_and_cleans_up(spark, tmp_path):
+    study = Study(entry._log(spark, SF_DIR), StudyConfig(percentile=0.5))
+    study.write_reports(str(tmp_path))
+    root = study.staging.root.removeprefix("file://")
+    assert os.path.isdir(root)
+    study.close()
+    assert not os.path.exists(root)
+    columns = {n: spark.read.parquet(str(tmp_path / n)).columns for n in REPORT_NAMES.values()}
+    ids = [S.STORE, S.NAME]
+    assert columns["InfoHour"] == [*ids, "concept", "value", *map(str, range(7, 21))]
+    assert columns["InfoOO"][:5] == [*ids, "concept", "r2", "value"]
+    assert columns["InfoOO"][5:] == sorted(columns["InfoOO"][5:], key=int)
+    assert columns["InfoGroup"][5] == "01--05" and columns["InfoGroup"][-1] == "50+"
+    assert columns["Impacts"] == [
+        *ids,
+        "suggestion",
+        "suggested_threshold",
+        "potential_lost_orders",
+        "perc_lost",
+        "impact_wtp",
+        "real_wtp",
+    ]
+
+
+def test_cancels_in_range_report_on_request(spark):
+    study = Study(entry._log(spark, SF_DIR), StudyConfig(include_cancels=True))
+    concepts = {r[0] for r in study.report_level_range.select("concept").distinct().collect()}
+    assert concepts == {*S.OUTCOMES, "accum", "perc", *S.KPI_MEANS}
+
+
+def test_level_outside_the_header_fails(spark):
+    table = level_table(spark, [("A", 1, 1, 1.0, 1.0), ("A", 9, 1, 1.0, 1.0)])
+    long = reports.to_long(table, [S.STORE, S.NAME, S.LEVEL], ["delivered"], "value")
+    assert reports._widen(long, S.LEVEL, None).columns[-2:] == ["1", "9"]
+    with pytest.raises(PySparkException, match="outside the report header"):
+        reports._widen(long, S.LEVEL, [1, 2]).collect()
+
+
+def test_shared_folder_is_the_configured_one(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
+    if configured:
+        assert folder == configured.rstrip("/")
+    staging = Staging(spark)
+    assert staging.table(spark.range(3), "t").count() == 3
+    assert staging.root.startswith(folder if configured else "file:///")
+    staging.drop()
+
+
+def test_name_and_store_filters(spark):
+    from tidemark.operators.selection import filter_orders
+
+    log = log_of(spark, [order(i, "06-01 10:00:00", None, store=i, name="AB"[i % 2]) for i in range(4)])
+    assert sorted(r[S.ORDER] for r in filter_orders(log, store_name="B").collect()) == [1, 3]
+    assert sorted(r[S.ORDER] for r in filter_orders(log, stores=[2, 3]).collect()) == [2, 3]
+    assert filter_orders(log).count() == 4

@@ -15,12 +15,14 @@ LOG_COLUMNS = S.ORDER_LOG_CSV.fieldNames()
 def read_order_log_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Headered, comma-separated log; quotes are doubled inside quoted fields.
 
-    Timestamps stay strings for :func:`tidemark.operators.lifecycle.parse_lifecycle`.
-    ``multi_line`` accepts line breaks inside quotes but makes files unsplittable.
+    Columns are found by their header, in any order; others are ignored. Every
+    file must carry the same header. Types are declared, not inferred: a blank
+    or malformed number is NULL, and timestamps stay text for
+    :func:`tidemark.operators.lifecycle.parse_lifecycle`. ``multi_line`` accepts
+    line breaks inside quotes but makes files unsplittable.
     """
     raw = (
-        spark.read.schema(S.ORDER_LOG_CSV)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -28,8 +30,13 @@ def read_order_log_csv(spark: SparkSession, path: str, multi_line: bool = False)
         .option("multiLine", multi_line)
         .csv(path)
     )
-    strings = [S.NAME, "final_status", *S.LIFECYCLE]
-    return normalise(raw.withColumns({c: unescape(F.col(c)) for c in strings}))
+    typed = [
+        unescape(F.col(f.name)).alias(f.name)
+        if isinstance(f.dataType, T.StringType)
+        else F.col(f.name).try_cast(f.dataType).alias(f.name)
+        for f in S.ORDER_LOG_CSV.fields
+    ]
+    return normalise(raw.select(*typed))
 
 
 def read_order_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
