@@ -356,8 +356,8 @@ def study_sql(p: float) -> dict[str, str]:
         "report_hour": _sql(p, _pivoted(hour_long, "hour", hours, "k.value AS value", value_join), ["value", *map(str, hours)]),
         "report_level": _sql(p, _pivoted(level_long, "ongoing_orders", levels, "r.r2 AS r2, k.value AS value", f"{value_join} {r2_join}"),
                              ["value", *map(str, levels)], ["r2"]),
-        "report_level_long": _sql(p, f"""SELECT w.store_address_id, w.store_name, w.concept, r.r2, k.value, w.ongoing_orders, w.level_value
-  FROM ({_long("tableords", f"{by}, ongoing_orders", CONCEPTS, "level_value")}) w {value_join} {r2_join}""", ["value", "level_value"], ["r2"]),
+        "report_level_long": _sql(p, f"""SELECT w.store_address_id, w.store_name, w.concept, r.r2, k.value, w.ongoing_orders, w.cell
+  FROM ({_long("tableords", f"{by}, ongoing_orders", CONCEPTS, "cell")}) w {value_join} {r2_join}""", ["value", "cell"], ["r2"]),
         "level_range": _sql(p, f"SELECT {by}, ongoing_orders, level_range FROM ranged"),
         "kpis_by_level_range": _sql(p, f"SELECT {by}, level_range, {concepts} FROM rollup_range", MEANS),
         "cumulative_by_range": _sql(p, f"SELECT {by}, level_range, delivered, accum, perc FROM cumul", ["perc"]),

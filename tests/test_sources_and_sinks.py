@@ -124,7 +124,7 @@ def test_cancels_in_range_report_on_request(spark):
 
 def test_level_outside_the_header_fails(spark):
     table = level_table(spark, [("A", 1, 1, 1.0, 1.0), ("A", 9, 1, 1.0, 1.0)])
-    long = reports.to_long(table, [S.STORE, S.NAME, S.LEVEL], ["delivered"], "value")
+    long = reports.to_long(table, [S.STORE, S.NAME, S.LEVEL], ["delivered"], "cell")
     assert reports._widen(long, S.LEVEL, None).columns[-2:] == ["1", "9"]
     with pytest.raises(PySparkException, match="outside the report header"):
         reports._widen(long, S.LEVEL, [1, 2]).collect()
@@ -148,3 +148,13 @@ def test_name_and_store_filters(spark):
     assert sorted(r[S.ORDER] for r in filter_orders(log, store_name="B").collect()) == [1, 3]
     assert sorted(r[S.ORDER] for r in filter_orders(log, stores=[2, 3]).collect()) == [2, 3]
     assert filter_orders(log).count() == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    entry._log(spark, SF_DIR).write.parquet(str(tmp_path / "log"))
+    main(["--log", str(tmp_path / "log"), "--log-format", "parquet", "--out", str(tmp_path / "out"), "--out-format", "csv"])
+    assert len(capsys.readouterr().out.split()) == 4
+    impacts = spark.read.option("header", True).csv(str(tmp_path / "out" / "Impacts"))
+    assert impacts.count() > 0

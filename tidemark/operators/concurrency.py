@@ -116,12 +116,13 @@ def order_levels(intervals: DataFrame) -> DataFrame:
     Rows sharing an order id are one order, and so are rows without an id.
     Each interval needs the curve's area at its two ends only; the lookup is
     keyed by cell and minute, which spreads even a single busy store-day over
-    many tasks.
+    many tasks. Areas are whole numbers summed as doubles: exact up to 2**53
+    and safe from overflow when an id is repeated on very many rows.
     """
     marks = concurrency_curve(intervals).select(*CELL_MINUTE, "area")
     ends = null_safe_join(_events(intervals, S.ORDER), marks, CELL_MINUTE)
     totals = ends.groupBy(S.ORDER).agg(
-        F.expr("sum(-step * area) AS order_minutes"), F.expr("sum(-step * minute) AS minutes_ongoing")
+        F.expr("sum(-step * CAST(area AS DOUBLE)) AS order_minutes"), F.expr("sum(-step * minute) AS minutes_ongoing")
     )
     levels = totals.selectExpr(S.ORDER, "minutes_ongoing", "order_minutes / minutes_ongoing AS mean_ongoing")
     return levels.withColumn(S.LEVEL, F.expr("CAST(rint(mean_ongoing) AS INT)"))
@@ -169,5 +170,5 @@ def hourly_concurrency(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """
     curve = concurrency_curve(intervals).where("ongoing > 0")
     pieces = hour_segments(curve.selectExpr(*S.CELL, "ongoing", "minute AS first_minute", "until AS end_minute"))
-    mean = "sum(ongoing * ongoing * minutes) / sum(ongoing * minutes)"
+    mean = "sum(CAST(ongoing AS DOUBLE) * ongoing * minutes) / sum(ongoing * minutes)"
     return pieces.groupBy(*keys).agg(F.expr(f"{mean} AS avg_ongoing_orders"))

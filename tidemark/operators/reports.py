@@ -15,30 +15,28 @@ from tidemark.functions.joins import null_safe_join, to_long
 GROUP = [S.STORE, S.NAME]
 
 
+def _beside_store(long: DataFrame, kpis_long: DataFrame, r2_long: DataFrame | None, how: str) -> DataFrame:
+    """Adds the store-wide ``value`` of each concept and, if given, its ``r2``."""
+    out = null_safe_join(long, kpis_long, [S.STORE, "concept"], how)
+    return out if r2_long is None else null_safe_join(out, r2_long, [S.STORE, "concept"], how)
+
+
 def _widen(long: DataFrame, header: str, values: Sequence | None) -> DataFrame:
-    """Values of ``header`` become columns, one row per (store, name, concept).
+    """Cells of ``header`` become columns behind the remaining, row-identifying ones.
 
     With ``values`` given no extra job looks them up; a row outside the list
-    fails the query instead of vanishing from the report.
+    fails the query instead of vanishing from the report. Store-wide columns
+    are joined before this, as nothing cheap can be done with thousands of
+    level columns afterwards.
     """
     if values is not None:
         known = ", ".join(repr(v) for v in values)
         stray = f"raise_error(concat('{header} outside the report header: ', {header}))"
         checked = f"CASE WHEN {header} IS NULL OR {header} IN ({known}) THEN {header} ELSE {stray} END"
         long = long.withColumn(header, F.expr(checked))
-    pivot = long.groupBy(*GROUP, "concept").pivot(header, list(values) if values is not None else None)
-    return pivot.agg(F.first("value"))
-
-
-def _with_store_columns(wide: DataFrame, kpis_long: DataFrame, r2_long: DataFrame | None, how: str) -> DataFrame:
-    """Adds the store-wide ``value`` and, if given, ``r2`` in front of the headers."""
-    headers = [c for c in wide.columns if c not in (*GROUP, "concept")]
-    out = null_safe_join(wide, kpis_long, [S.STORE, "concept"], how)
-    lead = [*GROUP, "concept", "value"]
-    if r2_long is not None:
-        out = null_safe_join(out, r2_long, [S.STORE, "concept"], how)
-        lead = [*GROUP, "concept", "r2", "value"]
-    return out.select(*lead, *[f"`{h}`" for h in headers])
+    lead = [c for c in (*GROUP, "concept", "r2", "value") if c in long.columns]
+    pivot = long.groupBy(*lead).pivot(header, list(values) if values is not None else None)
+    return pivot.agg(F.first("cell"))
 
 
 def report_hour(by_hour: DataFrame, kpis_long: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -46,24 +44,23 @@ def report_hour(by_hour: DataFrame, kpis_long: DataFrame, cfg: StudyConfig) -> D
 
     The mean number of ongoing orders has no store-wide value and drops out.
     """
-    long = to_long(by_hour, [*GROUP, "hour"], S.CONCEPTS, "value")
-    return _with_store_columns(_widen(long, "hour", cfg.hours), kpis_long, None, "inner")
+    long = to_long(by_hour, [*GROUP, "hour"], S.CONCEPTS, "cell")
+    return _widen(_beside_store(long, kpis_long, None, "inner"), "hour", cfg.hours)
 
 
 def report_level_long(by_level: DataFrame, kpis_long: DataFrame, r2_long: DataFrame) -> DataFrame:
     """The level report before its levels become columns."""
-    long = to_long(by_level, [*GROUP, S.LEVEL], S.CONCEPTS, "level_value")
-    out = null_safe_join(long, kpis_long, [S.STORE, "concept"])
-    out = null_safe_join(out, r2_long, [S.STORE, "concept"])
-    return out.select(*GROUP, "concept", "r2", "value", S.LEVEL, "level_value")
+    long = to_long(by_level, [*GROUP, S.LEVEL], S.CONCEPTS, "cell")
+    return _beside_store(long, kpis_long, r2_long, "inner").select(
+        *GROUP, "concept", "r2", "value", S.LEVEL, "cell"
+    )
 
 
 def report_level(
     by_level: DataFrame, kpis_long: DataFrame, r2_long: DataFrame, levels: Sequence[int] | None = None
 ) -> DataFrame:
     """InfoOO: every KPI by level. Without ``levels`` the data decides the columns."""
-    long = to_long(by_level, [*GROUP, S.LEVEL], S.CONCEPTS, "value")
-    return _with_store_columns(_widen(long, S.LEVEL, levels), kpis_long, r2_long, "inner")
+    return _widen(report_level_long(by_level, kpis_long, r2_long), S.LEVEL, levels)
 
 
 def kpis_by_level_range(by_level: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -97,9 +94,8 @@ def report_level_range(
     outcomes = S.OUTCOMES if cfg.include_cancels else ["delivered"]
     concepts = [*outcomes, "accum", "perc", *S.KPI_MEANS]
     cumulative = cumulative_by_range(kpis_by_level_range(by_level, cfg))
-    long = to_long(cumulative, [*GROUP, "level_range"], concepts, "value")
-    wide = _widen(long, "level_range", level_range_labels(cfg))
-    return _with_store_columns(wide, kpis_long, r2_long, "left")
+    long = to_long(cumulative, [*GROUP, "level_range"], concepts, "cell")
+    return _widen(_beside_store(long, kpis_long, r2_long, "left"), "level_range", level_range_labels(cfg))
 
 
 def _series(by_level: DataFrame, top: DataFrame, carried: list[str], concepts: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from tidemark import schema as S
 from tidemark.config import StudyConfig
 from tidemark.operators import concurrency, kpis, lifecycle, reports, selection, statistics, thresholds
 from tidemark.sinks.tables import REPORT_NAMES, write_report
@@ -139,7 +140,9 @@ class Study:
         written = []
         for attribute, name in REPORT_NAMES.items():
             path = f"{folder.rstrip('/')}/{name}"
-            write_report(getattr(self, attribute), path=path, fmt=fmt)
+            report = getattr(self, attribute)
+            order = [c for c in (S.STORE, S.NAME, "concept") if c in report.columns]
+            write_report(report.orderBy(*order), path=path, fmt=fmt)
             written.append(path)
         return written
 

@@ -13,6 +13,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **setting
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # hash instead of sort where every partition of a join side is small
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
     )
