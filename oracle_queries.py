@@ -84,7 +84,7 @@ def _threshold_ctes() -> dict[str, str]:
   SELECT store_address_id, store_name, threshold_{suffix},
          CAST(coalesce(sum(delivered), 0) AS BIGINT) AS lost_orders_{suffix},
          coalesce(sum(delivered * avg_min_wtp), 0.0) AS wtp_impact_{suffix}
-  FROM threords WHERE ongoing_orders > threshold_{suffix}
+  FROM with_threshold WHERE ongoing_orders > threshold_{suffix}
   GROUP BY store_address_id, store_name, threshold_{suffix}"""
     return out
 
@@ -116,51 +116,51 @@ def _ctes(percentile: float) -> dict[str, str]:
     date_diff('microsecond', partner_accepted_time_local, pickup_time_local) AS us_prep_time,
     date_diff('microsecond', activation_time_local, delivery_time_local) AS us_dt
   FROM log""",
-        "satstor": "SELECT * FROM facts WHERE store_address_id IN (SELECT store_address_id FROM top)",
+        "selected": "SELECT * FROM facts WHERE store_address_id IN (SELECT store_address_id FROM top)",
         "day_grid": "SELECT CAST(range AS INTEGER) AS minute FROM range(0, 1440)",
         "grid": "SELECT minute FROM day_grid WHERE minute >= 420 AND minute < 1260",
-        "detail": """
-  SELECT satstor.*, grid.minute, CAST(floor(grid.minute / 60) AS INTEGER) AS hour
-  FROM satstor JOIN grid ON dispatch_tod <= grid.minute * 60 AND pickup_tod > grid.minute * 60""",
+        "minute_rows": """
+  SELECT selected.*, grid.minute, CAST(floor(grid.minute / 60) AS INTEGER) AS hour
+  FROM selected JOIN grid ON dispatch_tod <= grid.minute * 60 AND pickup_tod > grid.minute * 60""",
         "conc": """
-  SELECT *, count(*) OVER (PARTITION BY store_address_id, store_name, date, minute) AS ongoing FROM detail""",
+  SELECT *, count(*) OVER (PARTITION BY store_address_id, store_name, date, minute) AS ongoing FROM minute_rows""",
         "lvl": """
   SELECT *, CAST(round_even(avg(ongoing) OVER (PARTITION BY order_id), 0) AS INTEGER) AS ongoing_orders FROM conc""",
-        "kpistore": f"SELECT store_address_id, {OUTCOMES}, {KPI_MEANS} FROM detail GROUP BY store_address_id",
-        "kpilong": _long("kpistore", "store_address_id", CONCEPTS, "value"),
-        "totalsto": """SELECT store_address_id, delivered AS total_orders, delivered * avg_min_wtp AS total_wtp,
-    avg_min_wtp AS avg_wtp FROM kpistore""",
-        "decahoda": """SELECT store_address_id, date, act_hour AS hour, CAST(coalesce(sum(delivered), 0) AS BIGINT) AS delivered,
-    CAST(coalesce(sum(cancels), 0) AS BIGINT) AS cancels FROM satstor GROUP BY store_address_id, date, act_hour""",
-        "decaorda": f"""SELECT store_address_id, date, ongoing_orders, {OUTCOMES} FROM lvl
+        "store_kpi": f"SELECT store_address_id, {OUTCOMES}, {KPI_MEANS} FROM minute_rows GROUP BY store_address_id",
+        "store_kpi_long": _long("store_kpi", "store_address_id", CONCEPTS, "value"),
+        "store_total": """SELECT store_address_id, delivered AS total_orders, delivered * avg_min_wtp AS total_wtp,
+    avg_min_wtp AS avg_wtp FROM store_kpi""",
+        "outcome_date_hour": """SELECT store_address_id, date, act_hour AS hour, CAST(coalesce(sum(delivered), 0) AS BIGINT) AS delivered,
+    CAST(coalesce(sum(cancels), 0) AS BIGINT) AS cancels FROM selected GROUP BY store_address_id, date, act_hour""",
+        "outcome_date_level": f"""SELECT store_address_id, date, ongoing_orders, {OUTCOMES} FROM lvl
     GROUP BY store_address_id, date, ongoing_orders""",
-        "decahoho": f"SELECT store_address_id, act_hour AS hour, {OUTCOMES} FROM satstor GROUP BY store_address_id, act_hour",
-        "decaorho": f"SELECT store_address_id, ongoing_orders, {OUTCOMES} FROM lvl GROUP BY store_address_id, ongoing_orders",
-        "tablehoda": f"""
+        "outcome_hour": f"SELECT store_address_id, act_hour AS hour, {OUTCOMES} FROM selected GROUP BY store_address_id, act_hour",
+        "outcome_level": f"SELECT store_address_id, ongoing_orders, {OUTCOMES} FROM lvl GROUP BY store_address_id, ongoing_orders",
+        "kpi_date_hour": f"""
   SELECT a.*, d.delivered, d.cancels FROM (
     SELECT {by}, date, hour, avg(ongoing) AS avg_ongoing_orders, {KPI_MEANS} FROM conc GROUP BY {by}, date, hour) a
-  LEFT JOIN decahoda d ON d.store_address_id = a.store_address_id AND d.date = a.date AND d.hour = a.hour""",
-        "tableorda": f"""
+  LEFT JOIN outcome_date_hour d ON d.store_address_id = a.store_address_id AND d.date = a.date AND d.hour = a.hour""",
+        "kpi_date_level": f"""
   SELECT a.*, d.delivered, d.cancels FROM (
     SELECT {by}, date, ongoing_orders, {KPI_MEANS} FROM lvl GROUP BY {by}, date, ongoing_orders) a
-  LEFT JOIN decaorda d ON d.store_address_id = a.store_address_id AND d.date = a.date
+  LEFT JOIN outcome_date_level d ON d.store_address_id = a.store_address_id AND d.date = a.date
     AND d.ongoing_orders = a.ongoing_orders""",
         "conc_hour": f"SELECT *, avg(ongoing) OVER (PARTITION BY {by}, date, hour) AS hour_mean FROM conc",
-        "tablehour": f"""
+        "kpi_hour": f"""
   SELECT a.*, d.delivered, d.cancels FROM (
     SELECT {by}, hour, avg(hour_mean) AS avg_ongoing_orders, {KPI_MEANS} FROM conc_hour GROUP BY {by}, hour) a
-  LEFT JOIN decahoho d ON d.store_address_id = a.store_address_id AND d.hour = a.hour""",
-        "tableords": f"""
+  LEFT JOIN outcome_hour d ON d.store_address_id = a.store_address_id AND d.hour = a.hour""",
+        "kpi_level": f"""
   SELECT a.*, d.delivered, d.cancels FROM (
     SELECT {by}, ongoing_orders, {KPI_MEANS} FROM lvl GROUP BY {by}, ongoing_orders) a
-  LEFT JOIN decaorho d ON d.store_address_id = a.store_address_id AND d.ongoing_orders = a.ongoing_orders""",
-        "r2": f"SELECT store_address_id, {', '.join(_r2(c, c) for c in CONCEPTS)} FROM tableords GROUP BY store_address_id",
-        "r2long": _long("r2", "store_address_id", CONCEPTS, "r2"),
+  LEFT JOIN outcome_level d ON d.store_address_id = a.store_address_id AND d.ongoing_orders = a.ongoing_orders""",
+        "r2": f"SELECT store_address_id, {', '.join(_r2(c, c) for c in CONCEPTS)} FROM kpi_level GROUP BY store_address_id",
+        "r2_rows": _long("r2", "store_address_id", CONCEPTS, "r2"),
         "marks": f"""
   SELECT *, max(avg_min_dispatch) OVER g AS top_dispatch, max(avg_min_accept) OVER g AS top_accept,
     bool_or(avg_min_dispatch IS NULL) OVER g AS gap_dispatch, bool_or(avg_min_accept IS NULL) OVER g AS gap_accept,
     count(*) OVER g AS n_levels
-  FROM tableords WINDOW g AS (PARTITION BY {by})""",
+  FROM kpi_level WINDOW g AS (PARTITION BY {by})""",
         "marklists": f"""
   SELECT {by}, any_value(n_levels) AS n_levels, bool_or(gap_dispatch) AS gap_dispatch, bool_or(gap_accept) AS gap_accept,
     max(CASE WHEN avg_min_dispatch = top_dispatch THEN ongoing_orders END) AS peak_dispatch,
@@ -168,19 +168,19 @@ def _ctes(percentile: float) -> dict[str, str]:
     list_sort(list(ongoing_orders) FILTER (WHERE avg_min_wtp >= 15)) AS over_wtp,
     list_sort(list(ongoing_orders) FILTER (WHERE avg_min_prep_time >= 30)) AS over_prep
   FROM marks GROUP BY {by}""",
-        "threords": f"""
+        "with_threshold": f"""
   SELECT t.store_address_id, t.store_name, t.ongoing_orders, {', '.join('t.' + c for c in CONCEPTS)},
     CASE WHEN gap_dispatch THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(peak_dispatch AS DOUBLE) END AS threshold_dispatch,
     CASE WHEN gap_accept THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(peak_accept AS DOUBLE) END AS threshold_accept,
     CAST(CASE WHEN n_levels = 1 THEN over_wtp[1] ELSE over_wtp[2] END AS DOUBLE) AS threshold_wtp,
     CAST(CASE WHEN n_levels = 1 THEN over_prep[1] ELSE over_prep[2] END AS DOUBLE) AS threshold_prep_time
-  FROM tableords t JOIN marklists m ON m.store_address_id = t.store_address_id
+  FROM kpi_level t JOIN marklists m ON m.store_address_id = t.store_address_id
     AND m.store_name IS NOT DISTINCT FROM t.store_name""",
         **_threshold_ctes(),
         "gathered": f"""
   SELECT DISTINCT g.store_address_id, g.store_name,
     {', '.join(f'threshold_{s}, lost_orders_{s}, wtp_impact_{s}' for s in THRESHOLDS)}
-  FROM (SELECT {by} FROM threords) g {joined_impacts}""",
+  FROM (SELECT {by} FROM with_threshold) g {joined_impacts}""",
         "impacts": " UNION ALL ".join(
             f"""SELECT {by}, '{c}' AS concept, threshold_{s} AS threshold, lost_orders_{s} AS lost_orders,
       wtp_impact_{s} AS wtp_impact FROM gathered"""
@@ -190,14 +190,14 @@ def _ctes(percentile: float) -> dict[str, str]:
   SELECT i.*, t.avg_wtp, lost_orders / CAST(nullif(total_orders, 0) AS DOUBLE) AS lost_share,
     CASE WHEN total_orders <> lost_orders THEN (total_wtp - wtp_impact) / (total_orders - lost_orders)
          WHEN total_wtp - wtp_impact > 0 THEN avg_wtp END AS left_wtp
-  FROM impacts i LEFT JOIN totalsto t ON t.store_address_id = i.store_address_id""",
+  FROM impacts i LEFT JOIN store_total t ON t.store_address_id = i.store_address_id""",
         "labelled": """
   SELECT *, CASE WHEN left_wtp > avg_wtp THEN avg_wtp ELSE left_wtp END AS capped,
     CASE WHEN lost_share >= 0.10 THEN 'Critical' WHEN lost_share >= 0.05 THEN 'Follow-up'
          WHEN lost_share >= 0 THEN 'Decrease' WHEN threshold IS NULL AND avg_wtp <= 7.5 THEN 'Increase'
          ELSE 'Keep' END AS suggestion
   FROM rated""",
-        "finalimp": """
+        "suggested": """
   SELECT store_address_id, store_name, suggestion,
     CASE WHEN suggestion = 'Keep' THEN 0.0 ELSE threshold END AS suggested_threshold,
     CASE WHEN suggestion = 'Keep' THEN 0.0 ELSE CAST(lost_orders AS DOUBLE) END AS potential_lost_orders,
@@ -206,7 +206,7 @@ def _ctes(percentile: float) -> dict[str, str]:
   FROM labelled WHERE concept = 'avg_min_wtp'""",
         "ranged": f"""
   SELECT *, CASE {' '.join(f"WHEN ongoing_orders > {5 * i} AND ongoing_orders <= {5 * i + 5} THEN '{r}'" for i, r in enumerate(RANGES[:10]))}
-    WHEN ongoing_orders > 50 THEN '50+' END AS level_range FROM tableords""",
+    WHEN ongoing_orders > 50 THEN '50+' END AS level_range FROM kpi_level""",
         "rollup_range": f"""
   SELECT {by}, level_range, CAST(sum(delivered) AS BIGINT) AS delivered, CAST(sum(cancels) AS BIGINT) AS cancels,
     {', '.join(f"CASE WHEN bool_or({m} IS NULL) THEN NULL ELSE avg({m}) END AS {m}" for m in MEANS[:4])},
@@ -217,8 +217,8 @@ def _ctes(percentile: float) -> dict[str, str]:
     sum(delivered) OVER (PARTITION BY {by} ORDER BY level_range)
       / CAST(nullif(sum(delivered) OVER (PARTITION BY {by}), 0) AS DOUBLE) AS perc
   FROM rollup_range""",
-        "top30": "SELECT store_address_id, orders FROM top ORDER BY orders DESC, store_address_id LIMIT 30",
-        "charted": "SELECT * FROM tableords WHERE store_address_id IN (SELECT store_address_id FROM top30)",
+        "busiest": "SELECT store_address_id, orders FROM top ORDER BY orders DESC, store_address_id LIMIT 30",
+        "charted": "SELECT * FROM kpi_level WHERE store_address_id IN (SELECT store_address_id FROM busiest)",
     }
 
 
@@ -268,11 +268,11 @@ def selection_sql(p: float) -> dict[str, str]:
     minute, count(order_id) AS order_minutes
   FROM day_grid LEFT JOIN facts ON dispatch_tod <= minute * 60 AND pickup_tod > minute * 60 GROUP BY minute"""),
         "working_minutes": _sql(p, """SELECT grid.minute, CAST(grid.minute // 60 AS INTEGER) AS hour, count(order_id) AS order_minutes
-  FROM grid LEFT JOIN satstor ON dispatch_tod <= grid.minute * 60 AND pickup_tod > grid.minute * 60 GROUP BY grid.minute"""),
+  FROM grid LEFT JOIN selected ON dispatch_tod <= grid.minute * 60 AND pickup_tod > grid.minute * 60 GROUP BY grid.minute"""),
         "store_order_counts": _sql(p, "SELECT store_address_id, orders FROM counts"),
         "top_stores_percentile": _sql(p, "SELECT store_address_id, orders FROM top"),
-        "top_n_stores": _sql(p, "SELECT store_address_id, orders FROM top30"),
-        "orders_of_top_stores": _sql(p, "SELECT order_id, store_address_id FROM satstor"),
+        "top_n_stores": _sql(p, "SELECT store_address_id, orders FROM busiest"),
+        "orders_of_top_stores": _sql(p, "SELECT order_id, store_address_id FROM selected"),
         "orders_of_named_store": _sql(p, "SELECT order_id, store_address_id, store_name FROM log WHERE store_name = 'STORE_7'"),
         "store_totals": _sql(p, "SELECT count(*) AS n, CAST(sum(orders) AS BIGINT) AS orders FROM delivered_counts"),
         "store_totals_percentile": _sql(p, f"""SELECT count(*) AS n, CAST(sum(orders) AS BIGINT) AS orders FROM delivered_counts
@@ -286,19 +286,19 @@ def study_sql(p: float) -> dict[str, str]:
     by = "store_address_id, store_name"
     concepts, means = ", ".join(CONCEPTS), ", ".join(MEANS)
     reconciled = {
-        "outcomes_by_date_hour": "decahoda",
-        "outcomes_by_date_level": "decaorda",
-        "kpis_by_date_hour": "tablehoda",
-        "kpis_by_date_level": "tableorda",
-        "outcomes_by_hour": "decahoho",
-        "outcomes_by_level": "decaorho",
-        "kpis_by_hour": "tablehour",
-        "kpis_by_level": "tableords",
+        "outcomes_by_date_hour": "outcome_date_hour",
+        "outcomes_by_date_level": "outcome_date_level",
+        "kpis_by_date_hour": "kpi_date_hour",
+        "kpis_by_date_level": "kpi_date_level",
+        "outcomes_by_hour": "outcome_hour",
+        "outcomes_by_level": "outcome_level",
+        "kpis_by_hour": "kpi_hour",
+        "kpis_by_level": "kpi_level",
     }
-    value_join = "JOIN kpilong k ON k.store_address_id = w.store_address_id AND k.concept = w.concept"
-    r2_join = "JOIN r2long r ON r.store_address_id = w.store_address_id AND r.concept = w.concept"
-    hour_long = _long("tablehour", f"{by}, hour", CONCEPTS, "value")
-    level_long = _long("tableords", f"{by}, ongoing_orders", CONCEPTS, "value")
+    value_join = "JOIN store_kpi_long k ON k.store_address_id = w.store_address_id AND k.concept = w.concept"
+    r2_join = "JOIN r2_rows r ON r.store_address_id = w.store_address_id AND r.concept = w.concept"
+    hour_long = _long("kpi_hour", f"{by}, hour", CONCEPTS, "value")
+    level_long = _long("kpi_level", f"{by}, ongoing_orders", CONCEPTS, "value")
     range_concepts = ["delivered", "accum", "perc", *MEANS]
     range_long = _long("cumul", f"{by}, level_range", range_concepts, "value")
     hours, levels = list(range(7, 21)), list(REPORT_LEVELS)
@@ -306,7 +306,7 @@ def study_sql(p: float) -> dict[str, str]:
     complete = " AND ".join(f"{c} IS NOT NULL" for c in correlated)
 
     def correlation(guard: bool) -> str:
-        source = "tableords" if guard else f"(SELECT * FROM tableords WHERE {complete})"
+        source = "kpi_level" if guard else f"(SELECT * FROM kpi_level WHERE {complete})"
         rows = []
         for a in correlated:
             for b in correlated:
@@ -322,28 +322,28 @@ def study_sql(p: float) -> dict[str, str]:
         "reconcile_by_store": _sql(p, " UNION ALL ".join(
             f"SELECT '{key}' AS summary, store_address_id, CAST(sum(delivered) AS BIGINT) AS delivered, CAST(sum(cancels) AS BIGINT) AS cancels FROM {cte} GROUP BY store_address_id"
             for key, cte in reconciled.items())),
-        "ongoing_minutes": _sql(p, f"SELECT order_id, {by}, date, minute FROM detail"),
+        "ongoing_minutes": _sql(p, f"SELECT order_id, {by}, date, minute FROM minute_rows"),
         "ongoing_concurrency": _sql(p, f"SELECT order_id, {by}, date, minute, ongoing AS ongoing_orders FROM conc"),
         "order_level": _sql(p, """SELECT order_id, count(*) AS minutes_ongoing, avg(ongoing) AS mean_ongoing,
     any_value(ongoing_orders) AS ongoing_orders FROM lvl GROUP BY order_id""", ["mean_ongoing"]),
-        "store_kpis": _sql(p, f"SELECT store_address_id, {concepts} FROM kpistore", MEANS),
-        "store_kpis_long": _sql(p, "SELECT store_address_id, concept, value FROM kpilong", ["value"]),
-        "store_wtp_totals": _sql(p, "SELECT * FROM totalsto", ["total_wtp", "avg_wtp"]),
-        "outcomes_by_date_hour": _sql(p, "SELECT * FROM decahoda"),
-        "outcomes_by_date_level": _sql(p, "SELECT * FROM decaorda"),
-        "outcomes_by_hour": _sql(p, "SELECT * FROM decahoho"),
-        "outcomes_by_level": _sql(p, "SELECT * FROM decaorho"),
-        "kpis_by_date_hour": _sql(p, f"SELECT {by}, date, hour, delivered, cancels, avg_ongoing_orders, {means} FROM tablehoda", ["avg_ongoing_orders", *MEANS]),
-        "kpis_by_date_level": _sql(p, f"SELECT {by}, date, ongoing_orders, {concepts} FROM tableorda", MEANS),
-        "kpis_by_hour": _sql(p, f"SELECT {by}, hour, delivered, cancels, avg_ongoing_orders, {means} FROM tablehour", ["avg_ongoing_orders", *MEANS]),
-        "kpis_by_level": _sql(p, f"SELECT {by}, ongoing_orders, {concepts} FROM tableords", MEANS),
+        "store_kpis": _sql(p, f"SELECT store_address_id, {concepts} FROM store_kpi", MEANS),
+        "store_kpis_long": _sql(p, "SELECT store_address_id, concept, value FROM store_kpi_long", ["value"]),
+        "store_wtp_totals": _sql(p, "SELECT * FROM store_total", ["total_wtp", "avg_wtp"]),
+        "outcomes_by_date_hour": _sql(p, "SELECT * FROM outcome_date_hour"),
+        "outcomes_by_date_level": _sql(p, "SELECT * FROM outcome_date_level"),
+        "outcomes_by_hour": _sql(p, "SELECT * FROM outcome_hour"),
+        "outcomes_by_level": _sql(p, "SELECT * FROM outcome_level"),
+        "kpis_by_date_hour": _sql(p, f"SELECT {by}, date, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_date_hour", ["avg_ongoing_orders", *MEANS]),
+        "kpis_by_date_level": _sql(p, f"SELECT {by}, date, ongoing_orders, {concepts} FROM kpi_date_level", MEANS),
+        "kpis_by_hour": _sql(p, f"SELECT {by}, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_hour", ["avg_ongoing_orders", *MEANS]),
+        "kpis_by_level": _sql(p, f"SELECT {by}, ongoing_orders, {concepts} FROM kpi_level", MEANS),
         "kpi_r2": _sql(p, "SELECT * FROM r2", absolute=CONCEPTS),
-        "kpi_r2_long": _sql(p, "SELECT * FROM r2long", absolute=["r2"]),
+        "kpi_r2_long": _sql(p, "SELECT * FROM r2_rows", absolute=["r2"]),
         "level_kpi_correlation": _sql(p, correlation(False), absolute=["corr"]),
         "level_kpi_correlation_strict": _sql(p, correlation(True), absolute=["corr"]),
-        "threshold_argmax": _sql(p, f"SELECT {by}, ongoing_orders, threshold_dispatch, threshold_accept FROM threords"),
-        "threshold_second_exceedance": _sql(p, f"SELECT {by}, ongoing_orders, threshold_wtp, threshold_prep_time FROM threords"),
-        "level_thresholds": _sql(p, "SELECT * FROM threords", MEANS),
+        "threshold_argmax": _sql(p, f"SELECT {by}, ongoing_orders, threshold_dispatch, threshold_accept FROM with_threshold"),
+        "threshold_second_exceedance": _sql(p, f"SELECT {by}, ongoing_orders, threshold_wtp, threshold_prep_time FROM with_threshold"),
+        "level_thresholds": _sql(p, "SELECT * FROM with_threshold", MEANS),
     }
     for s in THRESHOLDS:
         out[f"impact_{s}"] = _sql(p, f"SELECT * FROM imp_{s}", [f"wtp_impact_{s}"])
@@ -352,12 +352,12 @@ def study_sql(p: float) -> dict[str, str]:
         "lost_orders_long": _sql(p, f"SELECT {by}, concept, lost_orders FROM impacts"),
         "wtp_impact_long": _sql(p, f"SELECT {by}, concept, wtp_impact FROM impacts", ["wtp_impact"]),
         "impacts": _sql(p, "SELECT * FROM impacts", ["wtp_impact"]),
-        "store_suggestions": _sql(p, "SELECT * FROM finalimp", ["perc_lost", "impact_wtp", "real_wtp"]),
+        "store_suggestions": _sql(p, "SELECT * FROM suggested", ["perc_lost", "impact_wtp", "real_wtp"]),
         "report_hour": _sql(p, _pivoted(hour_long, "hour", hours, "k.value AS value", value_join), ["value", *map(str, hours)]),
         "report_level": _sql(p, _pivoted(level_long, "ongoing_orders", levels, "r.r2 AS r2, k.value AS value", f"{value_join} {r2_join}"),
                              ["value", *map(str, levels)], ["r2"]),
         "report_level_long": _sql(p, f"""SELECT w.store_address_id, w.store_name, w.concept, r.r2, k.value, w.ongoing_orders, w.cell
-  FROM ({_long("tableords", f"{by}, ongoing_orders", CONCEPTS, "cell")}) w {value_join} {r2_join}""", ["value", "cell"], ["r2"]),
+  FROM ({_long("kpi_level", f"{by}, ongoing_orders", CONCEPTS, "cell")}) w {value_join} {r2_join}""", ["value", "cell"], ["r2"]),
         "level_range": _sql(p, f"SELECT {by}, ongoing_orders, level_range FROM ranged"),
         "kpis_by_level_range": _sql(p, f"SELECT {by}, level_range, {concepts} FROM rollup_range", MEANS),
         "cumulative_by_range": _sql(p, f"SELECT {by}, level_range, delivered, accum, perc FROM cumul", ["perc"]),
@@ -366,6 +366,6 @@ def study_sql(p: float) -> dict[str, str]:
         "series_times": _sql(p, _long("charted", f"{by}, ongoing_orders, avg_cpo, avg_cm0", MEANS[:5], "value", "kpi"), ["avg_cpo", "avg_cm0", "value"]),
         "series_orders": _sql(p, _long("charted", f"{by}, ongoing_orders", ["delivered", "cancels"], "value", "kpi")),
         "series_costs": _sql(p, _long("charted", f"{by}, ongoing_orders", MEANS[5:], "value", "kpi"), ["value"]),
-        "scatter_input": _sql(p, f"SELECT ongoing_orders, {', '.join(MEANS[:4])} FROM tableords", MEANS[:4]),
+        "scatter_input": _sql(p, f"SELECT ongoing_orders, {', '.join(MEANS[:4])} FROM kpi_level", MEANS[:4]),
     }
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -90,3 +91,46 @@ def test_thresholds_share_one_partitioning(study):
 
     table = thresholds.level_thresholds(study.by_level, study.cfg)
     assert plan(thresholds.impacts(table)).count("Exchange hashpartitioning") == 1
+
+
+def test_a_repeated_id_and_a_hot_cell_are_split(spark):
+    """A third of the rows have no id, a third share store, date and minutes: the joins split those partitions."""
+    from builders import log_of, order
+
+    from tidemark import schema as S
+
+    draw = random.Random(1)
+    rows = []
+    for i in range(12_000):
+        day, minute = f"06-0{1 + i % 3}", f"{draw.randint(0, 50):02d}"
+        spread = order(i, f"{day} 12:{minute}:00", f"{day} 12:55:00", store=1 + i % 40)
+        no_id = spread | {S.ORDER: None}
+        hot = order(draw.randint(10**6, 10**12), "06-01 12:10:00", "06-01 12:12:00")
+        rows.append((spread, no_id, hot)[i % 3] | {"cpo": draw.random(), "cm0": draw.random()})
+    made = Study(log_of(spark, rows).repartition(8), StudyConfig(percentile=0.0))
+    made.share("orders")
+    want = {r[S.ORDER]: r[S.LEVEL] for r in concurrency.with_level(made.intervals).collect()}
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.files.maxPartitionBytes": "16k",
+        "spark.sql.files.openCostInBytes": "0",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        levelled = concurrency.with_level(made.intervals)
+        got = {r[S.ORDER]: r[S.LEVEL] for r in levelled.collect()}
+        joins = re.findall(r"SortMergeJoin(\(skew=true\))?", plan(levelled).split("Initial Plan")[0])
+        assert joins.count("(skew=true)") == 2, joins
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == want and None in got
+    made.close()
