@@ -5,7 +5,8 @@ store selection run at the default percentile (0.95) and, with the suffix
 ``_p50``, on the busier half of the stores, where more branches occur.
 
 Averages are published at single precision and coefficients at 7 decimals, so
-that two engines adding doubles in different orders agree to the last digit.
+that two engines adding doubles in different orders agree to the last digit;
+dates are published as ISO text.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _publish(df: DataFrame, absolute: tuple[str, ...] = ()) -> DataFrame:
     def shown(field: T.StructField) -> str:
         name = f"`{field.name}`"
+        if isinstance(field.dataType, T.DateType):
+            return f"CAST({name} AS STRING) AS {name}"
         if not isinstance(field.dataType, T.DoubleType):
             return name
         if field.name in absolute:
@@ -54,9 +57,7 @@ def _publish(df: DataFrame, absolute: tuple[str, ...] = ()) -> DataFrame:
 
 def _as_csv_text(log: DataFrame) -> DataFrame:
     """Timestamps written the way the CSV log holds them, blanks included."""
-    return log.withColumns(
-        {c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")) for c in S.LIFECYCLE}
-    )
+    return log.withColumns({c: F.expr(f"coalesce(CAST({c} AS STRING), '')") for c in S.LIFECYCLE})
 
 
 def _grid_counts(orders: DataFrame, grid: DataFrame) -> DataFrame:
@@ -176,7 +177,9 @@ def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
 
     tables: dict[str, Callable[[Study], DataFrame]] = {
         "reconcile_by_store": _reconcile,
-        "ongoing_minutes": lambda s: concurrency.ongoing_minutes(s.intervals).select(S.ORDER, *S.CELL, "minute"),
+        "ongoing_minutes": on_shared_orders(
+            lambda intervals: concurrency.ongoing_minutes(intervals).select(S.ORDER, *S.CELL, "minute")
+        ),
         "ongoing_concurrency": on_shared_orders(concurrency.ongoing_concurrency),
         "order_level": on_shared_orders(concurrency.order_levels),
         "store_kpis": lambda s: s.store_kpis,

@@ -234,12 +234,13 @@ def _needed(ctes: dict[str, str], text: str) -> list[str]:
     return [n for n in ctes if n in wanted]
 
 
-def _sql(percentile: float, final: str, cut: list[str] = (), absolute: list[str] = ()) -> str:
-    """Full statement; ``cut`` columns at single precision, ``absolute`` at 7 decimals."""
+def _sql(percentile: float, final: str, cut: list[str] = (), absolute: list[str] = (), dated: bool = False) -> str:
+    """Full statement; ``cut`` columns at single precision, ``absolute`` at 7 decimals, dates as text."""
     ctes = _ctes(percentile)
     names = _needed(ctes, final)
     changes = [f'CAST(CAST("{c}" AS FLOAT) AS DOUBLE) AS "{c}"' for c in cut]
     changes += [f'round(CAST("{c}" AS DOUBLE), 7) + 0.0 AS "{c}"' for c in absolute]
+    changes += ['CAST("date" AS VARCHAR) AS "date"'] * dated
     body = f"SELECT * REPLACE ({', '.join(changes)}) FROM ({final}) AS result" if changes else final
     return "WITH " + ",\n".join(f"{n} AS ({ctes[n]})" for n in names) + "\n" + body
 
@@ -322,19 +323,19 @@ def study_sql(p: float) -> dict[str, str]:
         "reconcile_by_store": _sql(p, " UNION ALL ".join(
             f"SELECT '{key}' AS summary, store_address_id, CAST(sum(delivered) AS BIGINT) AS delivered, CAST(sum(cancels) AS BIGINT) AS cancels FROM {cte} GROUP BY store_address_id"
             for key, cte in reconciled.items())),
-        "ongoing_minutes": _sql(p, f"SELECT order_id, {by}, date, minute FROM minute_rows"),
-        "ongoing_concurrency": _sql(p, f"SELECT order_id, {by}, date, minute, ongoing AS ongoing_orders FROM conc"),
+        "ongoing_minutes": _sql(p, f"SELECT order_id, {by}, date, minute FROM minute_rows", dated=True),
+        "ongoing_concurrency": _sql(p, f"SELECT order_id, {by}, date, minute, ongoing AS ongoing_orders FROM conc", dated=True),
         "order_level": _sql(p, """SELECT order_id, count(*) AS minutes_ongoing, avg(ongoing) AS mean_ongoing,
     any_value(ongoing_orders) AS ongoing_orders FROM lvl GROUP BY order_id""", ["mean_ongoing"]),
         "store_kpis": _sql(p, f"SELECT store_address_id, {concepts} FROM store_kpi", MEANS),
         "store_kpis_long": _sql(p, "SELECT store_address_id, concept, value FROM store_kpi_long", ["value"]),
         "store_wtp_totals": _sql(p, "SELECT * FROM store_total", ["total_wtp", "avg_wtp"]),
-        "outcomes_by_date_hour": _sql(p, "SELECT * FROM outcome_date_hour"),
-        "outcomes_by_date_level": _sql(p, "SELECT * FROM outcome_date_level"),
+        "outcomes_by_date_hour": _sql(p, "SELECT * FROM outcome_date_hour", dated=True),
+        "outcomes_by_date_level": _sql(p, "SELECT * FROM outcome_date_level", dated=True),
         "outcomes_by_hour": _sql(p, "SELECT * FROM outcome_hour"),
         "outcomes_by_level": _sql(p, "SELECT * FROM outcome_level"),
-        "kpis_by_date_hour": _sql(p, f"SELECT {by}, date, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_date_hour", ["avg_ongoing_orders", *MEANS]),
-        "kpis_by_date_level": _sql(p, f"SELECT {by}, date, ongoing_orders, {concepts} FROM kpi_date_level", MEANS),
+        "kpis_by_date_hour": _sql(p, f"SELECT {by}, date, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_date_hour", ["avg_ongoing_orders", *MEANS], dated=True),
+        "kpis_by_date_level": _sql(p, f"SELECT {by}, date, ongoing_orders, {concepts} FROM kpi_date_level", MEANS, dated=True),
         "kpis_by_hour": _sql(p, f"SELECT {by}, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_hour", ["avg_ongoing_orders", *MEANS]),
         "kpis_by_level": _sql(p, f"SELECT {by}, ongoing_orders, {concepts} FROM kpi_level", MEANS),
         "kpi_r2": _sql(p, "SELECT * FROM r2", absolute=CONCEPTS),
