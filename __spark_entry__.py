@@ -6,7 +6,7 @@ store selection run at the default percentile (0.95) and, with the suffix
 
 Averages are published at single precision and coefficients at 7 decimals, so
 that two engines adding doubles in different orders agree to the last digit;
-dates are published as ISO text.
+dates are published as ISO text, whole numbers with NULLs as doubles.
 """
 
 from __future__ import annotations
@@ -38,11 +38,13 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_log_from_orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
-def _publish(df: DataFrame, absolute: tuple[str, ...] = ()) -> DataFrame:
+def _publish(df: DataFrame, absolute: tuple[str, ...] = (), as_double: tuple[str, ...] = ()) -> DataFrame:
     def shown(field: T.StructField) -> str:
         name = f"`{field.name}`"
         if isinstance(field.dataType, T.DateType):
             return f"CAST({name} AS STRING) AS {name}"
+        if field.name in as_double:
+            return f"CAST({name} AS DOUBLE) AS {name}"
         if not isinstance(field.dataType, T.DoubleType):
             return name
         if field.name in absolute:
@@ -52,6 +54,12 @@ def _publish(df: DataFrame, absolute: tuple[str, ...] = ()) -> DataFrame:
     return df.selectExpr(*[shown(f) for f in df.schema.fields])
 
 
+def _published(name: str, df: DataFrame) -> DataFrame:
+    """The result of query ``name`` in its published types and precision."""
+    coefficients = tuple(S.CONCEPTS) if name == "kpi_r2" else ("r2", "corr")
+    return _publish(df, coefficients, tuple(oracle_queries.NULLABLE_COUNTS.get(name, ())))
+
+
 # --- queries on the log ----------------------------------------------------
 
 
@@ -99,14 +107,20 @@ def _log_queries() -> dict[str, Query]:
     def named(log: DataFrame) -> DataFrame:
         return selection.filter_orders(log, store_name="STORE_7").select(S.ORDER, S.STORE, S.NAME)
 
+    def clock(log: DataFrame) -> DataFrame:
+        return _published("time_of_day", lifecycle.clock_times(log).select(S.ORDER, "dispatch_tod", "pickup_tod"))
+
+    def flags(log: DataFrame) -> DataFrame:
+        return _published("status_flags", lifecycle.status_flags(log, cfg).select(S.ORDER, *S.OUTCOMES))
+
     def timed(log: DataFrame) -> DataFrame:
         return _publish(lifecycle.duration_minutes(lifecycle.duration_micros(log)).select(S.ORDER, *durations))
 
     return {
         "order_log_scan": on_log(order_log.normalise),
         "parse_lifecycle": on_log(lambda log: lifecycle.parse_lifecycle(_as_csv_text(log)).select(S.ORDER, *S.LIFECYCLE)),
-        "time_of_day": on_log(lambda log: lifecycle.clock_times(log).select(S.ORDER, "dispatch_tod", "pickup_tod")),
-        "status_flags": on_log(lambda log: lifecycle.status_flags(log, cfg).select(S.ORDER, *S.OUTCOMES)),
+        "time_of_day": on_log(clock),
+        "status_flags": on_log(flags),
         "duration_kpis": on_log(timed),
         "minute_grid": _minute_grid,
         "working_minutes": _working_minutes,
@@ -227,11 +241,9 @@ def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
 
 
 def _study_query(name: str, build: Callable[[Study], DataFrame], percentile: float) -> Query:
-    coefficients = tuple(S.CONCEPTS) if name == "kpi_r2" else ("r2", "corr")
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         study = Study(_log(spark, sf_dir), StudyConfig(percentile=percentile))
-        return _publish(build(study), coefficients)
+        return _published(name, build(study))
 
     return run
 

@@ -15,6 +15,16 @@ CONCEPTS = ["delivered", "cancels", *MEANS]
 THRESHOLDS = {"dispatch": "avg_min_dispatch", "accept": "avg_min_accept", "wtp": "avg_min_wtp", "prep_time": "avg_min_prep_time"}
 RANGES = ["01--05", "05--10", "10--15", "15--20", "20--25", "25--30", "30--35", "35--40", "40--45", "45--50", "50+"]
 REPORT_LEVELS = range(1, 101)
+# whole-number columns that hold NULLs, published as doubles
+NULLABLE_COUNTS = {
+    "status_flags": ["delivered", "cancels"],
+    "time_of_day": ["dispatch_tod", "pickup_tod"],
+    "kpis_by_date_hour": ["delivered", "cancels"],
+    "kpis_by_hour": ["delivered", "cancels"],
+    "reconcile_by_store": ["delivered", "cancels"],
+    "impacts": ["lost_orders"],
+    "lost_orders_long": ["lost_orders"],
+}
 TIMESTAMPS = [
     "activation_time_local",
     "partner_dispatch_time_local",
@@ -254,12 +264,21 @@ def _pivoted(long: str, header: str, values: list, extra: str, joins: str) -> st
     GROUP BY store_address_id, store_name, concept) w {joins}"""
 
 
+def _published(statements: dict[str, str]) -> dict[str, str]:
+    """Statements with the columns of ``NULLABLE_COUNTS`` as doubles."""
+    out = dict(statements)
+    for name in NULLABLE_COUNTS.keys() & out.keys():
+        changes = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NULLABLE_COUNTS[name])
+        out[name] = f"SELECT * REPLACE ({changes}) FROM ({out[name]}) AS published"
+    return out
+
+
 def selection_sql(p: float) -> dict[str, str]:
     """Queries on the log and the store selection."""
     tod = "dispatch_tod, pickup_tod"
     minutes = [f"{k}" for k in KPIS[:5]]
     durations = ", ".join(f"us_{k[4:]} / 60000000.0 AS {k}" for k in minutes)
-    return {
+    return _published({
         "order_log_scan": _sql(p, f"SELECT store_address_id, store_name, order_id, final_status, {', '.join(TIMESTAMPS)}, cpo, cm0 FROM log"),
         "parse_lifecycle": _sql(p, f"SELECT order_id, {', '.join(TIMESTAMPS)} FROM log"),
         "time_of_day": _sql(p, f"SELECT order_id, {tod} FROM facts"),
@@ -279,7 +298,7 @@ def selection_sql(p: float) -> dict[str, str]:
         "store_totals_percentile": _sql(p, f"""SELECT count(*) AS n, CAST(sum(orders) AS BIGINT) AS orders FROM delivered_counts
   WHERE orders >= (SELECT quantile_cont(orders, {p}) FROM delivered_counts)"""),
         "store_order_distribution": _sql(p, "SELECT orders, count(DISTINCT store_address_id) AS addresses FROM delivered_counts GROUP BY orders"),
-    }
+    })
 
 
 def study_sql(p: float) -> dict[str, str]:
@@ -369,4 +388,4 @@ def study_sql(p: float) -> dict[str, str]:
         "series_costs": _sql(p, _long("charted", f"{by}, ongoing_orders", MEANS[5:], "value", "kpi"), ["value"]),
         "scatter_input": _sql(p, f"SELECT ongoing_orders, {', '.join(MEANS[:4])} FROM kpi_level", MEANS[:4]),
     }
-    return out
+    return _published(out)
