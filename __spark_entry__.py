@@ -253,14 +253,36 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["kpis_by_level"](spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the subpackage ``llm`` and its pipeline; none where they are not installed."""
+    try:
+        import tidemark.llm.queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("tidemark.llm", "tidemark.llm.queries"):
+            raise
+        return {}, {}
+    found, sql = dict(llm.QUERIES), dict(llm.ORACLES)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as missing:
+        if missing.name != "corpus_pipeline":
+            raise
+    else:
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
     found = _log_queries()
     for name, build in _study_tables().items():
         found[name] = _study_query(name, build, 0.95)
         found[f"{name}_p50"] = _study_query(name, build, 0.5)
-    return found
+    return {**found, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
     half = {f"{name}_p50": sql for name, sql in oracle_queries.study_sql(0.5).items()}
-    return {**oracle_queries.selection_sql(0.95), **oracle_queries.study_sql(0.95), **half}
+    own = {**oracle_queries.selection_sql(0.95), **oracle_queries.study_sql(0.95), **half}
+    return {**own, **_training_data()[1]}
