@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, simhash
+from tidemark.llm import bpe, exact, lines, packing, simhash, substring, topk, toxicity
+from tidemark.llm.shared import SPACE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,51 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def sha256(column: str) -> Column:
+    return F.sha2(F.coalesce(column, F.lit("")), 256)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode_texts(read(spark, sf_dir, "documents"), vocabulary)
+    decoded = bpe.decode_ids(encoded, vocabulary)
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        sha256("text").alias("decoded_sha256"),
+    )
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    classifier = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    found = toxicity.scores(docs, classifier).select("row.doc_id", "score")
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeated(read(spark, sf_dir, "documents"), window=50)
+    words = F.trim(F.regexp_replace(F.coalesce("kept", F.lit("")), SPACE, " "))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_similar_lines(read(spark, sf_dir, "documents"), distance=3, similarity=0.8)
+    return found.select("row.doc_id", "n_lines", "n_removed", sha256("kept").alias("kept_sha256"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary, capacity=2048, end_id=0)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read(spark, sf_dir, "documents"), shingle=3, distance=3)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -30,11 +77,47 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op3_toxicity": op3_toxicity,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op4_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (
+  SELECT doc_id, s, array_to_string(words[s:s + 49], ' ') AS window_text
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM w)),
+f AS (SELECT window_text, min(doc_id) AS least FROM p GROUP BY window_text),
+g AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS k
+  FROM p JOIN f USING (window_text) WHERE doc_id > least),
+e AS (SELECT doc_id, k, words[k] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS k FROM w)),
+r AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY k) FILTER (WHERE g.k IS NULL) AS kept, count(g.k) AS n_removed
+  FROM e LEFT JOIN g USING (doc_id, k) GROUP BY e.doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+""",
     "op9_exact_dedup": r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

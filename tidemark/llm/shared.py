@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+import tidemark
 from tidemark.staging import Staging
 
 #: Words of the contracts, as a pattern for SQL functions; ``bytes.split()`` cuts at the same bytes.
@@ -56,6 +60,30 @@ def _drop_all() -> None:
             pass
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once, which need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(tidemark.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="run-"), "tidemark.zip")
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def arrow_map(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], shape: T.StructType | str
+) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, shape)
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -69,6 +97,11 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def signed(x: int) -> int:
+    """An unsigned 64-bit number as the long of the same bits."""
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, how: str) -> DataFrame:
     """Join on two differently named columns; missing ids are equal."""
     return left.join(right, col(left_col).eqNullSafe(col(right_col)), how)
@@ -76,7 +109,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, left_col: str, right_col:
 
 # --- connected components ----------------------------------------------------
 
-_EDGE = pa.schema([("hi", pa.int64()), ("lo", pa.int64())])
+EDGE = pa.schema([("hi", pa.int64()), ("lo", pa.int64())])
 
 
 class Forest:
@@ -115,7 +148,7 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forest.join(x, y)
     nodes, roots = forest.stars()
     for at in range(0, len(nodes), 50_000):
-        yield batch(_EDGE, nodes[at : at + 50_000], roots[at : at + 50_000])
+        yield batch(EDGE, nodes[at : at + 50_000], roots[at : at + 50_000])
 
 
 def components(links: DataFrame, stage: Stage) -> DataFrame:
@@ -129,7 +162,7 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
     """
     a, b = links.columns
     pairs = links.select(col(a).cast("bigint").alias("hi"), col(b).cast("bigint").alias("lo")).where("hi <> lo")
-    edges, seen = stage.table(pairs.mapInArrow(_local_stars, "hi bigint, lo bigint")), None
+    edges, seen = stage.table(arrow_map(pairs, _local_stars, "hi bigint, lo bigint")), None
     while True:
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if found == seen or found[0] == 0:
@@ -142,145 +175,3 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(low, "hi").where("lo <> m").selectExpr("lo AS hi", "m AS lo")
         edges = stage.table(moved.union(low.selectExpr("hi", "m AS lo")).distinct())
-
-
-# --- numbers near each other in Hamming distance -------------------------------
-
-_MASK_ROW = pa.schema([("mask", pa.int64()), ("value", pa.int64()), ("fp", pa.int64()), ("node", pa.int64())])
-#: Larger groups are cut by further bits; below so many free bits a group is small whatever the data.
-GROUP_ROWS, FREE_BITS = 512, 14
-
-
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def blocks_of(bits: list[int], parts: int) -> list[int]:
-    """Masks of ``parts`` blocks that the given bit positions are cut into."""
-    cuts = [round(i * len(bits) / parts) for i in range(parts + 1)]
-    return [sum(1 << b for b in bits[i:j]) for i, j in zip(cuts, cuts[1:])]
-
-
-def finer(mask: int, distance: int) -> list[int]:
-    """Two numbers that agree on ``mask`` and differ in ``distance`` bits agree on one of these, too."""
-    free = [i for i in range(64) if not mask >> i & 1]
-    return [mask | part for part in blocks_of(free, distance + 1)]
-
-
-def _spread(masks_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mask, fp, node = (b.column(n).to_numpy(zero_copy_only=False) for n in ("mask", "fp", "node"))
-            for old in np.unique(mask):
-                at = mask == old
-                for new in masks_of(int(old) & (2**64 - 1)):
-                    m = np.int64(signed(new))
-                    yield batch(_MASK_ROW, np.full(at.sum(), m), fp[at] & m, fp[at], node[at])
-
-    return run
-
-
-def _linked(distance: int, keep):
-    """Links within groups of equal (mask, value); rows come sorted, groups are of bounded size."""
-
-    def compare(mask, value, fp, node, forest: Forest) -> None:
-        start = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
-        size = np.diff(np.r_[start, len(mask)])
-        left = np.repeat(start + size, size) - np.arange(len(mask)) - 1  # rows of the group after each row
-        bits = fp.view(np.uint64)
-        active, shift = np.flatnonzero(left > 0), 1
-        while len(active):
-            differ = bits[active] ^ bits[active + shift]
-            near = np.bitwise_count(differ) <= distance
-            if keep is not None:
-                near[near] = keep(differ[near])
-            for i in active[near]:
-                forest.join(int(node[i]), int(node[i + shift]))
-            shift += 1
-            active = active[left[active] >= shift]
-
-    def close_to_each_other(fp, node, forest: Forest) -> None:
-        """One large group: walk from number to number, comparing with those not reached yet."""
-        bits, rest = fp.view(np.uint64), np.arange(len(fp))
-        while len(rest):
-            todo, rest = [rest[0]], rest[1:]
-            while todo and len(rest):
-                at = todo.pop()
-                differ = bits[rest] ^ bits[at]
-                near = np.bitwise_count(differ) <= distance
-                if keep is not None:
-                    near[near] = keep(differ[near])
-                for i in rest[near]:
-                    forest.join(int(node[at]), int(node[i]))
-                todo.extend(rest[near])
-                rest = rest[~near]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = Forest(), None
-        names = ("mask", "value", "fp", "node")
-
-        def settle(rows) -> None:
-            if not len(rows[0]):
-                return
-            edge = np.flatnonzero(np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
-            size = np.diff(np.r_[edge, len(rows[0])])
-            for i, n in zip(edge[size > 2 * GROUP_ROWS], size[size > 2 * GROUP_ROWS]):
-                close_to_each_other(rows[2][i : i + n], rows[3][i : i + n], forest)
-            small = np.repeat(size <= 2 * GROUP_ROWS, size)
-            if small.any():
-                compare(*(r[small] for r in rows), forest)
-
-        for b in batches:
-            rows = [b.column(n).to_numpy(zero_copy_only=False) for n in names]
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-            last = len(rows[0]) - 1
-            cut = np.flatnonzero((rows[0] != rows[0][last]) | (rows[1] != rows[1][last]))
-            cut = cut[-1] + 1 if len(cut) else 0
-            settle([r[:cut] for r in rows])
-            held = [r[cut:].copy() for r in rows]
-        if held is not None:
-            settle(held)
-        nodes, roots = forest.stars()
-        for at in range(0, len(nodes), 50_000):
-            yield batch(_EDGE, nodes[at : at + 50_000], roots[at : at + 50_000])
-
-    return run
-
-
-def hamming_links(
-    numbers: DataFrame, distance: int, first: list[int], stage: Stage, keep=None
-) -> DataFrame:
-    """Links that connect all rows of (``fp``, ``node``) at most ``distance`` bits apart.
-
-    ``first`` are masks of which any two such numbers agree on at least one;
-    ``keep`` is a further test on the differing bits, as a numpy function.
-    Groups of equal masked bits are compared in one task while they are small.
-    The larger ones are cut by further bits, of which again one block in
-    ``distance + 1`` must agree, until the bits left free bound the group; no
-    group is sampled or cut off. Links come as contracted stars per task: enough
-    for the components, and never all pairs of a group.
-    """
-    shape = "mask bigint, value bigint, fp bigint, node bigint"
-    start = numbers.select(F.lit(0).cast("bigint").alias("mask"), "fp", "node")
-    rows = stage.table(start.mapInArrow(_spread(lambda _: first), shape))
-    found = []
-    while True:
-        sizes = rows.groupBy("mask", "value").count().where("count > 1")
-        sizes = sizes.select(F.col("mask").alias("gm"), F.col("value").alias("gv"), "count")
-        few_bits = F.bit_count(F.col("mask")) >= 64 - FREE_BITS
-        sizes = stage.table(sizes)
-        of_group = (F.col("mask") == F.col("gm")) & (F.col("value") == F.col("gv"))
-        many = sizes.where(f"count > {GROUP_ROWS}").where(F.bit_count(F.col("gm")) < 64 - FREE_BITS)
-        any_large = many.limit(1).count() > 0
-        now = sizes.where((F.col("count") <= GROUP_ROWS) | (F.bit_count(F.col("gm")) >= 64 - FREE_BITS))
-        ready = stage.table(rows.join(now, of_group, "left_semi"))
-        dealt = ready.repartition("mask", "value").sortWithinPartitions("mask", "value")
-        found.append(stage.table(dealt.mapInArrow(_linked(distance, keep), "hi bigint, lo bigint")))
-        if not any_large:
-            break
-        large = rows.where(~few_bits).join(many, of_group, "left_semi")
-        rows = stage.table(large.select("mask", "fp", "node").mapInArrow(_spread(lambda m: finer(m, distance)), shape))
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    return links

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.shared import Stage, blocks_of, col, components, hamming_links, signed, text_or_empty
+from tidemark.llm.hamming import blocks_of, hamming_links
+from tidemark.llm.shared import Stage, arrow_map, col, components, signed, text_or_empty
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -62,9 +63,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.int64())], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, fp bigint"
-    )
+    texts = docs.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    return arrow_map(texts, run, f"id {kind}, fp bigint")
 
 
 def ring_masks(distance: int) -> list[int]:
