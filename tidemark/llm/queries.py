@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, lines, packing, simhash, substring, topk, toxicity
+from tidemark.llm import bpe, exact, html_text, licenses, lines, packing, simhash, substring, topk, toxicity
 from tidemark.llm.shared import SPACE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_main_text(read(spark, sf_dir, "pages"))
+    n_chars = F.length("text").cast("bigint")
+    return found.select("row.page_id", "row.url", "text", n_chars.alias("n_chars"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read(spark, sf_dir, "documents"), shingle=3, distance=3)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -76,6 +82,24 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+    def joined(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"),
+        joined(F.col("base.label")).alias("base_labels"),
+        joined(F.concat("base.label", "detections.label")).alias("labels"),
+        F.coalesce(F.array_max("detections.score"), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_exact_top_k": op2_exact_top_k,
@@ -83,8 +107,10 @@ QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_html_extraction": op7_html_extraction,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {

@@ -55,16 +55,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id, fp``: the fingerprint of every row as a signed long. No words: zero."""
+    """``id, rk, fp``: a hash of every row's text, and its fingerprint as a signed long. No words: zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [signed(fingerprint(t.as_py(), shingle)) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("rk"), pa.array(fps, pa.int64())], names=["id", "rk", "fp"]
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return arrow_map(texts, run, f"id {kind}, fp bigint")
+    text = text_or_empty(text_col)
+    rows = docs.select(col(id_col).alias("id"), F.xxhash64(text).alias("rk"), text.alias("text"))
+    return arrow_map(rows, run, f"id {kind}, rk bigint, fp bigint")
 
 
 def ring_masks(distance: int) -> list[int]:
@@ -111,10 +114,11 @@ def simhash_components(
     distance: int = 3,
     stage: Stage | None = None,
 ) -> DataFrame:
-    """``id, fp, component_id`` for every row of ``docs``.
+    """``id, rk, fp, root, component_id`` for every row of ``docs``.
 
     Two rows are linked when their fingerprints differ in at most ``distance``
-    bits; ``component_id`` is the smallest id that a row reaches. Copies share a
+    bits; ``root`` is the smallest fingerprint and ``component_id`` the smallest id
+    that a row reaches, itself included; ``rk`` is a hash of its text. Copies share a
     fingerprint and are compared once. Candidates share the bits of a pigeonring
     chain's start; the chain's further budgets are tested before the links count.
 
@@ -126,7 +130,7 @@ def simhash_components(
     rows = stage.table(fingerprints(docs, id_col, text_col, shingle))
     classes = stage.table(rows.groupBy("fp").agg(F.min("id").alias("least")))
     if distance < 1:
-        named = classes.select("fp", F.col("least").alias("component_id"))
+        named = classes.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     else:
         numbers = classes.select("fp", F.col("fp").alias("node"))
         links = hamming_links(numbers, distance, ring_masks(distance), stage, chain_test(distance))
@@ -136,5 +140,21 @@ def simhash_components(
         )
         rooted = stage.table(rooted)
         least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = rooted.select("fp", "root").join(stage.table(least), "root").select("fp", "component_id")
-    return rows.join(stage.table(named), "fp").select("id", "fp", "component_id")
+        named = rooted.select("fp", "root").join(stage.table(least), "root").select("fp", "root", "component_id")
+    return rows.join(stage.table(named), "fp").select("id", "rk", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of each component, with its own columns; ``found`` is for these ``docs``.
+
+    A component without any id keeps the row with the smallest hash of its text; of
+    rows that repeat the kept one's id and text, one stays.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rk")).alias("first")
+    kept = found.groupBy("root").agg(first).select(F.col("first.id").alias("id"), F.col("first.rk").alias("rk"))
+    row = F.struct(*[col(c) for c in docs.columns])
+    rows = docs.select(
+        row.alias("row"), col(id_col).alias("row_id"), F.xxhash64(text_or_empty(text_col)).alias("row_rk")
+    )
+    same = F.col("id").eqNullSafe(F.col("row_id")) & (F.col("rk") == F.col("row_rk"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["row_id", "row_rk"]).select("row.*")
