@@ -1,0 +1,168 @@
+from __future__ import annotations
+
+import html
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+from helpers import documents, messy_rows
+
+from tidemark.llm import html_text, licenses
+from tidemark.llm.license_rules import load_rules
+
+LONG = "running text of an article that goes on for long enough to be told from a list of short labels or links"
+
+
+def test_pages_of_the_test_tables():
+    """Their article elements, read by a pattern of this test's own."""
+    rows = duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    for (page,) in rows:
+        inside = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+        plain = re.sub(r"<[^>]*(>|$)", lambda m: " " if re.match(r"</?(p|h1|br)\b", m[0]) else "", inside)
+        assert html_text.main_text(page) == " ".join(html.unescape(plain).split())
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (None, ""),
+        ("", ""),
+        ("   ", ""),
+        ("no markup &amp; all", "no markup & all"),
+        ("a < b and <i>c</i>d", "a < b and cd"),
+        ("<p>Be.", "Be."),
+        ("<p>one\n two&nbsp;three</p><p>four<br>five", "one two three four five"),
+        ("<article><p>x &#233;&lt;&copy;</p></article", "x é<©"),
+        ("<article>a<!-- <p>gone</p> -->b<script>if (a<b) '</p>'</script>c</article>", "abc"),
+        ("<article><p title='a > b'>t</p><style>p{}</style></article><footer>f</footer>", "t"),
+        ("<main><h2>T</h2><p>b</p><aside>" + LONG + "</aside><p>c</p></main>", "T b c"),
+        (f"<body><div class='cookie-notice'>{LONG}</div><p>{LONG}</p><div id=comments>{LONG}</div>", LONG),
+        (f"<div class='with-sidebar'><p>{LONG}</p><div class='sidebar-left'>{LONG}</div></div>", LONG),
+        (f"<div>{LONG}</div><form>{LONG}<input value='{LONG}'></form><div hidden>{LONG}</div>", LONG),
+        (f"<ul><li><a href=1>{LONG}</a><li><a>{LONG}</a></ul><p>{LONG}</p>", LONG),
+        (f"<nav><p>{LONG}</nav><article><div class=ad>{LONG}</div><p>kept</article><div>{LONG}</div>", "kept"),
+        ("<div role=main>inside</div>outside", "inside"),
+        ("<p>" * 3000 + "deep", "deep"),
+        ("<b>" * 3000 + "deep", "deep"),
+        ("<i <b> c", "c"),
+        ("<article>wo<span class=ad>gone</span>rd<svg><text>x</text></svg>s", "words"),
+        ("<p>x <span class=ads>gone<p>y", "x y"),
+        ("<p class=\"unclosed>x</p>", "x"),
+        ("tail <", "tail <"),
+        ("tail <p", "tail"),
+    ],
+)
+def test_main_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_short_paragraphs_of_an_article_stay():
+    page = "<article>" + "".join(f"<p>p{i}.</p>" for i in range(50)) + "</article>"
+    assert html_text.main_text(page) == " ".join(f"p{i}." for i in range(50))
+
+
+def test_surge_and_dive_without_an_article():
+    page = f"<div>a</div><table><tr><td></td></tr></table><div class=menu>m</div><p>{LONG}</p><p>ok.</p><p>{LONG}</p>"
+    assert html_text.main_text(page + f"<div class=footer>{LONG}</div><div>short</div>") == f"{LONG} ok. {LONG}"
+
+
+def test_pages_table(spark):
+    rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (2, None, None), (None, "v", ""), (3, "w", f"<p>{LONG}")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text", "2 AS row")
+    found = html_text.extract_main_text(pages)
+    assert found.select("row.*").columns == pages.columns
+    assert Counter((r.row.page_id, r.row.url, r.text) for r in found.collect()) == Counter(
+        {(1, "u", "x"): 2, (2, None, ""): 1, (None, "v", ""): 1, (3, "w", LONG): 1}
+    )
+    assert html_text.extract_main_text(pages.limit(0)).count() == 0
+
+
+# --- licenses ------------------------------------------------------------------------
+
+
+def test_rules_are_hundreds_and_gated_by_words_they_need():
+    rules = load_rules()
+    assert len(rules) > 200
+    for rule in rules:
+        assert rule.keywords and 0 < rule.score <= 1
+        assert all(re.fullmatch(r"[0-9a-z]+", word) for word in rule.keywords)
+
+
+def slow_words(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+TEXTS = [
+    "Released under the MIT License, under the mit-license. Under The MIT\nLicense",
+    "Licensed under the Apache License, Version 2.0; apache license version 20",
+    "CC BY-NC 4.0, CC-BY-NC-SA, cc by ncx, xcc by nc",
+    "GNU General Public License v3 or GPL-2.0-only",
+    "permit limits apache cc gpl license é under the mit licenseé",
+    "mit license under the",
+]
+
+
+def test_base_places_equal_brute_force(spark):
+    rows = messy_rows() + [(500 + n, t) for n, t in enumerate(TEXTS)]
+    docs = documents(spark, rows)
+    found = licenses.scan_licenses(docs)
+    assert found.select("row.*").columns == docs.columns
+    expected = Counter()
+    for i, t in rows:
+        words = slow_words(t)
+        places = sorted(
+            (n, label)
+            for phrase, (label, _) in licenses.BASE.items()
+            for n in range(len(words))
+            if words[n : n + len(phrase.split())] == phrase.split()
+        )
+        expected[(i, len(words), tuple(places))] += 1
+    got = Counter((r.row.doc_id, r.n_words, tuple((p.start, p.label) for p in r.base)) for r in found.collect())
+    assert got == expected
+    assert sum(len(k[2]) for k in expected) >= 6
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def slow_detections(text):
+    """All matches of all rules without any gate; those that no other contains."""
+    joined = " ".join(slow_words(text))
+    spans = []
+    for n, rule in enumerate(load_rules()):
+        for m in rule.pattern.finditer(joined):
+            a = joined[: m.start()].count(" ")
+            spans.append((a, a + m[0].count(" ") + 1, n, rule.label, rule.score))
+    return [
+        (s[3], s[0], s[1], s[4])
+        for s in sorted(spans)
+        if not any(
+            o is not s and o[0] <= s[0] and s[1] <= o[1] and ((o[0], o[1]) != (s[0], s[1]) or o[2] < s[2]) for o in spans
+        )
+    ]
+
+
+def test_detections_equal_brute_force():
+    scan = licenses.scanner().scan
+    more = [
+        "This file is free software under the GNU Lesser General Public License, version 2.1, or the MPL 2.0.",
+        "SPDX-License-Identifier: BSD-3-Clause. All rights reserved. SPDX-License-Identifier: MIT",
+        "Creative Commons Attribution-ShareAlike 4.0 International License and CC0 1.0",
+        "http://creativecommons.org/licenses/by-nc-nd/3.0 http://www.apache.org/licenses/LICENSE-2.0",
+        "Do not confuse the MIT with its license; the BSD license, the zlib license",
+    ]
+    for text in TEXTS + more:
+        got = [(d.label, d.start, d.end, d.score) for d in scan(text).detections]
+        assert sorted(got) == sorted(slow_detections(text)), text
+
+
+def test_labels_of_known_wordings():
+    def labels(text):
+        return {d.label for d in licenses.scanner().scan(text).detections}
+
+    assert labels("CC BY-NC-SA 4.0") == {"cc-by-nc-sa"}
+    assert labels("CC BY-NC 4.0.") == {"cc-by-nc"}
+    assert labels("GNU Lesser General Public License version 2.1") == {"lgpl-2.1"}
+    assert labels("GNU Affero General Public License v3.0") == {"agpl-3"}
+    assert labels("SPDX-License-Identifier: BSD-3-Clause-Clear") == {"bsd-3-clause-clear"}
+    assert labels("we permit a limited licence to commit") == set()

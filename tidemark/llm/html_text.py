@@ -46,7 +46,7 @@ _SCOPES = frozenset("article aside body div footer header li main nav section ta
 
 #: First or last part of a class or id that names something beside the article.
 _BESIDE = frozenset(
-    "ad ads adslot adsense advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs byline "
+    "ad ads adslot adsense advert adverts alert advertisement advertising banner billboard breadcrumb breadcrumbs byline "
     "comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown foot footer "
     "form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification "
     "overlay pager pagination paywall popup promo promotion promoted reader recommendations recommended related "
@@ -93,7 +93,7 @@ class _Lines:
     """Lines of a page's text: one for each stretch between block borders."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, bool, bool]] = []  # text, kept out, within the article
+        self.rows: list[tuple[str, bool]] = []  # text, within the article
         self._pieces: list[str] = []
         self._linked = 0
 
@@ -102,82 +102,90 @@ class _Lines:
         if link:
             self._linked += len(text)
 
-    def end(self, apart: bool, main: bool) -> None:
+    def end(self, main: bool) -> None:
+        """A block border; a line that is mostly links is no running text outside of an article."""
         if not self._pieces:
             return
         text = " ".join(unescape("".join(self._pieces)).split())
         if text:
             links = self._linked * 2 > sum(map(len, self._pieces))
-            self.rows.append((text, apart or (links and not main), main))
+            self.rows.append(("" if links and not main else text, main))
         self._pieces, self._linked = [], 0
 
     def gap(self) -> None:
         """Something that is no running text stands here."""
-        self.rows.extend([("", True, False)] * WINDOW)
-
-
-def page_lines(html: str) -> list[tuple[str, bool, bool]]:
-    """The lines of a page, with what its markup tells of each."""
-    lines, at = _Lines(), 0
-    stack: list[tuple[str, bool, bool]] = []
-    apart = main = links = 0
-
-    def close(down_to: int) -> None:
-        nonlocal apart, main, links
-        lines.end(apart > 0, main > 0)
-        while len(stack) > down_to:
-            tag, was_apart, was_main = stack.pop()
-            apart, main, links = apart - was_apart, main - was_main, links - (tag == "a")
-            if was_apart:
+        self.rows.extend([("", False)] * WINDOW)
+
+
+class _Open:
+    """The open elements, and what they make of the text within."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, beside the article, the article
+        self.apart = self.main = self.links = 0
+
+    def push(self, tag: str, apart: bool, main: bool) -> None:
+        self.stack.append((tag, apart, main))
+        self.apart, self.main, self.links = self.apart + apart, self.main + main, self.links + (tag == "a")
+
+    def pop(self) -> tuple[str, bool, bool]:
+        tag, apart, main = self.stack.pop()
+        self.apart, self.main, self.links = self.apart - apart, self.main - main, self.links - (tag == "a")
+        return tag, apart, main
+
+    def innermost(self, tags: tuple[str, ...], scopes: frozenset = frozenset()) -> int | None:
+        """Depth of the last open element of these, unless one of ``scopes`` is further in."""
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] in tags:
+                return depth
+            if self.stack[depth][0] in scopes:
+                return None
+        return None
+
+
+def page_lines(html: str) -> list[tuple[str, bool]]:
+    """The lines of a page that markup does not set apart: text, and is it within the article?"""
+    lines, open_, at = _Lines(), _Open(), 0
+
+    def close(depth: int) -> None:
+        while len(open_.stack) > depth:
+            if open_.stack[-1][0] in _BLOCK:
+                lines.end(open_.main > 0)
+            tag, apart, _ = open_.pop()
+            if apart and tag in _BLOCK:
                 lines.gap()
 
     while at < len(html):
         found = _TAG.search(html, at)
+        until = found.start() if found else len(html)
+        if until > at and not open_.apart:
+            lines.add(html[at:until], open_.links > 0)
         if found is None:
-            lines.add(html[at:], links > 0)
             break
-        if found.start() > at:
-            lines.add(html[at : found.start()], links > 0)
         at = found.end()
         tag = (found[2] or found[5] or "").lower()
         if not tag:
             continue
-        block = tag in _BLOCK
         if found[1] or found[4]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    if block or any(x[0] in _BLOCK or x[1] for x in stack[depth:]):
-                        close(depth)
-                    else:
-                        links -= sum(x[0] == "a" for x in stack[depth:])
-                        main -= sum(x[2] for x in stack[depth:])
-                        del stack[depth:]
-                    break
-            else:
-                if block:
-                    lines.end(apart > 0, main > 0)
+            depth = open_.innermost((tag,))
+            if depth is not None:
+                close(depth)
+            elif tag in _BLOCK:
+                lines.end(open_.main > 0)
             continue
-        if block:
-            lines.end(apart > 0, main > 0)
+        if tag in _BLOCK:
+            lines.end(open_.main > 0)
             ends = _CLOSED_BY_ITS_LIKE.get(tag, ()) + (("p",) if tag != "br" else ())
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ends:
-                    close(depth)
-                    break
-                if stack[depth][0] in _SCOPES:
-                    break
-        if tag in _VOID or found.group().endswith("/>") and tag in ("svg", "path"):
+            if ends and (depth := open_.innermost(ends, _SCOPES)) is not None:
+                close(depth)
+        if tag in _VOID:
             continue
-        is_apart, is_main = _kind(tag, found[3] or found[6] or "")
-        if is_apart and not block:
-            lines.end(apart > 0, main > 0)
         if tag in _RAW:
             end = re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        stack.append((tag, is_apart, is_main))
-        apart, main, links = apart + is_apart, main + is_main, links + (tag == "a")
-    lines.end(apart > 0, main > 0)
+        open_.push(tag, *_kind(tag, found[3] or found[6] or ""))
+    lines.end(open_.main > 0)
     return lines.rows
 
 
@@ -193,8 +201,8 @@ def main_text(html: str | None) -> str:
     stretch is if none has.
     """
     rows = page_lines(html or "")
-    marked = any(within and not apart for _, apart, within in rows)
-    length = [0 if apart or (marked and not within) else len(text) for text, apart, within in rows]
+    marked = any(within and text for text, within in rows)
+    length = [0 if marked and not within else len(text) for text, within in rows]
     sums = [sum(length[i : i + WINDOW]) for i in range(len(length))]
     stretches: list[tuple[int, int]] = []
     begin = None

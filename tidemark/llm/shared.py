@@ -152,7 +152,7 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame, stage: Stage) -> DataFrame:
-    """``node, root`` for every linked node: the smallest node that it reaches.
+    """``node, root`` for every linked node: the smallest node that it reaches, itself included.
 
     ``links`` holds two columns of node numbers. Edges are contracted within
     each partition, then rounds of large and small stars run until nothing
@@ -166,7 +166,8 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
     while True:
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if found == seen or found[0] == 0:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(roots)
         seen = found
         near = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = near.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
