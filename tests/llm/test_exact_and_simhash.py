@@ -146,7 +146,8 @@ def test_links_of_crowded_groups(spark, monkeypatch):
     numbers = list(near_cluster(rng, 150, 5) | near_cluster(rng, 40, 2) | {rng.getrandbits(64) for _ in range(100)})
     stage = Stage(spark)
     df = spark.createDataFrame([(signed(x), i) for i, x in enumerate(numbers)], "fp bigint, node bigint")
-    links = hamming.hamming_links(df, 3, simhash.ring_masks(3), stage, simhash.chain_test(3))
+    near = hamming.Nearness(3, simhash.chain_test(3))
+    links = hamming.links_within(df, near, simhash.ring_masks(3), stage)
     got = {r.node: r.root for r in components(links, stage).collect()}
     pairs = [(i, j) for i, j in itertools.combinations(range(len(numbers)), 2) if (numbers[i] ^ numbers[j]).bit_count() <= 3]
     assert {n: got.get(n, n) for n in range(len(numbers))} == groups(pairs, range(len(numbers)))
@@ -159,12 +160,13 @@ def test_links_within_a_group(limit, monkeypatch):
     monkeypatch.setattr(hamming, "GROUP_ROWS", limit)
     rng = random.Random(9)
     rows = []
-    for g in range(6):
+    for g in range(1, 7):
         for x in near_cluster(rng, 30, 3):
             rows.append((g, 0, signed(x), len(rows)))
-    schema = pa.schema([(n, pa.int64()) for n in ("mask", "value", "fp", "node")])
+    schema = pa.schema([(n, pa.int64()) for n in ("path", "value", "fp", "node")])
+    paths = {g: hamming.Path(0, ()) for g in range(1, 7)}
     batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[i : i + 7]], schema) for i in range(0, len(rows), 7)]
-    edges = [e for b in hamming._linked(3)(iter(batches)) for e in zip(*(c.to_pylist() for c in b.columns))]
+    edges = [e for b in hamming._links(hamming.Nearness(3), paths)(iter(batches)) for e in zip(*(c.to_pylist() for c in b.columns))]
     pairs = [
         (a[3], b[3])
         for a, b in itertools.combinations(rows, 2)
@@ -174,6 +176,19 @@ def test_links_within_a_group(limit, monkeypatch):
     assert groups(edges, nodes) == groups(pairs, nodes)
 
 
+def test_a_pair_meets_on_one_path_only():
+    """Through all levels: the first mask that it agrees on, then the first of the finer ones."""
+    rng = random.Random(8)
+    masks = simhash.ring_masks(3)
+    for _ in range(300):
+        differ = sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))
+        paths = hamming.first_paths(masks)
+        for _ in range(3):
+            met = [n for n, p in paths.items() if not differ & p.mask and all(differ & e for e in p.earlier)]
+            assert len(met) == 1
+            paths = hamming.finer_paths(met[0], paths[met[0]], 3)
+
+
 def test_components_of_graphs(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(300, 380)]

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import EDGE, Forest, Stage, arrow_map, batch, signed
 
-_MASK_ROW = pa.schema([("mask", pa.int64()), ("value", pa.int64()), ("fp", pa.int64()), ("node", pa.int64())])
 #: Larger groups are cut by further bits; below so many free bits a group is small whatever the data.
-GROUP_ROWS, FREE_BITS = 512, 14
+GROUP_ROWS, FREE_BITS = 4096, 14
 
 
 def blocks_of(bits: list[int], parts: int) -> list[int]:
@@ -28,73 +28,104 @@ def finer(mask: int, distance: int) -> list[int]:
     return [mask | part for part in blocks_of(free, distance + 1)]
 
 
-def _spread(masks_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mask, fp, node = (b.column(n).to_numpy(zero_copy_only=False) for n in ("mask", "fp", "node"))
-            for old in np.unique(mask):
-                at = mask == old
-                for new in masks_of(int(old) & (2**64 - 1)):
-                    m = np.int64(signed(new))
-                    yield batch(_MASK_ROW, np.full(at.sum(), m), fp[at] & m, fp[at], node[at])
+class Path(NamedTuple):
+    """A way to a group: the bits that agree, and the masks whose groups come first.
 
-    return run
+    A pair that agrees on one of the ``earlier`` masks meets there and is left out here.
+    """
+
+    mask: int
+    earlier: tuple[int, ...]
+
+    @property
+    def refinable(self) -> bool:
+        return self.mask.bit_count() < 64 - FREE_BITS
 
 
-def _linked(distance: int, keep=None, alike=None):
-    """Links within groups of equal (mask, value); rows come sorted, groups are of bounded size.
+def first_paths(masks: list[int]) -> dict[int, Path]:
+    return {i + 1: Path(m, tuple(masks[:i])) for i, m in enumerate(masks)}
 
-    ``keep`` tests the differing bits of many pairs, ``alike`` the texts of one pair;
-    a pair whose ends are already connected needs no test of its texts.
+
+def finer_paths(number: int, path: Path, distance: int) -> dict[int, Path]:
+    masks = finer(path.mask, distance)
+    return {number * 32 + i + 1: Path(m, path.earlier + tuple(masks[:i])) for i, m in enumerate(masks)}
+
+
+class Nearness(NamedTuple):
+    """What makes two rows a link.
+
+    ``keep`` tests differing bits and ``sizes`` bounds the ratio of the rows' sizes, for
+    many pairs at once; ``alike`` compares two texts.
     """
-    names = ["mask", "value", "fp", "node", *(["text"] if alike else [])]
 
-    def near_bits(differ: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(differ) <= distance
-        if keep is not None:
-            near[near] = keep(differ[near])
-        return near
+    distance: int
+    keep: Callable[[np.ndarray], np.ndarray] | None = None
+    sizes: float | None = None
+    alike: Callable[[str, str], bool] | None = None
+
+
+def _links(near: Nearness, paths: dict[int, Path]):
+    """Links within groups of equal (path, value); rows come sorted, groups are of bounded size."""
+    names = ["path", "value", "fp", "node", *(["size"] if near.sizes else []), *(["text"] if near.alike else [])]
+
+    def close(rows, a, b) -> np.ndarray:
+        """Which pairs of rows are near, by all that can be told without their texts."""
+        bits = rows[2].view(np.uint64)
+        differ = bits[a] ^ bits[b]
+        ok = np.bitwise_count(differ) <= near.distance
+        if near.keep is not None:
+            ok[ok] = near.keep(differ[ok])
+        if near.sizes:
+            x, y = rows[4][a][ok] if np.ndim(a) else rows[4][a], rows[4][b][ok]
+            ok[ok] = np.minimum(x, y) >= near.sizes * np.maximum(x, y) - 1e-9
+        return ok
 
     def link(forest: Forest, rows, i: int, j: int) -> bool:
+        """Connect two near rows; connected ones need no look at their texts."""
         a, b = int(rows[3][i]), int(rows[3][j])
         if forest.find(a) == forest.find(b):
             return True
-        if alike is not None and not alike(rows[4][i], rows[4][j]):
+        if near.alike is not None and not near.alike(rows[-1][i], rows[-1][j]):
             return False
         return forest.join(a, b)
 
     def compare(rows, size: np.ndarray, forest: Forest) -> None:
-        """All pairs of many small groups, by their distance in the sorted order."""
+        """All pairs of many groups, by their distance in the sorted order; each pair on its first path only."""
         left = np.repeat(np.cumsum(size), size) - np.arange(len(rows[0])) - 1  # rows of the group after each
         bits = rows[2].view(np.uint64)
         active, shift = np.flatnonzero(left > 0), 1
         while len(active):
-            for i in active[near_bits(bits[active] ^ bits[active + shift])]:
-                link(forest, rows, i, i + shift)
+            a = active[close(rows, active, active + shift)]
+            for number in np.unique(rows[0][a]):
+                own = a[rows[0][a] == number]
+                for mask in paths[int(number)].earlier:
+                    own = own[(bits[own] ^ bits[own + shift]) & np.uint64(mask) != 0]
+                for i in own:
+                    link(forest, rows, i, i + shift)
             shift += 1
             active = active[left[active] >= shift]
 
     def walk(rows, forest: Forest) -> None:
-        """One large group: from number to number, each compared with those not reached yet."""
-        bits, rest = rows[2].view(np.uint64), np.arange(len(rows[0]))
+        """One group that nothing can cut: from row to row, each compared with those not reached yet."""
+        rest = np.arange(len(rows[0]))
         while len(rest):
             todo, rest = [rest[0]], rest[1:]
             while todo and len(rest):
                 at = todo.pop()
-                near = near_bits(bits[rest] ^ bits[at])
-                for k in np.flatnonzero(near):
-                    near[k] = link(forest, rows, at, rest[k])
-                todo.extend(rest[near])
-                rest = rest[~near]
+                reached = close(rows, at, rest)
+                for k in np.flatnonzero(reached):
+                    reached[k] = link(forest, rows, at, rest[k])
+                todo.extend(rest[reached])
+                rest = rest[~reached]
 
     def settle(rows, forest: Forest) -> None:
         start = np.flatnonzero(np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
         size = np.diff(np.r_[start, len(rows[0])])
-        many = size > 2 * GROUP_ROWS
+        many = size > GROUP_ROWS
         for i, n in zip(start[many], size[many]):
             walk([r[i : i + n] for r in rows], forest)
-        small = np.repeat(~many, size)
-        compare([r[small] for r in rows], size[~many], forest)
+        some = np.repeat(~many & (size > 1), size)
+        compare([r[some] for r in rows], size[~many & (size > 1)], forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None
@@ -117,54 +148,54 @@ def _linked(distance: int, keep=None, alike=None):
     return run
 
 
-def bounded_groups(numbers: DataFrame, distance: int, first: list[int], stage: Stage) -> Iterator[DataFrame]:
-    """Staged rows ``mask, value, fp, node`` of groups in which all near pairs of (``fp``, ``node``) meet.
+def _value(paths: dict[int, Path]) -> Column:
+    """The bits of ``fp`` that the row's path looks at."""
+    entries = [F.lit(x) for number, path in paths.items() for x in (number, signed(path.mask))]
+    masks = F.create_map(*[e.cast("int") if i % 2 == 0 else e.cast("bigint") for i, e in enumerate(entries)])
+    return F.col("fp").bitwiseAND(F.element_at(masks, F.col("path")))
+
+
+def _along(rows: DataFrame, numbers: Column) -> DataFrame:
+    """The rows once for each of the paths' numbers."""
+    return rows.withColumn("path", F.explode(numbers))
 
-    ``first`` are masks of which any two near numbers agree on at least one. Groups of
-    equal masked bits are ready when they are small. The larger ones are cut by
-    further bits, of which again one block in ``distance + 1`` must agree, until the
-    bits left free bound the numbers of a group; no group is sampled or cut off.
-    """
-    shape = "mask bigint, value bigint, fp bigint, node bigint"
-    start = numbers.select(F.lit(0).cast("bigint").alias("mask"), "fp", "node")
-    rows = stage.table(arrow_map(start, _spread(lambda _: first), shape))
-    while True:
-        sizes = rows.groupBy("mask", "value").count().where("count > 1")
-        sizes = stage.table(sizes.select(F.col("mask").alias("gm"), F.col("value").alias("gv"), "count"))
-        of_group = (F.col("mask") == F.col("gm")) & (F.col("value") == F.col("gv"))
-        small = (F.col("count") <= GROUP_ROWS) | (F.bit_count(F.col("gm")) >= 64 - FREE_BITS)
-        yield stage.table(rows.join(sizes.where(small), of_group, "left_semi"))
-        large = sizes.where(~small)
-        if not large.limit(1).count():
-            return
-        large = rows.join(large, of_group, "left_semi").select("mask", "fp", "node")
-        rows = stage.table(arrow_map(large, _spread(lambda m: finer(m, distance)), shape))
-
-
-def dealt(groups: DataFrame) -> DataFrame:
-    """The groups' rows, each group in one task and together."""
-    return groups.repartition("mask", "value").sortWithinPartitions("mask", "value")
-
-
-def hamming_links(
-    numbers: DataFrame,
-    distance: int,
-    first: list[int],
-    stage: Stage,
-    keep=None,
-    texts: DataFrame | None = None,
-    alike=None,
-) -> DataFrame:
-    """Links that connect all rows of (``fp``, ``node``) at most ``distance`` bits apart.
 
-    ``keep`` is a further test on the differing bits, as a numpy function; ``alike`` one
-    on the texts of a pair, which ``texts`` (``node``, ``text``) holds. Links come as
-    contracted stars per task: enough for the components, and never all pairs of
-    a group.
+def links_within(
+    numbers: DataFrame, near: Nearness, first: list[int], stage: Stage, texts: DataFrame | None = None
+) -> DataFrame:
+    """Links that connect all near rows of ``numbers`` (``fp``, ``node`` and, if sizes count, ``size``).
+
+    ``first`` are masks of which any two near numbers agree on at least one; ``texts``
+    (``node``, ``text``) are for ``near.alike``. Groups of equal masked bits are compared
+    each in one task while they are small. The larger ones are cut by further bits, of which
+    again one block in ``distance + 1`` must agree, until the bits left free bound the
+    numbers of a group; no group is sampled or cut off. Links come as contracted stars
+    per task: enough for the components, and never all pairs of a group.
     """
+    paths = first_paths(first)
+    rows = _along(numbers, F.array(*[F.lit(p).cast("int") for p in paths]))
     links = None
-    for groups in bounded_groups(numbers, distance, first, stage):
-        rows = groups if alike is None else groups.join(texts, "node")
-        found = stage.table(arrow_map(dealt(rows), _linked(distance, keep, alike), "hi bigint, lo bigint"))
+    while True:
+        sizes = rows.groupBy("path", _value(paths).alias("value")).count().where(f"count > {GROUP_ROWS}")
+        cut = [number for number, path in paths.items() if path.refinable]
+        large = stage.table(sizes.where(F.col("path").isin(cut)).select("path", "value"))
+        any_large = large.limit(1).count() > 0
+        valued = rows.withColumn("value", _value(paths))
+        ready = valued.join(large, ["path", "value"], "left_anti").drop("value") if any_large else rows
+        if texts is not None:
+            ready = ready.join(texts, "node")
+        dealt = ready.repartition(F.col("path"), _value(paths)).withColumn("value", _value(paths))
+        dealt = dealt.sortWithinPartitions("path", "value")
+        found = stage.table(arrow_map(dealt, _links(near, paths), "hi bigint, lo bigint"))
         links = found if links is None else links.union(found)
-    return links
+        if not any_large:
+            return links
+        children = {number: finer_paths(number, paths[number], near.distance) for number in cut}
+        entries = [
+            x
+            for number, own in children.items()
+            for x in (F.lit(number).cast("int"), F.array(*[F.lit(c).cast("int") for c in own]))
+        ]
+        kept = valued.join(large, ["path", "value"], "left_semi").drop("value")
+        rows = stage.table(_along(kept, F.element_at(F.create_map(*entries), F.col("path"))))
+        paths = {number: path for own in children.values() for number, path in own.items()}

@@ -171,6 +171,7 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
         seen = found
         near = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = near.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+        least = stage.table(least)  # of known size, and a join of two plain tables is one that Spark can split
         large = near.join(least, "u").where("v > u").selectExpr("v AS hi", "m AS lo").distinct()
         large = stage.table(large)
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))

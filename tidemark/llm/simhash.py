@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.hamming import blocks_of, hamming_links
+from tidemark.llm.hamming import Nearness, blocks_of, links_within
 from tidemark.llm.shared import Stage, arrow_map, col, components, signed, text_or_empty
 
 SEED = 42
@@ -133,7 +133,7 @@ def simhash_components(
         named = classes.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     else:
         numbers = classes.select("fp", F.col("fp").alias("node"))
-        links = hamming_links(numbers, distance, ring_masks(distance), stage, chain_test(distance))
+        links = links_within(numbers, Nearness(distance, chain_test(distance)), ring_masks(distance), stage)
         roots = components(links, stage)
         rooted = classes.join(roots, classes.fp == roots.node, "left").select(
             "fp", "least", F.coalesce("root", "fp").alias("root")
