@@ -4,16 +4,21 @@ The order log is derived from the ``orders`` table. Queries downstream of the
 store selection run at the default percentile (0.95) and, with the suffix
 ``_p50``, on the busier half of the stores, where more branches occur.
 
-Averages are published at single precision and coefficients at 7 decimals, so
-that two engines adding doubles in different orders agree to the last digit;
-dates are published as ISO text, whole numbers with NULLs as doubles.
+Means of times, which come from whole microseconds, are published as they are.
+What engines add up in different orders is rounded, sums and means of doubles to
+6 decimals and coefficients to 7, which leaves whole numbers whole. Dates are
+published as ISO text, whole numbers with NULLs as doubles.
+
+Building a query on a study runs jobs: the tables that several of its steps read
+are staged in the shared folder first. They stay as long as results may be read
+from them, and go with the session.
 """
 
 from __future__ import annotations
 
 import os
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +32,7 @@ from tidemark import Study, StudyConfig  # noqa: E402
 from tidemark import schema as S  # noqa: E402
 from tidemark.functions.columns import level_range  # noqa: E402
 from tidemark.operators import concurrency, kpis, lifecycle, reports, selection, statistics, thresholds  # noqa: E402
+from tidemark.sinks.tables import REPORT_NAMES  # noqa: E402
 from tidemark.sources import order_log  # noqa: E402
 from tidemark.sources.orders_table import order_log_from_orders  # noqa: E402
 
@@ -38,18 +44,24 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_log_from_orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
-def _publish(df: DataFrame, absolute: tuple[str, ...] = (), as_double: tuple[str, ...] = ()) -> DataFrame:
+#: Quotients of whole numbers: equal on both engines to the last digit.
+EXACT = {*S.TIME_MEANS, *(d.name for d in S.DURATIONS), "mean_ongoing"}
+
+
+def _publish(
+    df: DataFrame, absolute: tuple[str, ...] = (), as_double: tuple[str, ...] = (), exact: Collection[str] = EXACT
+) -> DataFrame:
     def shown(field: T.StructField) -> str:
         name = f"`{field.name}`"
         if isinstance(field.dataType, T.DateType):
             return f"CAST({name} AS STRING) AS {name}"
         if field.name in as_double:
             return f"CAST({name} AS DOUBLE) AS {name}"
-        if not isinstance(field.dataType, T.DoubleType):
+        if not isinstance(field.dataType, T.DoubleType) or field.name in exact:
             return name
         if field.name in absolute:
             return f"round({name}, 7) + 0.0D AS {name}"
-        return f"CAST(CAST({name} AS FLOAT) AS DOUBLE) AS {name}"
+        return f"round({name} + {oracle_queries.OFF_TIES}D, 6) + 0.0D AS {name}"
 
     return df.selectExpr(*[shown(f) for f in df.schema.fields])
 
@@ -57,23 +69,30 @@ def _publish(df: DataFrame, absolute: tuple[str, ...] = (), as_double: tuple[str
 def _published(name: str, df: DataFrame) -> DataFrame:
     """The result of query ``name`` in its published types and precision."""
     coefficients = tuple(S.CONCEPTS) if name == "kpi_r2" else ("r2", "corr")
-    return _publish(df, coefficients, tuple(oracle_queries.NULLABLE_COUNTS.get(name, ())))
+    nullable = tuple(oracle_queries.NULLABLE_COUNTS.get(name, ()))
+    means_of_means = name in ("kpi_r2", "kpis_by_level_range")
+    return _publish(df, coefficients, nullable, () if means_of_means else EXACT)
 
 
 # --- queries on the log ----------------------------------------------------
 
 
 def _as_csv_text(log: DataFrame) -> DataFrame:
-    """Timestamps written the way the CSV log holds them, blanks included."""
-    return log.withColumns({c: F.expr(f"coalesce(CAST({c} AS STRING), '')") for c in S.LIFECYCLE})
+    """Timestamps written the way CSV logs hold them, in all forms that are read, blanks included."""
+
+    def text(c: str) -> str:
+        forms = ["yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy.MM.dd HH:mm:ss", "yyyyMMdd HH:mm:ss"]
+        forms += ["yyyy-MM-dd hh:mm:ss a", "yyyy-MM-dd'T'HH:mm:ss'Z'"]
+        cases = " ".join(f"""WHEN {i} THEN date_format({c}, "{form}")""" for i, form in enumerate(forms))
+        away = f"""date_format({c} - INTERVAL '5' HOUR, "yyyy-MM-dd'T'HH:mm:ss'-05:00'")"""
+        return f"coalesce(CASE {S.ORDER} % {len(forms) + 1} {cases} ELSE {away} END, '')"
+
+    return log.withColumns({c: F.expr(text(c)) for c in S.LIFECYCLE})
 
 
 def _grid_counts(orders: DataFrame, grid: DataFrame) -> DataFrame:
     """Grid minutes with the number of orders ongoing at each."""
-    per_minute = concurrency.ongoing_minutes_on_grid(orders, grid).groupBy("minute").agg(
-        F.count(S.ORDER).alias("order_minutes")
-    )
-    counted = grid.join(per_minute, "minute", "left")
+    counted = grid.join(concurrency.ongoing_per_minute(orders), "minute", "left")
     return counted.withColumn("order_minutes", F.coalesce("order_minutes", F.lit(0).cast("bigint")))
 
 
@@ -174,11 +193,6 @@ def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
         study.share("by_level")
         return reports.report_level_long(study.by_level, study.store_kpis_long, study.r2_long)
 
-    def wide_levels(study: Study) -> DataFrame:
-        study.share("by_level")
-        header = oracle_queries.REPORT_LEVELS
-        return reports.report_level(study.by_level, study.store_kpis_long, study.r2_long, header)
-
     def impact_part(column: str) -> Callable[[Study], DataFrame]:
         return lambda study: study.impacts.select(*GROUP, "concept", column)
 
@@ -189,6 +203,13 @@ def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
 
         return run
 
+    def written(report: str) -> Callable[[Study], DataFrame]:
+        def run(study: Study) -> DataFrame:
+            (path,) = study.write_reports(f"{study.staging.root}/reports", only=[report])
+            return study.log.sparkSession.read.parquet(path)
+
+        return run
+
     tables: dict[str, Callable[[Study], DataFrame]] = {
         "reconcile_by_store": _reconcile,
         "ongoing_minutes": on_shared_orders(
@@ -222,7 +243,7 @@ def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
         "impacts": lambda s: s.impacts,
         "store_suggestions": lambda s: s.store_suggestions,
         "report_hour": lambda s: s.report_hour,
-        "report_level": wide_levels,
+        "report_level": lambda s: s.report_level,
         "report_level_long": long_levels,
         "level_range": levels,
         "kpis_by_level_range": ranges,
@@ -235,19 +256,25 @@ def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
         "series_costs": lambda s: reports.series_costs(s.by_level, s.busiest_stores),
         "scatter_input": lambda s: reports.scatter_input(s.by_level),
     }
+    for report in REPORT_NAMES.values():
+        tables[f"written_{report.lower()}"] = written(report)
     for suffix in thresholds.THRESHOLD_KPIS:
         tables[f"impact_{suffix}"] = lambda s, suffix=suffix: thresholds.impact(s.thresholds, suffix)
     return tables
 
 
-def _study_query(name: str, build: Callable[[Study], DataFrame], percentile: float) -> Query:
+def _study_query(name: str, build: Callable[[Study], DataFrame], cfg: StudyConfig) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        study = Study(_log(spark, sf_dir), StudyConfig(percentile=percentile))
-        return _published(name, build(study))
+        return _published(name, build(Study(_log(spark, sf_dir), cfg)))
 
     return run
 
 
+#: One brand of the stores above a percentile of all stores.
+NAMED = StudyConfig(percentile=0.2, store_name="STORE_12")
+NAMED_QUERIES = ("kpis_by_level", "store_suggestions")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """KPIs per store, name and level of concurrency."""
     return queries()["kpis_by_level"](spark, "/root/testdata/sf0.001")
@@ -275,14 +302,19 @@ def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
 
 
 def queries() -> dict[str, Query]:
+    """One callable per query; those on a study run staging jobs when called, see above."""
     found = _log_queries()
     for name, build in _study_tables().items():
-        found[name] = _study_query(name, build, 0.95)
-        found[f"{name}_p50"] = _study_query(name, build, 0.5)
+        found[name] = _study_query(name, build, StudyConfig())
+        found[f"{name}_p50"] = _study_query(name, build, StudyConfig(percentile=0.5))
+        if name in NAMED_QUERIES:
+            found[f"{name}_named"] = _study_query(name, build, NAMED)
     return {**found, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
     half = {f"{name}_p50": sql for name, sql in oracle_queries.study_sql(0.5).items()}
-    own = {**oracle_queries.selection_sql(0.95), **oracle_queries.study_sql(0.95), **half}
+    brand = oracle_queries.study_sql(NAMED.percentile, NAMED.store_name)
+    named = {f"{name}_named": brand[name] for name in NAMED_QUERIES}
+    own = {**oracle_queries.selection_sql(0.95), **oracle_queries.study_sql(0.95), **half, **named}
     return {**own, **_training_data()[1]}

@@ -11,10 +11,12 @@ import re
 
 KPIS = ["min_dispatch", "min_accept", "min_wtp", "min_prep_time", "min_dt", "cpo", "cm0"]
 MEANS = [f"avg_{k}" for k in KPIS]
+COSTS = MEANS[5:]
+# added before rounding to 6 decimals: means of a few decimals often end in the middle of two of them
+OFF_TIES = "1.234567e-8"
 CONCEPTS = ["delivered", "cancels", *MEANS]
 THRESHOLDS = {"dispatch": "avg_min_dispatch", "accept": "avg_min_accept", "wtp": "avg_min_wtp", "prep_time": "avg_min_prep_time"}
 RANGES = ["01--05", "05--10", "10--15", "15--20", "20--25", "25--30", "30--35", "35--40", "40--45", "45--50", "50+"]
-REPORT_LEVELS = range(1, 101)
 # whole-number columns that hold NULLs, published as doubles
 NULLABLE_COUNTS = {
     "status_flags": ["delivered", "cancels"],
@@ -99,8 +101,9 @@ def _threshold_ctes() -> dict[str, str]:
     return out
 
 
-def _ctes(percentile: float) -> dict[str, str]:
+def _ctes(percentile: float, store_name: str | None = None) -> dict[str, str]:
     by = "store_address_id, store_name"
+    brand = f" AND store_name = '{store_name}'" if store_name else ""
     joined_impacts = " ".join(
         f"LEFT JOIN imp_{s} ON imp_{s}.store_address_id = g.store_address_id AND imp_{s}.store_name IS NOT DISTINCT FROM g.store_name"
         for s in THRESHOLDS
@@ -126,7 +129,7 @@ def _ctes(percentile: float) -> dict[str, str]:
     date_diff('microsecond', partner_accepted_time_local, pickup_time_local) AS us_prep_time,
     date_diff('microsecond', activation_time_local, delivery_time_local) AS us_dt
   FROM log""",
-        "selected": "SELECT * FROM facts WHERE store_address_id IN (SELECT store_address_id FROM top)",
+        "selected": f"SELECT * FROM facts WHERE store_address_id IN (SELECT store_address_id FROM top){brand}",
         "day_grid": "SELECT CAST(range AS INTEGER) AS minute FROM range(0, 1440)",
         "grid": "SELECT minute FROM day_grid WHERE minute >= 420 AND minute < 1260",
         "minute_rows": """
@@ -244,11 +247,13 @@ def _needed(ctes: dict[str, str], text: str) -> list[str]:
     return [n for n in ctes if n in wanted]
 
 
-def _sql(percentile: float, final: str, cut: list[str] = (), absolute: list[str] = (), dated: bool = False) -> str:
-    """Full statement; ``cut`` columns at single precision, ``absolute`` at 7 decimals, dates as text."""
-    ctes = _ctes(percentile)
+def _sql(
+    scope: tuple[float, str | None], final: str, cut: list[str] = (), absolute: list[str] = (), dated: bool = False
+) -> str:
+    """Full statement; ``cut`` columns rounded to 6 decimals, ``absolute`` to 7, dates as text."""
+    ctes = _ctes(*scope)
     names = _needed(ctes, final)
-    changes = [f'CAST(CAST("{c}" AS FLOAT) AS DOUBLE) AS "{c}"' for c in cut]
+    changes = [f'round("{c}" + {OFF_TIES}, 6) + 0.0 AS "{c}"' for c in cut]
     changes += [f'round(CAST("{c}" AS DOUBLE), 7) + 0.0 AS "{c}"' for c in absolute]
     changes += ['CAST("date" AS VARCHAR) AS "date"'] * dated
     body = f"SELECT * REPLACE ({', '.join(changes)}) FROM ({final}) AS result" if changes else final
@@ -273,8 +278,9 @@ def _published(statements: dict[str, str]) -> dict[str, str]:
     return out
 
 
-def selection_sql(p: float) -> dict[str, str]:
+def selection_sql(percentile: float) -> dict[str, str]:
     """Queries on the log and the store selection."""
+    p = (percentile, None)
     tod = "dispatch_tod, pickup_tod"
     minutes = [f"{k}" for k in KPIS[:5]]
     durations = ", ".join(f"us_{k[4:]} / 60000000.0 AS {k}" for k in minutes)
@@ -283,7 +289,7 @@ def selection_sql(p: float) -> dict[str, str]:
         "parse_lifecycle": _sql(p, f"SELECT order_id, {', '.join(TIMESTAMPS)} FROM log"),
         "time_of_day": _sql(p, f"SELECT order_id, {tod} FROM facts"),
         "status_flags": _sql(p, "SELECT order_id, delivered, cancels FROM facts"),
-        "duration_kpis": _sql(p, f"SELECT order_id, {durations} FROM facts", minutes),
+        "duration_kpis": _sql(p, f"SELECT order_id, {durations} FROM facts"),
         "minute_grid": _sql(p, """SELECT concat(CAST(minute // 60 AS VARCHAR), ':', lpad(CAST(minute % 60 AS VARCHAR), 2, '0'), ':00') AS hourmin,
     minute, count(order_id) AS order_minutes
   FROM day_grid LEFT JOIN facts ON dispatch_tod <= minute * 60 AND pickup_tod > minute * 60 GROUP BY minute"""),
@@ -296,13 +302,14 @@ def selection_sql(p: float) -> dict[str, str]:
         "orders_of_named_store": _sql(p, "SELECT order_id, store_address_id, store_name FROM log WHERE store_name = 'STORE_7'"),
         "store_totals": _sql(p, "SELECT count(*) AS n, CAST(sum(orders) AS BIGINT) AS orders FROM delivered_counts"),
         "store_totals_percentile": _sql(p, f"""SELECT count(*) AS n, CAST(sum(orders) AS BIGINT) AS orders FROM delivered_counts
-  WHERE orders >= (SELECT quantile_cont(orders, {p}) FROM delivered_counts)"""),
+  WHERE orders >= (SELECT quantile_cont(orders, {percentile}) FROM delivered_counts)"""),
         "store_order_distribution": _sql(p, "SELECT orders, count(DISTINCT store_address_id) AS addresses FROM delivered_counts GROUP BY orders"),
     })
 
 
-def study_sql(p: float) -> dict[str, str]:
+def study_sql(percentile: float, store_name: str | None = None) -> dict[str, str]:
     """Queries downstream of the store selection."""
+    p = (percentile, store_name)
     by = "store_address_id, store_name"
     concepts, means = ", ".join(CONCEPTS), ", ".join(MEANS)
     reconciled = {
@@ -318,10 +325,12 @@ def study_sql(p: float) -> dict[str, str]:
     value_join = "JOIN store_kpi_long k ON k.store_address_id = w.store_address_id AND k.concept = w.concept"
     r2_join = "JOIN r2_rows r ON r.store_address_id = w.store_address_id AND r.concept = w.concept"
     hour_long = _long("kpi_hour", f"{by}, hour", CONCEPTS, "value")
-    level_long = _long("kpi_level", f"{by}, ongoing_orders", CONCEPTS, "value")
     range_concepts = ["delivered", "accum", "perc", *MEANS]
     range_long = _long("cumul", f"{by}, level_range", range_concepts, "value")
-    hours, levels = list(range(7, 21)), list(REPORT_LEVELS)
+    hours = list(range(7, 21))
+    rounded_levels = f"""SELECT w.store_address_id, w.store_name, w.concept, round(r.r2, 7) + 0.0 AS r2,
+    round(k.value + {OFF_TIES}, 6) + 0.0 AS value, w.ongoing_orders, round(w.cell + {OFF_TIES}, 6) + 0.0 AS cell
+  FROM ({_long("kpi_level", f"{by}, ongoing_orders", CONCEPTS, "cell")}) w {value_join} {r2_join}"""
     correlated = ["ongoing_orders", "delivered", "cancels", *MEANS[:4]]
     complete = " AND ".join(f"{c} IS NOT NULL" for c in correlated)
 
@@ -345,25 +354,25 @@ def study_sql(p: float) -> dict[str, str]:
         "ongoing_minutes": _sql(p, f"SELECT order_id, {by}, date, minute FROM minute_rows", dated=True),
         "ongoing_concurrency": _sql(p, f"SELECT order_id, {by}, date, minute, ongoing AS ongoing_orders FROM conc", dated=True),
         "order_level": _sql(p, """SELECT order_id, count(*) AS minutes_ongoing, avg(ongoing) AS mean_ongoing,
-    any_value(ongoing_orders) AS ongoing_orders FROM lvl GROUP BY order_id""", ["mean_ongoing"]),
-        "store_kpis": _sql(p, f"SELECT store_address_id, {concepts} FROM store_kpi", MEANS),
+    any_value(ongoing_orders) AS ongoing_orders FROM lvl GROUP BY order_id"""),
+        "store_kpis": _sql(p, f"SELECT store_address_id, {concepts} FROM store_kpi", COSTS),
         "store_kpis_long": _sql(p, "SELECT store_address_id, concept, value FROM store_kpi_long", ["value"]),
         "store_wtp_totals": _sql(p, "SELECT * FROM store_total", ["total_wtp", "avg_wtp"]),
         "outcomes_by_date_hour": _sql(p, "SELECT * FROM outcome_date_hour", dated=True),
         "outcomes_by_date_level": _sql(p, "SELECT * FROM outcome_date_level", dated=True),
         "outcomes_by_hour": _sql(p, "SELECT * FROM outcome_hour"),
         "outcomes_by_level": _sql(p, "SELECT * FROM outcome_level"),
-        "kpis_by_date_hour": _sql(p, f"SELECT {by}, date, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_date_hour", ["avg_ongoing_orders", *MEANS], dated=True),
-        "kpis_by_date_level": _sql(p, f"SELECT {by}, date, ongoing_orders, {concepts} FROM kpi_date_level", MEANS, dated=True),
-        "kpis_by_hour": _sql(p, f"SELECT {by}, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_hour", ["avg_ongoing_orders", *MEANS]),
-        "kpis_by_level": _sql(p, f"SELECT {by}, ongoing_orders, {concepts} FROM kpi_level", MEANS),
+        "kpis_by_date_hour": _sql(p, f"SELECT {by}, date, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_date_hour", ["avg_ongoing_orders", *COSTS], dated=True),
+        "kpis_by_date_level": _sql(p, f"SELECT {by}, date, ongoing_orders, {concepts} FROM kpi_date_level", COSTS, dated=True),
+        "kpis_by_hour": _sql(p, f"SELECT {by}, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_hour", ["avg_ongoing_orders", *COSTS]),
+        "kpis_by_level": _sql(p, f"SELECT {by}, ongoing_orders, {concepts} FROM kpi_level", COSTS),
         "kpi_r2": _sql(p, "SELECT * FROM r2", absolute=CONCEPTS),
         "kpi_r2_long": _sql(p, "SELECT * FROM r2_rows", absolute=["r2"]),
         "level_kpi_correlation": _sql(p, correlation(False), absolute=["corr"]),
         "level_kpi_correlation_strict": _sql(p, correlation(True), absolute=["corr"]),
         "threshold_argmax": _sql(p, f"SELECT {by}, ongoing_orders, threshold_dispatch, threshold_accept FROM with_threshold"),
         "threshold_second_exceedance": _sql(p, f"SELECT {by}, ongoing_orders, threshold_wtp, threshold_prep_time FROM with_threshold"),
-        "level_thresholds": _sql(p, "SELECT * FROM with_threshold", MEANS),
+        "level_thresholds": _sql(p, "SELECT * FROM with_threshold", COSTS),
     }
     for s in THRESHOLDS:
         out[f"impact_{s}"] = _sql(p, f"SELECT * FROM imp_{s}", [f"wtp_impact_{s}"])
@@ -374,10 +383,9 @@ def study_sql(p: float) -> dict[str, str]:
         "impacts": _sql(p, "SELECT * FROM impacts", ["wtp_impact"]),
         "store_suggestions": _sql(p, "SELECT * FROM suggested", ["perc_lost", "impact_wtp", "real_wtp"]),
         "report_hour": _sql(p, _pivoted(hour_long, "hour", hours, "k.value AS value", value_join), ["value", *map(str, hours)]),
-        "report_level": _sql(p, _pivoted(level_long, "ongoing_orders", levels, "r.r2 AS r2, k.value AS value", f"{value_join} {r2_join}"),
-                             ["value", *map(str, levels)], ["r2"]),
-        "report_level_long": _sql(p, f"""SELECT w.store_address_id, w.store_name, w.concept, r.r2, k.value, w.ongoing_orders, w.cell
-  FROM ({_long("kpi_level", f"{by}, ongoing_orders", CONCEPTS, "cell")}) w {value_join} {r2_join}""", ["value", "cell"], ["r2"]),
+        "report_level": _sql(p, f"""SELECT * FROM (PIVOT ({rounded_levels}) ON ongoing_orders USING first(cell)
+  GROUP BY store_address_id, store_name, concept, r2, value)"""),
+        "report_level_long": _sql(p, rounded_levels),
         "level_range": _sql(p, f"SELECT {by}, ongoing_orders, level_range FROM ranged"),
         "kpis_by_level_range": _sql(p, f"SELECT {by}, level_range, {concepts} FROM rollup_range", MEANS),
         "cumulative_by_range": _sql(p, f"SELECT {by}, level_range, delivered, accum, perc FROM cumul", ["perc"]),
@@ -386,6 +394,8 @@ def study_sql(p: float) -> dict[str, str]:
         "series_times": _sql(p, _long("charted", f"{by}, ongoing_orders, avg_cpo, avg_cm0", MEANS[:5], "value", "kpi"), ["avg_cpo", "avg_cm0", "value"]),
         "series_orders": _sql(p, _long("charted", f"{by}, ongoing_orders", ["delivered", "cancels"], "value", "kpi")),
         "series_costs": _sql(p, _long("charted", f"{by}, ongoing_orders", MEANS[5:], "value", "kpi"), ["value"]),
-        "scatter_input": _sql(p, f"SELECT ongoing_orders, {', '.join(MEANS[:4])} FROM kpi_level", MEANS[:4]),
+        "scatter_input": _sql(p, f"SELECT ongoing_orders, {', '.join(MEANS[:4])} FROM kpi_level"),
     }
+    reports = {"infohour": "report_hour", "infooo": "report_level", "infogroup": "report_level_range", "impacts": "store_suggestions"}
+    out |= {f"written_{name}": out[report] for name, report in reports.items()}
     return _published(out)

@@ -226,6 +226,33 @@ def test_parse_text_timestamps(spark):
     assert got == [at("06-01 10:00:00"), at("06-01 10:00:00.25"), None, None, None, None, None]
 
 
+@pytest.mark.parametrize(
+    "text, clock",
+    [
+        ("2020/06/01 10:00:00", "06-01 10:00:00"),
+        ("2020.06.01 10:00:00", "06-01 10:00:00"),
+        ("20200601 10:00:00", "06-01 10:00:00"),
+        ("20200601 100000", "06-01 10:00:00"),
+        ("2020-6-1 9:05:07", "06-01 09:05:07"),
+        (" 2020-06-01T10:00:00 ", "06-01 10:00:00"),
+        ("2020-06-01 10:00:00 PM", "06-01 22:00:00"),
+        ("2020-06-01 12:00:01 am", "06-01 00:00:01"),
+        ("2020/06/01 12:30:00 PM", "06-01 12:30:00"),
+        ("2020-06-01T10:00:00Z", "06-01 10:00:00"),
+        ("2020-06-01T10:00:00-05:00", "06-01 15:00:00"),
+        ("2020-06-01 03:00:00+0530", "05-31 21:30:00"),
+        ("2020-06-01 10:00:00.25", "06-01 10:00:00.25"),
+        ("2020-13-01 10:00:00", None),
+        ("2020/06/01 10:61:00", None),
+        ("2020-06-01 10:00", None),
+        ("1:2:3", None),
+    ],
+)
+def test_forms_of_timestamps(spark, text, clock):
+    log = spark.createDataFrame([(text,)], "t string").selectExpr(*[f"t AS {c}" for c in S.LIFECYCLE])
+    assert lifecycle.parse_lifecycle(log).collect()[0][0] == (at(clock) if clock else None)
+
+
 def test_durations_keep_sign_and_fractions(spark):
     row = order(1, "06-01 10:00:00", "06-01 10:01:30.5", enters_pickup_local=at("06-01 10:05:00"))
     got = lifecycle.duration_minutes(lifecycle.duration_micros(log_of(spark, [row]))).collect()[0]

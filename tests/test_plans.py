@@ -84,6 +84,26 @@ def test_curve_combines_events_before_the_shuffle(study):
     assert "explode" not in text
 
 
+def test_grid_counts_make_two_rows_an_order(study):
+    """Events, not a row per order and minute; the only other rows made are minutes of the day."""
+    counted = concurrency.ongoing_per_minute(study.orders)
+    text = plan(counted)
+    assert text.count("Generate inline") == text.count("Generate explode") == 1
+    assert "functions=[partial_sum(step" in text
+    assert text.index("Generate explode") < text.index("Window") < text.index("Generate inline")
+
+
+def test_reports_build_the_curve_once(spark, tmp_path):
+    made = Study(entry._log(spark, SF_DIR), StudyConfig(percentile=0.5))
+    made.write_reports(str(tmp_path))
+    root = made.staging.root.removeprefix("file:")
+    for table in (made.by_hour, made.levelled):
+        assert "lead(minute" not in plan(table)
+    read = set(re.findall(rf"{re.escape(root)}/(\w+)", plan(kpis.store_kpis_of_levels(made.level_sums, made.level_outcomes))))
+    assert read == {"level_sums", "level_outcomes"}
+    made.close()
+
+
 def test_thresholds_share_one_partitioning(study):
     """Both window rounds and the impact aggregation use a single shuffle."""
     study.share("by_level")

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import csv
 import os
+import subprocess
+import sys
+import time
 
 import pytest
 from builders import at, level_table, log_of, order
-from conftest import SF_DIR
+from conftest import ROOT, SF_DIR
 from pyspark.errors import PySparkException
 
 import __spark_entry__ as entry
@@ -122,12 +125,121 @@ def test_cancels_in_range_report_on_request(spark):
     assert concepts == {*S.OUTCOMES, "accum", "perc", *S.KPI_MEANS}
 
 
-def test_level_outside_the_header_fails(spark):
-    table = level_table(spark, [("A", 1, 1, 1.0, 1.0), ("A", 9, 1, 1.0, 1.0)])
+def test_header_comes_from_the_data(spark):
+    table = level_table(spark, [("A", 9, 1, 1.0, 1.0), ("A", 1, 1, 1.0, 1.0)])
     long = reports.to_long(table, [S.STORE, S.NAME, S.LEVEL], ["delivered"], "cell")
-    assert reports._widen(long, S.LEVEL, None).columns[-2:] == ["1", "9"]
-    with pytest.raises(PySparkException, match="outside the report header"):
-        reports._widen(long, S.LEVEL, [1, 2]).collect()
+    assert reports.levels_of(table) == [1, 9]
+    assert reports._widen(long, S.LEVEL, [1, 9]).columns[-2:] == ["1", "9"]
+    assert reports._widen(long.limit(0), S.LEVEL, []).columns == [S.STORE, S.NAME, "concept"]
+
+
+def test_any_number_of_levels(spark, tmp_path):
+    """A few stores with hundreds of orders at a time, and a low limit on pivots."""
+    rows = [order(i, f"06-01 12:{i % 3:02d}:00", f"06-01 12:{5 + i % 40:02d}:00", store=1 + i % 2) for i in range(1200)]
+    limit = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "5")
+    try:
+        with Study(log_of(spark, rows), StudyConfig(percentile=0.0)) as study:
+            study.write_reports(str(tmp_path))
+            levels = reports.levels_of(study.by_level)
+            wide = spark.read.parquet(str(tmp_path / "InfoOO"))
+            assert max(levels) > 300 and len(levels) > 5
+            assert wide.columns[5:] == list(map(str, levels))
+            delivered = wide.where("concept = 'delivered'").collect()
+            assert sum(r[c] or 0 for r in delivered for c in wide.columns[5:]) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", limit)
+
+
+def test_staged_tables_go_after_a_failure(spark):
+    with pytest.raises(ZeroDivisionError), Study(entry._log(spark, SF_DIR)) as study:
+        study.share("orders")
+        root = study.staging.root.removeprefix("file://")
+        assert os.path.isdir(root)
+        raise ZeroDivisionError
+    assert not os.path.exists(root)
+
+
+def test_staged_tables_go_with_the_session(tmp_path):
+    """Also those that nobody dropped, as registered queries leave them."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+import __spark_entry__ as entry
+from tidemark.session import local_session
+spark = local_session(2, 2, spark__checkpoint__dir="file://{tmp_path}")
+assert entry.queries()["kpis_by_level"](spark, {SF_DIR!r}).count() > 0
+import os
+assert any(n.startswith("tidemark-") for n in os.listdir({str(tmp_path)!r}))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=300)
+    for _ in range(100):  # the JVM ends after its Python process
+        if not any(n.startswith("tidemark-") for n in os.listdir(tmp_path)):
+            return
+        time.sleep(0.2)
+    raise AssertionError(os.listdir(tmp_path))
+
+
+def test_one_brand_of_the_selected_stores(spark):
+    """The filters come after the percentile, which all stores make."""
+    rows = [order(i, "06-01 10:00:00", "06-01 10:05:00", store=1 + i % 2, name="AB"[i % 2]) for i in range(40)]
+    rows += [order(100 + i, "06-01 10:00:00", "06-01 10:05:00", store=3, name="B") for i in range(4)]
+    log = log_of(spark, rows)
+
+    def stores(**filters):
+        with Study(log, StudyConfig(percentile=0.5, **filters)) as study:
+            return {(r[S.STORE], r[S.NAME]) for r in study.by_level.collect()}
+
+    assert stores() == {(1, "A"), (2, "B")}
+    assert stores(store_name="B") == {(2, "B")}
+    assert stores(stores=(1, 3)) == {(1, "A")}
+    assert stores(store_name="none") == set()
+    with Study(log, StudyConfig(percentile=0.0, chart_stores=(2, 3))) as study:
+        shown = reports.series_orders(study.by_level, study.busiest_stores)
+        assert {r[S.STORE] for r in shown.collect()} == {2, 3}
+
+
+def test_grid_of_other_than_whole_minutes_is_refused(spark, tmp_path):
+    (tmp_path / "grid.csv").write_text("hourmin\n10:00:00\n10:00:30\n")
+    grid = order_log.read_minute_grid_csv(spark, str(tmp_path / "grid.csv"))
+    with pytest.raises(PySparkException, match="no whole minute: 10:00:30"):
+        grid.collect()
+
+
+def test_reports_as_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS reports_test LOCATION '{tmp_path}/db'")
+    try:
+        with Study(entry._log(spark, SF_DIR), StudyConfig(percentile=0.5)) as study:
+            for _ in range(2):  # the second time they are replaced
+                names = study.write_reports(tables="reports_test.june_")
+            assert names == [f"reports_test.june_{n}" for n in REPORT_NAMES.values()]
+            assert spark.table("reports_test.june_Impacts").count() == study.store_suggestions.count() > 0
+            for wrong in ({}, {"folder": "x", "tables": "y"}):
+                with pytest.raises(ValueError):
+                    study.write_reports(**wrong)
+    finally:
+        spark.sql("DROP DATABASE reports_test CASCADE")
+
+
+def test_command_line_ignores_the_zone_of_the_cluster(spark, tmp_path):
+    """A log whose timestamps are moments, written under UTC, read by a session elsewhere."""
+    from tidemark.__main__ import main
+
+    log = entry._log(spark, SF_DIR)
+    moments = log.selectExpr(*[f"CAST({c} AS TIMESTAMP) AS {c}" if c in S.LIFECYCLE else c for c in log.columns])
+    moments.write.parquet(str(tmp_path / "log"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.sql("CREATE DATABASE IF NOT EXISTS zone_test")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Lima")
+        main(["--log", str(tmp_path / "log"), "--log-format", "parquet", "--out-table", "zone_test.r_", "--stores", "10,11,12"])
+        got = spark.table("zone_test.r_InfoHour").collect()
+        with Study(log, StudyConfig(stores=(10, 11, 12))) as study:
+            assert sorted(got, key=repr) == sorted(study.report_hour.collect(), key=repr)
+        assert got
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        spark.sql("DROP DATABASE zone_test CASCADE")
 
 
 def test_shared_folder_is_the_configured_one(spark):

@@ -12,6 +12,11 @@ class StudyConfig:
     # store selection
     percentile: float = 0.95
     top_n: int = 30
+    # one brand, or a fixed list of stores, of those selected
+    store_name: str | None = None
+    stores: tuple[int, ...] | None = None
+    # the stores of the charts; the top_n busiest if not given
+    chart_stores: tuple[int, ...] | None = None
     # working hours, [open_hour, close_hour)
     open_hour: int = 7
     close_hour: int = 21

@@ -9,8 +9,38 @@ from tidemark.config import StudyConfig
 
 
 def local_timestamp(text: str) -> str:
-    """SQL for the wall clock in a ``Y-m-d H:M:S`` string; anything else is NULL."""
-    return rf"CASE WHEN {text} RLIKE r'\d:\d{{1,2}}:\d' THEN try_cast({text} AS TIMESTAMP_NTZ) END"
+    """SQL for the wall clock in a year-month-day and hour-minute-second string.
+
+    Parts may stand apart by ``-``, ``/`` or ``.`` and by ``:``, or be written without
+    separators; the hour may be followed by AM or PM, the whole by a UTC offset,
+    which is then taken off. Anything else is NULL.
+    """
+    date, time = r"(\d{4})[-/.]?(\d{1,2})[-/.]?(\d{1,2})", r"(\d{1,2}):?(\d{1,2}):?(\d{1,2}(?:[.]\d+)?)"
+    marks = r"\s*([AaPp][Mm])?\s*(Z|[-+]\d{2}:?\d{2})?"
+    form = rf"^\s*{date}(?:\s+|[Tt])\s*{time}{marks}\s*$"
+
+    def part(n: int) -> str:
+        return f"regexp_extract({text}, r'{form}', {n})"
+
+    half = f"upper({part(7)})"
+    hour = (
+        f"CASE {half} WHEN 'PM' THEN CAST({part(4)} AS INT) % 12 + 12 WHEN 'AM' THEN CAST({part(4)} AS INT) % 12 "
+        f"ELSE CAST({part(4)} AS INT) END"
+    )
+    wall = (
+        f"try_cast(concat({part(1)}, '-', lpad({part(2)}, 2, '0'), '-', lpad({part(3)}, 2, '0'), ' ', "
+        f"lpad(CAST({hour} AS STRING), 2, '0'), ':', lpad({part(5)}, 2, '0'), ':', "
+        rf"CASE WHEN {part(6)} RLIKE r'^\d([.]|$)' THEN concat('0', {part(6)}) ELSE {part(6)} END) AS TIMESTAMP_NTZ)"
+    )
+    offset = f"replace({part(8)}, ':', '')"
+    minutes = (
+        f"CASE WHEN {offset} IN ('', 'Z') THEN 0 ELSE CAST(concat(left({offset}, 1), '1') AS INT) "
+        f"* (CAST(substring({offset}, 2, 2) AS INT) * 60 + CAST(substring({offset}, 4, 2) AS INT)) END"
+    )
+    shifted = f"CAST({wall} - make_dt_interval(0, 0, {minutes}) AS TIMESTAMP_NTZ)"
+    # hours above 12 carry no mark, and a plain ISO text, as most are, needs no taking apart
+    plain = rf"{text} RLIKE r'^\d{{4}}-\d{{2}}-\d{{2}}[ T]\d{{2}}:\d{{2}}:\d{{2}}([.]\d+)?$'"
+    return f"CASE WHEN {plain} THEN try_cast({text} AS TIMESTAMP_NTZ) WHEN {text} RLIKE r'{form}' THEN {shifted} END"
 
 
 def second_of_day(ts: str) -> str:

@@ -45,7 +45,7 @@ def ongoing_minutes(intervals: DataFrame) -> DataFrame:
 
 
 def ongoing_minutes_on_grid(orders: DataFrame, working_grid: DataFrame) -> DataFrame:
-    """Same rows for an arbitrary minute grid, joined hour by hour.
+    """Same rows for an arbitrary grid of whole minutes, joined hour by hour.
 
     Each order meets only the grid minutes of the hours it touches. The grid
     is broadcast: distinct minutes of a day are 1,440 rows at most.
@@ -62,6 +62,25 @@ def ongoing_minutes_on_grid(orders: DataFrame, working_grid: DataFrame) -> DataF
     )
 
 
+def ongoing_per_minute(orders: DataFrame) -> DataFrame:
+    """How many orders are ongoing at each minute of the day, for minutes with any.
+
+    Two events an order, summed on the map side to 1,440 minutes at most; only
+    those sums meet in the one window.
+    """
+    timed = orders.where(f"{S.ORDER} IS NOT NULL AND dispatch_tod < pickup_tod").selectExpr(
+        "CAST(ceil(dispatch_tod / 60) AS INT) AS begin", "CAST(ceil(pickup_tod / 60) AS INT) AS end"
+    )
+    events = timed.where("begin < end").selectExpr(
+        "inline(array(struct(begin AS minute, 1L AS step), struct(end AS minute, -1L AS step)))"
+    )
+    steps = events.groupBy("minute").agg(F.sum("step").alias("step"))
+    curve = steps.selectExpr(
+        "minute", "lead(minute) OVER (ORDER BY minute) AS until", "sum(step) OVER (ORDER BY minute) AS order_minutes"
+    )
+    return curve.where("order_minutes > 0").selectExpr("explode(sequence(minute, until - 1)) AS minute", "order_minutes")
+
+
 def hour_segments(spans: DataFrame) -> DataFrame:
     """[first_minute, end_minute) spans cut at full hours, with ``hour`` and ``minutes`` of each piece."""
     kept = [c for c in spans.columns if c not in ("hour", "minutes", "first_minute", "end_minute")]
@@ -110,16 +129,18 @@ def concurrency_curve(intervals: DataFrame) -> DataFrame:
     return running.selectExpr(*CELL_MINUTE, "until", "ongoing", "minute * ongoing - moment AS area")
 
 
-def order_levels(intervals: DataFrame) -> DataFrame:
+def order_levels(intervals: DataFrame, curve: DataFrame | None = None) -> DataFrame:
     """Level of each order: mean concurrency over its minutes, half to even.
 
+    ``curve`` is the :func:`concurrency_curve` of the intervals where it is staged.
+
     Rows sharing an order id are one order, and so are rows without an id.
     Each interval needs the curve's area at its two ends only; the lookup is
     keyed by cell and minute, which spreads even a single busy store-day over
     many tasks. Areas are whole numbers summed as doubles: exact up to 2**53
     and safe from overflow when an id is repeated on very many rows.
     """
-    marks = concurrency_curve(intervals).select(*CELL_MINUTE, "area")
+    marks = (curve or concurrency_curve(intervals)).select(*CELL_MINUTE, "area")
     ends = null_safe_join(_events(intervals, S.ORDER), marks, CELL_MINUTE)
     totals = ends.groupBy(S.ORDER).agg(
         F.expr("sum(-step * CAST(area AS DOUBLE)) AS order_minutes"), F.expr("sum(-step * minute) AS minutes_ongoing")
@@ -128,18 +149,18 @@ def order_levels(intervals: DataFrame) -> DataFrame:
     return levels.withColumn(S.LEVEL, F.expr("CAST(rint(mean_ongoing) AS INT)"))
 
 
-def with_level(intervals: DataFrame) -> DataFrame:
+def with_level(intervals: DataFrame, curve: DataFrame | None = None) -> DataFrame:
     """Intervals with the level of their order, reduced to what summaries read.
 
     Both join sides are plain shuffles on the order id, so adaptive execution
     can split the partition of an id that is repeated on very many rows.
     """
-    levels = order_levels(intervals).select(S.ORDER, S.LEVEL)
+    levels = order_levels(intervals, curve).select(S.ORDER, S.LEVEL)
     kept = [S.ORDER, *S.CELL, *S.OUTCOMES, *[d.micros for d in S.DURATIONS], *S.COSTS, "minutes"]
     return null_safe_join(intervals.select(*kept), levels, [S.ORDER])
 
 
-def ongoing_concurrency(intervals: DataFrame) -> DataFrame:
+def ongoing_concurrency(intervals: DataFrame, curve: DataFrame | None = None) -> DataFrame:
     """One row per order and ongoing minute with the cell's concurrency.
 
     The curve is packed to one row per cell and hour (at most 60 entries) and
@@ -147,7 +168,7 @@ def ongoing_concurrency(intervals: DataFrame) -> DataFrame:
     so what is shuffled stays at order size.
     """
     per_minute = (
-        concurrency_curve(intervals)
+        (curve or concurrency_curve(intervals))
         .where("ongoing > 0")
         .selectExpr(*S.CELL, "ongoing", "explode(sequence(minute, until - 1)) AS minute")
     )
@@ -162,13 +183,13 @@ def ongoing_concurrency(intervals: DataFrame) -> DataFrame:
     )
 
 
-def hourly_concurrency(intervals: DataFrame, keys: list[str]) -> DataFrame:
+def hourly_concurrency(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Mean concurrency per ``keys`` as an ongoing order sees it.
 
     A minute with n ongoing orders counts n times, so the mean is the sum of
     squares over the sum of the curve; minutes without orders do not count.
     """
-    curve = concurrency_curve(intervals).where("ongoing > 0")
-    pieces = hour_segments(curve.selectExpr(*S.CELL, "ongoing", "minute AS first_minute", "until AS end_minute"))
+    busy = curve.where("ongoing > 0")
+    pieces = hour_segments(busy.selectExpr(*S.CELL, "ongoing", "minute AS first_minute", "until AS end_minute"))
     mean = "sum(CAST(ongoing AS DOUBLE) * ongoing * minutes) / sum(ongoing * minutes)"
     return pieces.groupBy(*keys).agg(F.expr(f"{mean} AS avg_ongoing_orders"))

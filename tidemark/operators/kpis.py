@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
-from tidemark.functions.aggregates import minute_weighted_means
+from tidemark.functions.aggregates import means_of_sums, minute_weighted_means, minute_weighted_sums
 from tidemark.functions.joins import null_safe_join, to_long
-from tidemark.operators.concurrency import hour_segments, hourly_concurrency
+from tidemark.operators.concurrency import concurrency_curve, hour_segments, hourly_concurrency
 
 
 def outcome_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,6 +42,31 @@ def store_kpis(intervals: DataFrame) -> DataFrame:
     return joined.select(S.STORE, *S.CONCEPTS)
 
 
+def level_sums(levelled: DataFrame) -> DataFrame:
+    """Per store, name and level: what the means at this and any coarser grain are made of."""
+    return levelled.groupBy(S.STORE, S.NAME, S.LEVEL).agg(*minute_weighted_sums("minutes"))
+
+
+def store_kpis_of_levels(sums: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """:func:`store_kpis` from :func:`level_sums` and :func:`outcomes_by_level`.
+
+    An order has one level, so distinct orders of a store are the sum over its
+    levels, and the sums behind the means add up.
+    """
+    keys = [S.STORE]
+    counted = outcomes.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in S.OUTCOMES])
+    joined = null_safe_join(counted, sums.groupBy(*keys).agg(*means_of_sums(added=True)), keys)
+    return joined.select(S.STORE, *S.CONCEPTS)
+
+
+def kpis_by_level_of_sums(sums: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """:func:`kpis_by_level` from staged :func:`level_sums` and :func:`outcomes_by_level`."""
+    keys = [S.STORE, S.NAME, S.LEVEL]
+    means = sums.select(*keys, *means_of_sums())
+    joined = null_safe_join(means, outcomes, [S.STORE, S.LEVEL], "left")
+    return joined.select(*keys, *S.CONCEPTS)
+
+
 def store_kpis_long(store_kpis: DataFrame) -> DataFrame:
     return to_long(store_kpis, [S.STORE], S.CONCEPTS, "value")
 
@@ -71,22 +96,25 @@ def outcomes_by_hour(orders: DataFrame) -> DataFrame:
     return outcome_counts(orders, [S.STORE, "hour"])
 
 
-def _by_hour(intervals: DataFrame, keys: list[str], outcomes: DataFrame, outcome_keys: list[str]) -> DataFrame:
+def _by_hour(
+    intervals: DataFrame, curve: DataFrame | None, keys: list[str], outcomes: DataFrame, outcome_keys: list[str]
+) -> DataFrame:
     segments = hour_segments(intervals.drop("hour"))
-    hourly = null_safe_join(kpi_means(segments, keys), hourly_concurrency(intervals, keys), keys)
+    hourly = hourly_concurrency(curve or concurrency_curve(intervals), keys)
+    hourly = null_safe_join(kpi_means(segments, keys), hourly, keys)
     joined = null_safe_join(hourly, outcomes, outcome_keys, "left")
     return joined.select(*keys, *S.OUTCOMES, "avg_ongoing_orders", *S.KPI_MEANS)
 
 
-def kpis_by_date_hour(orders: DataFrame, intervals: DataFrame) -> DataFrame:
+def kpis_by_date_hour(orders: DataFrame, intervals: DataFrame, curve: DataFrame | None = None) -> DataFrame:
     """Per store, name, date and clock hour; outcomes go by activation hour."""
     outcomes = outcomes_by_date_hour(orders)
-    return _by_hour(intervals, [*S.CELL, "hour"], outcomes, [S.STORE, "date", "hour"])
+    return _by_hour(intervals, curve, [*S.CELL, "hour"], outcomes, [S.STORE, "date", "hour"])
 
 
-def kpis_by_hour(orders: DataFrame, intervals: DataFrame) -> DataFrame:
+def kpis_by_hour(orders: DataFrame, intervals: DataFrame, curve: DataFrame | None = None) -> DataFrame:
     """Per store, name and clock hour over all dates."""
-    return _by_hour(intervals, [S.STORE, S.NAME, "hour"], outcomes_by_hour(orders), [S.STORE, "hour"])
+    return _by_hour(intervals, curve, [S.STORE, S.NAME, "hour"], outcomes_by_hour(orders), [S.STORE, "hour"])
 
 
 # --- by level --------------------------------------------------------------

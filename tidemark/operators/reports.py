@@ -21,22 +21,17 @@ def _beside_store(long: DataFrame, kpis_long: DataFrame, r2_long: DataFrame | No
     return out if r2_long is None else null_safe_join(out, r2_long, [S.STORE, "concept"], how)
 
 
-def _widen(long: DataFrame, header: str, values: Sequence | None) -> DataFrame:
+def _widen(long: DataFrame, header: str, values: Sequence) -> DataFrame:
     """Cells of ``header`` become columns behind the remaining, row-identifying ones.
 
-    With ``values`` given no extra job looks them up; a row outside the list
-    fails the query instead of vanishing from the report. Store-wide columns
-    are joined before this, as nothing cheap can be done with thousands of
-    level columns afterwards.
+    ``values`` are all that occur, so no job looks them up and no number of them is
+    too many. Store-wide columns are joined before this, as nothing cheap can be
+    done with thousands of level columns afterwards.
     """
-    if values is not None:
-        known = ", ".join(repr(v) for v in values)
-        stray = f"raise_error(concat('{header} outside the report header: ', {header}))"
-        checked = f"CASE WHEN {header} IS NULL OR {header} IN ({known}) THEN {header} ELSE {stray} END"
-        long = long.withColumn(header, F.expr(checked))
     lead = [c for c in (*GROUP, "concept", "r2", "value") if c in long.columns]
-    pivot = long.groupBy(*lead).pivot(header, list(values) if values is not None else None)
-    return pivot.agg(F.first("cell"))
+    if not values:
+        return long.select(*lead).distinct()
+    return long.groupBy(*lead).pivot(header, list(values)).agg(F.first("cell"))
 
 
 def report_hour(by_hour: DataFrame, kpis_long: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -56,10 +51,15 @@ def report_level_long(by_level: DataFrame, kpis_long: DataFrame, r2_long: DataFr
     )
 
 
+def levels_of(by_level: DataFrame) -> list[int]:
+    """The levels that occur: the header of InfoOO, at most as many as orders were ongoing at once."""
+    return [r[0] for r in by_level.select(S.LEVEL).distinct().orderBy(S.LEVEL).collect()]
+
+
 def report_level(
-    by_level: DataFrame, kpis_long: DataFrame, r2_long: DataFrame, levels: Sequence[int] | None = None
+    by_level: DataFrame, kpis_long: DataFrame, r2_long: DataFrame, levels: Sequence[int]
 ) -> DataFrame:
-    """InfoOO: every KPI by level. Without ``levels`` the data decides the columns."""
+    """InfoOO: every KPI by level, with a column for each of ``levels``, see :func:`levels_of`."""
     return _widen(report_level_long(by_level, kpis_long, r2_long), S.LEVEL, levels)
 
 

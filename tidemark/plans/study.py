@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -45,11 +46,15 @@ class Study:
 
     @cached_property
     def busiest_stores(self) -> DataFrame:
+        if self.cfg.chart_stores is not None:
+            return selection.filter_orders(self.top_stores, stores=self.cfg.chart_stores)
         return selection.top_n_stores(self.top_stores, self.cfg.top_n)
 
     @cached_property
     def selected_log(self) -> DataFrame:
-        return selection.orders_of_stores(self.log, self.top_stores)
+        """Orders of the selected stores; the brand and store filters do not move the percentile."""
+        kept = selection.orders_of_stores(self.log, self.top_stores)
+        return selection.filter_orders(kept, self.cfg.store_name, self.cfg.stores)
 
     # order level
 
@@ -61,17 +66,32 @@ class Study:
     def intervals(self) -> DataFrame:
         return concurrency.ongoing_intervals(self.orders, self.cfg)
 
+    @cached_property
+    def curve(self) -> DataFrame:
+        """How many orders are ongoing, per cell; at most 1,441 rows a store and day."""
+        self.share("orders")
+        return concurrency.concurrency_curve(self.intervals)
+
     @cached_property
     def levelled(self) -> DataFrame:
         self.share("orders")
-        return concurrency.with_level(self.intervals)
+        return concurrency.with_level(self.intervals, self.curve)
+
+    @cached_property
+    def level_sums(self) -> DataFrame:
+        self.share("levelled")
+        return kpis.level_sums(self.levelled)
+
+    @cached_property
+    def level_outcomes(self) -> DataFrame:
+        self.share("levelled")
+        return kpis.outcomes_by_level(self.levelled)
 
     # summaries
 
     @cached_property
     def store_kpis(self) -> DataFrame:
-        self.share("orders")
-        return kpis.store_kpis(self.intervals)
+        return kpis.store_kpis_of_levels(self.level_sums, self.level_outcomes)
 
     @cached_property
     def store_kpis_long(self) -> DataFrame:
@@ -80,12 +100,12 @@ class Study:
     @cached_property
     def by_hour(self) -> DataFrame:
         self.share("orders")
-        return kpis.kpis_by_hour(self.orders, self.intervals)
+        return kpis.kpis_by_hour(self.orders, self.intervals, self.curve)
 
     @cached_property
     def by_date_hour(self) -> DataFrame:
         self.share("orders")
-        return kpis.kpis_by_date_hour(self.orders, self.intervals)
+        return kpis.kpis_by_date_hour(self.orders, self.intervals, self.curve)
 
     @cached_property
     def by_date_level(self) -> DataFrame:
@@ -94,8 +114,7 @@ class Study:
 
     @cached_property
     def by_level(self) -> DataFrame:
-        self.share("levelled")
-        return kpis.kpis_by_level(self.levelled)
+        return kpis.kpis_by_level_of_sums(self.level_sums, self.level_outcomes)
 
     @cached_property
     def r2(self) -> DataFrame:
@@ -122,7 +141,9 @@ class Study:
     @cached_property
     def report_level(self) -> DataFrame:
         self.share("by_level")
-        return reports.report_level(self.by_level, self.store_kpis_long, self.r2_long)
+        return reports.report_level(
+            self.by_level, self.store_kpis_long, self.r2_long, reports.levels_of(self.by_level)
+        )
 
     @cached_property
     def report_level_range(self) -> DataFrame:
@@ -134,18 +155,41 @@ class Study:
         totals = kpis.store_wtp_totals(self.store_kpis)
         return thresholds.store_suggestions(self.impacts, totals, self.cfg)
 
-    def write_reports(self, folder: str, fmt: str = "parquet") -> list[str]:
-        """Write the four published reports below ``folder``."""
-        self.share("by_level", "store_kpis")
+    def write_reports(
+        self,
+        folder: str | None = None,
+        fmt: str = "parquet",
+        tables: str | None = None,
+        only: Collection[str] = tuple(REPORT_NAMES.values()),
+    ) -> list[str]:
+        """Write the four published reports, or some of them, below ``folder`` or as catalog tables.
+
+        ``tables`` is what the tables' names begin with: ``"sales."`` for a schema,
+        ``"sales.june_"`` for a schema and a prefix.
+        """
+        if (folder is None) == (tables is None):
+            raise ValueError("give either a folder or a beginning of table names")
+        self.share("curve", "level_sums", "level_outcomes", "by_level", "store_kpis")
         written = []
         for attribute, name in REPORT_NAMES.items():
-            path = f"{folder.rstrip('/')}/{name}"
+            if name not in only:
+                continue
             report = getattr(self, attribute)
             order = [c for c in (S.STORE, S.NAME, "concept") if c in report.columns]
-            write_report(report.orderBy(*order), path=path, fmt=fmt)
-            written.append(path)
+            if tables is not None:
+                written.append(f"{tables}{name}")
+                write_report(report.orderBy(*order), table=written[-1], fmt=fmt)
+            else:
+                written.append(f"{folder.rstrip('/')}/{name}")
+                write_report(report.orderBy(*order), path=written[-1], fmt=fmt)
         return written
 
+    def __enter__(self) -> Study:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def close(self) -> None:
         """Delete the staged tables; results read from them must be written first."""
         self.staging.drop()

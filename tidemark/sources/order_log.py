@@ -65,8 +65,12 @@ def minute_grid(spark: SparkSession) -> DataFrame:
 
 
 def with_minute(grid: DataFrame) -> DataFrame:
+    """Adds the minute of the day; a row that is no whole minute fails instead of being moved."""
     parts = F.split("hourmin", ":")
-    return grid.withColumn("minute", parts[0].cast("int") * 60 + parts[1].cast("int"))
+    minute = parts[0].cast("int") * 60 + parts[1].cast("int")
+    whole = F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(0.0)) == 0
+    refused = F.raise_error(F.concat(F.lit("the grid has a time that is no whole minute: "), F.col("hourmin")))
+    return grid.withColumn("minute", F.when(whole, minute).otherwise(refused.cast("int")))
 
 
 def working_minutes(grid: DataFrame, open_hour: int, close_hour: int) -> DataFrame:

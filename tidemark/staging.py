@@ -22,12 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="run-")
 
 
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Make ``folder``; it goes when the driver's JVM ends, after failures too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+
+
 class Staging:
     """Writes tables that several later steps read, and reads them back.
 
     A staged table cuts the lineage, survives the loss of executors, is read
     with column pruning, and carries its true size, by which Catalyst decides
-    whether a join side is small enough to broadcast.
+    whether a join side is small enough to broadcast. :meth:`drop` deletes the
+    tables; the session's JVM deletes on its way out what was not dropped.
     """
 
     def __init__(self, spark: SparkSession):
@@ -38,6 +47,7 @@ class Staging:
     def root(self) -> str:
         if self._root is None:
             self._root = f"{shared_folder(self._spark)}/tidemark-{uuid.uuid4().hex}"
+            delete_at_exit(self._spark, self._root)
         return self._root
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
