@@ -38,6 +38,7 @@ def codec():
 def same(codec, reference, text):
     ids = reference.encode(text, add_special_tokens=False).ids
     assert codec.encode(text).tolist() == ids, text
+    assert codec.encode(text, shared=False).tolist() == ids, text
     assert codec.decode(codec.encode(text)) == reference.decode(ids, skip_special_tokens=False)
 
 
@@ -65,7 +66,6 @@ def test_small_chunks_need_many_repairs(codec, reference, monkeypatch):
 
 def test_memory_may_be_lost(reference, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNKS_KEPT", 2)
-    monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
     monkeypatch.setattr(bpe, "CHUNK_BITS", 4)
     fresh = bpe.Codec(PATH)
     for _, text in messy_rows():

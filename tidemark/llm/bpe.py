@@ -14,16 +14,15 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import arrow_map, col, text_or_empty
+from tidemark.llm.shared import arrow_map, col, slices, text_or_empty
 
 #: A chunk ends where the rolling hash of the last WINDOW characters has its top CHUNK_BITS bits clear.
 WINDOW, CHUNK_BITS = 8, 10
-#: What a Python worker remembers before it starts afresh; a bound on memory, not on what is encoded.
-CHUNKS_KEPT, WORDS_KEPT = 8_000, 150_000
+#: Chunks that a Python worker remembers before it starts afresh; a bound on memory, not on what is encoded.
+CHUNKS_KEPT = 8_000
 
 # Fixed value: how the vocabulary's pre-tokenizer splits a text.
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SPACES_MEET = re.compile(r" \s|\s ")
 #: A space between two other characters: the splitting pattern never goes across its left side.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -91,36 +90,15 @@ class Codec:
         ranks = {bytes(map(symbols.__getitem__, word)): i for word, i in vocab.items() if word not in self.special}
         self._bpe = tiktoken.Encoding("vocabulary", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self._bytes = {i: b for b, i in ranks.items()} | {i: w.encode() for w, i in self.special.items()}
-        self._opens_word = {i for i, b in self._bytes.items() if b.startswith(b" ")}
         longest_first = sorted(self.special, key=len, reverse=True)
         self._at_special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
         self._chunks: dict[str, Chunk] = {}
-        self._words: dict[str, list[int]] = {}
 
     # encoding
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of ``" " + word`` for each, in one call; an id that opens with a space opens a word."""
-        ids = self._bpe.encode_ordinary(" " + " ".join(words))
-        opens = self._opens_word
-        starts = [n for n, i in enumerate(ids) if i in opens]
-        for word, a, b in zip(words, starts, [*starts[1:], len(ids)]):
-            self._words[word] = ids[a:b]
-
     def _alone(self, text: str) -> list[int]:
-        """Ids of a piece of text, word by word where single spaces part the words."""
-        if _SPACES_MEET.search(text) or text.endswith(" "):
-            return self._bpe.encode_ordinary(text)
-        known = self._words
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        head, *words = text.split(" ")
-        missing = [*dict.fromkeys([w for w in words if w not in known])]
-        if missing:
-            self._learn(missing)
-        ids = self._bpe.encode_ordinary(head) if head else []
-        ids.extend(chain.from_iterable(map(known.__getitem__, words)))
-        return ids
+        """Ids of a piece of text, as if nothing stood beside it."""
+        return self._bpe.encode_ordinary(text)
 
     def _chunk(self, text: str) -> Chunk:
         found = self._chunks.get(text)
@@ -162,15 +140,20 @@ class Codec:
         out.append(np.array(self._alone(text[done:]), np.uint32))
         return out
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of the whole text, with the ids of special tokens for their strings."""
+    def encode(self, text: str | None, shared: bool = True) -> np.ndarray:
+        """Ids of the whole text, with the ids of special tokens for their strings.
+
+        Without ``shared`` it is encoded in one go, which texts that repeat little gain from.
+        """
         parts = self._at_special.split(text or "") if self._at_special else [text or ""]
         found: list[np.ndarray] = []
         for k, part in enumerate(parts):
             if k % 2:
                 found.append(np.array([self.special[part]], np.uint32))
-            elif part:
+            elif part and shared:
                 found += self._part(part)
+            elif part:
+                found.append(np.array(self._alone(part), np.uint32))
         return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
     # decoding
@@ -200,7 +183,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             ids = [bpe.encode(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -226,7 +209,7 @@ def decode_ids(tokens: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             texts = [bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 

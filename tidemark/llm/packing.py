@@ -202,7 +202,7 @@ def _pieces(vocabulary: str, capacity: int, end_id: int, names: list[str]):
         for b in batches:
             row, piece, start, length, crc, nth = [], [], [], [], [], []
             for n, text in enumerate(b.column("text")):
-                ids = np.append(bpe.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(bpe.encode(text.as_py(), shared=False), np.uint32(end_id)).astype("<u4")
                 first = (len(ids) - 1) % capacity + 1
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, z) in enumerate(zip(cuts, cuts[1:])):

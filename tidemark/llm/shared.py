@@ -102,6 +102,13 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, where what is made of a row is large."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, how: str) -> DataFrame:
     """Join on two differently named columns; missing ids are equal."""
     return left.join(right, col(left_col).eqNullSafe(col(right_col)), how)
