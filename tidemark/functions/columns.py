@@ -17,7 +17,9 @@ def local_timestamp(text: str) -> str:
     """
     date, time = r"(\d{4})[-/.]?(\d{1,2})[-/.]?(\d{1,2})", r"(\d{1,2}):?(\d{1,2}):?(\d{1,2}(?:[.]\d+)?)"
     marks = r"\s*([AaPp][Mm])?\s*(Z|[-+]\d{2}:?\d{2})?"
-    form = rf"^\s*{date}(?:\s+|[Tt])\s*{time}{marks}\s*$"
+    # all separators or none, so that no digits of one part are taken for two
+    whole_date, whole_time = r"(?=\d{4}[-/.]\d{1,2}[-/.]\d|\d{8}[\sTt])", r"(?=\d{1,2}:\d{1,2}:\d|\d{6})"
+    form = rf"^\s*{whole_date}{date}(?:\s+|[Tt])\s*{whole_time}{time}{marks}\s*$"
 
     def part(n: int) -> str:
         return f"regexp_extract({text}, r'{form}', {n})"
