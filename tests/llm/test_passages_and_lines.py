@@ -105,6 +105,20 @@ def test_edit_distance():
     assert lines.levenshtein(long, other, 10_000) == slow_distance(long, other)
 
 
+def test_word_distance_bounds_edit_distance():
+    rng = random.Random(5)
+    for _ in range(400):
+        a = " ".join(rng.choice(["a", "bc", "def", "gh"]) for _ in range(rng.randrange(1, 9)))
+        words = a.split(" ")
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice(["", "bc", "xyz", "a bc"])
+        b = " ".join(w for w in " ".join(words).split(" ") if w) or "a"
+        assert lines.word_distance(a, b) >= slow_distance(a, b)
+        for least in (0.5, 0.8):
+            similarity = 1 - slow_distance(a, b) / max(len(a), len(b))
+            assert lines.similar_lines(least)(a, b) == (similarity >= least - 1e-9)
+
+
 def test_line_fingerprints(monkeypatch):
     rng = random.Random(4)
     sizes = np.array([1, 2, 3, 50, 300, 7])

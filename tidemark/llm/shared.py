@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 import zipfile
@@ -21,20 +20,15 @@ from tidemark.staging import Staging
 SPACE = r"[\x20\x09-\x0D]+"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_open: list[Staging] = []
 
 
 class Stage(Staging):
     """Staged tables whose shuffle files are released as soon as they are written.
 
     Results returned by an operator read the staged tables, so the folder stays
-    until :meth:`drop` or the end of the Python process.
+    until ``drop`` or the end of the session.
     """
 
-    def __init__(self, spark: SparkSession):
-        super().__init__(spark)
-        _open.append(self)
-
     def table(self, df: DataFrame, name: str | None = None) -> DataFrame:
         conf = self._spark.conf
         before = conf.get(_CLEANUP, None)
@@ -44,21 +38,6 @@ class Stage(Staging):
         finally:
             conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
-    def drop(self) -> None:
-        super().drop()
-        if self in _open:
-            _open.remove(self)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for stage in list(_open):
-        try:
-            if stage._spark.sparkContext._jsc is not None:
-                stage.drop()
-        except Exception:  # the JVM may be gone already; the folder then stays for the cluster's own cleaning
-            pass
-
 
 _shipped: set[str] = set()
 
