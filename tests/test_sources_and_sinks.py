@@ -57,6 +57,15 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     assert got["delivery_time_local"] == stamp
 
 
+def test_malformed_ids_are_refused(spark, tmp_path):
+    stamp = "2020-06-01 10:00:00"
+    write_csv(tmp_path / "a.csv", [[7, "A", "", "Other", *[stamp] * 6, 1, 1]])
+    assert order_log.read_order_log_csv(spark, str(tmp_path / "a.csv")).collect()[0][S.ORDER] is None
+    write_csv(tmp_path / "b.csv", [[7, "A", "12x", "Other", *[stamp] * 6, 1, 1]])
+    with pytest.raises(PySparkException, match="order_id is no whole number: 12x"):
+        order_log.read_order_log_csv(spark, str(tmp_path / "b.csv")).collect()
+
+
 def test_csv_and_table_give_the_same_levels(spark, tmp_path):
     log = entry._log(spark, SF_DIR)
     text = entry._as_csv_text(log).toPandas()

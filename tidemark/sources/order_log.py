@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,9 @@ def read_order_log_csv(spark: SparkSession, path: str, multi_line: bool = False)
 
     Columns are found by their header, in any order; others are ignored. Every
     file must carry the same header. Types are declared, not inferred: a blank
-    or malformed number is NULL, and timestamps stay text for
-    :func:`tidemark.operators.lifecycle.parse_lifecycle`. ``multi_line`` accepts
+    id, and a blank or malformed measure, is NULL; an id that is no whole number
+    fails the read, as rows that lose theirs would count as one order. Timestamps
+    stay text for :func:`tidemark.operators.lifecycle.parse_lifecycle`. ``multi_line`` accepts
     line breaks inside quotes but makes files unsplittable.
     """
     raw = (
@@ -30,13 +31,18 @@ def read_order_log_csv(spark: SparkSession, path: str, multi_line: bool = False)
         .option("multiLine", multi_line)
         .csv(path)
     )
-    typed = [
-        unescape(F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, T.StringType)
-        else F.col(f.name).try_cast(f.dataType).alias(f.name)
-        for f in S.ORDER_LOG_CSV.fields
-    ]
-    return normalise(raw.select(*typed))
+
+    def typed(field: T.StructField) -> Column:
+        text = F.col(field.name)
+        if isinstance(field.dataType, T.StringType):
+            return unescape(text).alias(field.name)
+        value = text.try_cast(field.dataType)
+        if isinstance(field.dataType, T.LongType):
+            refused = F.raise_error(F.concat(F.lit(f"{field.name} is no whole number: "), text)).cast("bigint")
+            value = F.when(value.isNull() & (F.trim(text) != ""), refused).otherwise(value)
+        return value.alias(field.name)
+
+    return normalise(raw.select(*map(typed, S.ORDER_LOG_CSV.fields)))
 
 
 def read_order_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
