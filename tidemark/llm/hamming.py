@@ -90,18 +90,32 @@ def _links(near: Nearness, paths: dict[int, Path]):
         return forest.join(a, b)
 
     def compare(rows, size: np.ndarray, forest: Forest) -> None:
-        """All pairs of many groups, by their distance in the sorted order; each pair on its first path only."""
+        """All pairs of many groups, by their distance in the sorted order; each pair on its first path only.
+
+        Pairs that these rows' own links connect already are left out many at a time.
+        """
+        up = np.arange(len(rows[0]))  # a row of the same component, never a later one
         left = np.repeat(np.cumsum(size), size) - np.arange(len(rows[0])) - 1  # rows of the group after each
         bits = rows[2].view(np.uint64)
         active, shift = np.flatnonzero(left > 0), 1
         while len(active):
             a = active[close(rows, active, active + shift)]
+            a = a[up[a] != up[a + shift]]
             for number in np.unique(rows[0][a]):
                 own = a[rows[0][a] == number]
                 for mask in paths[int(number)].earlier:
                     own = own[(bits[own] ^ bits[own + shift]) & np.uint64(mask) != 0]
-                for i in own:
-                    link(forest, rows, i, i + shift)
+                for i in own.tolist():
+                    if link(forest, rows, i, i + shift):
+                        x, y = i, i + shift
+                        while up[x] != x:
+                            x = up[x]
+                        while up[y] != y:
+                            y = up[y]
+                        up[max(x, y)] = min(x, y)
+            if len(a):
+                while (up[up] != up).any():
+                    up = up[up]
             shift += 1
             active = active[left[active] >= shift]
 
