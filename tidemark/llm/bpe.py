@@ -6,7 +6,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +82,8 @@ class Codec:
         vocab, splitter = spec["model"]["vocab"], spec["pre_tokenizer"]
         merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
         order = [vocab[word] for word in merged]
-        if order != sorted(order) or spec["normalizer"] or splitter["type"] != "ByteLevel" or splitter["add_prefix_space"]:
+        plain = splitter["type"] == "ByteLevel" and not splitter["add_prefix_space"] and not spec["normalizer"]
+        if order != sorted(order) or not plain:
             raise ValueError("a byte-level vocabulary whose ids follow the order of its merges is needed")
         symbols = _byte_of_symbol()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -211,6 +211,7 @@ def decode_ids(tokens: DataFrame, vocabulary: str) -> DataFrame:
         bpe = codec(vocabulary)
         for b in slices(batches):
             texts = [bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
+            names = [*b.schema.names, "text"]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
     return arrow_map(tokens, run, T.StructType([*tokens.schema.fields, T.StructField("text", T.StringType())]))

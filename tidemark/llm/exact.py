@@ -45,7 +45,8 @@ def exact_duplicates(
     lengths = sizes.groupBy("n").count().where("count > 1").select("n")
     same_length = stage.table(sizes.join(lengths, "n", "left_semi"))
     prefixes = same_length.groupBy("n", "prefix").count().where("count > 1").select("n", "prefix")
-    open_ids = stage.table(same_length.join(stage.table(prefixes), ["n", "prefix"], "left_semi").select(F.col("id").alias("open_id")).distinct())
+    same_prefix = same_length.join(stage.table(prefixes), ["n", "prefix"], "left_semi")
+    open_ids = stage.table(same_prefix.select(F.col("id").alias("open_id")).distinct())
 
     texts = docs.select(col(id_col).alias("id"), text.alias("text"))
     flagged = null_safe_join(texts, open_ids.withColumn("open", F.lit(True)), "id", "open_id", "left")
@@ -66,7 +67,7 @@ def exact_duplicates(
         F.col("full").alias("full_hash"),
     )
     members = members.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))
-    alone = hashed.where("full IS NULL").select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "full_hash"
+    alone = hashed.where("full IS NULL").selectExpr(
+        "id", "id AS keep_id", "1L AS group_size", "true AS kept", "full_hash"
     )
     return members.select(*alone.columns).union(alone)

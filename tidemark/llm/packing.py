@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import codec
-from tidemark.llm.shared import Stage, arrow_map, batch, col, text_or_empty
+from tidemark.llm.shared import Stage, arrow_map, col, text_or_empty
 
 #: Lengths of the members of one sequence, largest first.
 Filling = tuple[int, ...]
@@ -98,7 +98,7 @@ def fillings(counts: np.ndarray, room: int) -> list[tuple[int, Filling]]:
             lengths.remove(min(x for x, n in need.items() if counts[x] < n))
             need = Counter(lengths)
         waste = room - sum(lengths)
-        if not any(w <= waste and set(have_) >= set(lengths) for w, have_ in found):
+        if not any(w <= waste and set(other) >= set(lengths) for w, other in found):
             found.append((waste, tuple(lengths)))
         if len(found) >= BRANCHES:
             break

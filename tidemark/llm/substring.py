@@ -81,9 +81,7 @@ def signatures(hashes: np.ndarray, half: int, window: int) -> np.ndarray:
 
 
 def _first_pass(half: int, window: int):
-    schema = pa.schema(
-        [("id", pa.int64()), ("rk", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("halves", pa.list_(pa.int64()))]
-    )
+    schema = pa.schema([*((n, pa.int64()) for n in ("id", "rk", "s1", "s2")), ("halves", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -158,10 +158,11 @@ def top_k(
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // tiles)
 
     shards = stage.table(arrow_map(whole, _pack(groups), shape))
-    asked_tiles = tiled.select(
-        "tile", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.expr(f"sequence(0, {groups - 1})")).alias("part")
+    asked_tiles = tiled.selectExpr(
+        "tile", "ids AS query_ids", "vectors AS queries", f"explode(sequence(0, {groups - 1})) AS part"
     )
-    met = shards.join(numbers, "dim").withColumn("tile", F.explode("tiles")).drop("tiles").join(asked_tiles, ["tile", "part"])
+    per_tile = shards.join(numbers, "dim").withColumn("tile", F.explode("tiles")).drop("tiles")
+    met = per_tile.join(asked_tiles, ["tile", "part"])
     found = arrow_map(met.drop("part"), _search(k), "query_id bigint, vec_id bigint, score bigint")
 
     order = [F.col("score").desc(), F.col("vec_id")]
