@@ -88,6 +88,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def unbounded(df: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: it is shuffled at every size, and never broadcast."""
+    return df.hint("merge")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, how: str) -> DataFrame:
     """Join on two differently named columns; missing ids are equal."""
     return left.join(right, col(left_col).eqNullSafe(col(right_col)), how)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.hamming import Nearness, blocks_of, links_within
-from tidemark.llm.shared import Stage, arrow_map, col, components, signed, text_or_empty
+from tidemark.llm.shared import Stage, arrow_map, col, components, signed, text_or_empty, unbounded
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -157,4 +157,4 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
         row.alias("row"), col(id_col).alias("row_id"), F.xxhash64(text_or_empty(text_col)).alias("row_rk")
     )
     same = F.col("id").eqNullSafe(F.col("row_id")) & (F.col("rk") == F.col("row_rk"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["row_id", "row_rk"]).select("row.*")
+    return rows.join(unbounded(kept), same, "left_semi").dropDuplicates(["row_id", "row_rk"]).select("row.*")

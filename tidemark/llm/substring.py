@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
-from tidemark.llm.shared import Stage, arrow_map, batch, col, signed, text_or_empty
+from tidemark.llm.shared import Stage, arrow_map, batch, col, signed, text_or_empty, unbounded
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -254,7 +254,7 @@ def remove_repeated(
 
     longer = stage.table(
         arrow_map(
-            texts.join(marks, ["id", "rk"]), _extend(half, window), "a bigint, b int, id bigint, rk bigint, start int"
+            texts.join(unbounded(marks), ["id", "rk"]), _extend(half, window), "a bigint, b int, id bigint, rk bigint, start int"
         )
     )
     shared = longer.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
@@ -273,4 +273,4 @@ def remove_repeated(
             T.StructField("n_removed", T.LongType()),
         ]
     )
-    return arrow_map(rows.join(told, ["id", "rk"], "left"), _cut(window, shape.names), shape)
+    return arrow_map(rows.join(unbounded(told), ["id", "rk"], "left"), _cut(window, shape.names), shape)
