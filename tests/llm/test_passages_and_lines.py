@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from helpers import documents, edited, groups, messy_rows, sentence
 
-from tidemark.llm import lines, substring
+from tidemark.llm import buckets, lines, substring
 from tidemark.llm.shared import signed
 
 
@@ -193,3 +194,26 @@ def test_case_digits_and_punctuation_do_not_matter(spark):
     rows = [(2, "Page 12 of 40.\nother words here"), (1, "page 7 of 9"), (3, "first\nPAGE: 1 OF 2!\nlast")]
     found = {r.row.doc_id: r.kept for r in lines.remove_similar_lines(documents(spark, rows)).collect()}
     assert found == {1: "page 7 of 9", 2: "other words here", 3: "first\nlast"}
+
+
+@pytest.mark.parametrize("group_rows", [4096, 8])
+def test_similar_lines_meet_without_a_distance(spark, monkeypatch, group_rows):
+    """Recall against edit similarity alone: every pair of lines is compared, none by its fingerprint."""
+    monkeypatch.setattr(buckets, "GROUP_ROWS", group_rows)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(400)]
+    texts = []
+    for n in range(120):
+        words = [rng.choice(vocabulary) for _ in range((5, 12, 25, 60)[n % 4])]
+        other = list(words)
+        for _ in range(max(1, len(words) // 8)):
+            other[rng.randrange(len(other))] = rng.choice(vocabulary)
+        texts += [" ".join(words), " ".join(other)]
+    alike = lines.similar_lines(0.8)
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if alike(texts[a], texts[b])]
+    root = groups(pairs, range(len(texts)))
+    repeats = {n for n in root if root[n] != n}
+    docs = documents(spark, list(enumerate(texts)))
+    found = {r.row.doc_id for r in lines.remove_similar_lines(docs, distance=None).collect() if r.n_removed}
+    assert len(repeats) > 80
+    assert found <= repeats and len(found) >= 0.9 * len(repeats)

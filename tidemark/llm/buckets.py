@@ -1,0 +1,182 @@
+"""Lines that share several of their smallest hashes, compared in groups of bounded size."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.shared import EDGE, Forest, Stage, arrow_map, batch
+
+#: Hashes of a key; keys of a line's words; of the four-byte pieces of a short line, and what is short.
+ROWS, WORD_KEYS = 4, 12
+PIECE_ROWS, PIECE_KEYS, SHORT = 3, 8, 160
+#: Bits of 64 in which the fingerprints of lines that are compared may differ.
+FAR = 26
+#: A group of more rows is dealt over tiles: two parts of it, of about half as many rows, meet in each.
+GROUP_ROWS = 4096
+_MANY = np.random.default_rng(20).integers(0, 2**63, 48, np.uint64) * np.uint64(2) + np.uint64(1)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _keys(hashes: np.ndarray, sizes: np.ndarray, rows: int, count: int, first: int) -> np.ndarray:
+    """``count`` keys of each of consecutive groups of hashes, each key of ``rows`` smallest hashes."""
+    begin, keys = np.cumsum(sizes) - sizes, np.empty((len(sizes), count), np.uint64)
+    mixed = hashes ^ (hashes >> np.uint64(29))
+    for k in range(count):
+        key = np.full(len(sizes), first + k, np.uint64)
+        for r in range(rows):
+            product = mixed * _MANY[(k * rows + r) % len(_MANY)]
+            least = np.minimum.reduceat(product ^ (product >> np.uint64(32)), begin)
+            key = (key ^ least) * _GOLD
+            key ^= key >> np.uint64(31)
+        keys[:, k] = key
+    return keys
+
+
+def line_keys(lines: list[bytes], hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The keys of each line: similar lines share one of them nearly always. ``hashes`` are those of its words."""
+    words = _keys(hashes, sizes, ROWS, WORD_KEYS, 0)
+    found = [row.tobytes() for row in words]
+    short = [n for n, line in enumerate(lines) if len(line) <= SHORT]
+    if short:
+        padded = [b" " + lines[n] + b"   " for n in short]
+        data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
+        data = np.r_[data, np.zeros(3, np.uint64)]
+        pieces = data[:-3] | data[1:-2] << np.uint64(8) | data[2:-1] << np.uint64(16) | data[3:] << np.uint64(24)
+        # pieces that begin in the last three spaces of a line reach into the next one
+        lengths = np.array([len(p) for p in padded])
+        ends = np.cumsum(lengths)
+        inside = np.ones(len(pieces), bool)
+        for back in (1, 2, 3):
+            inside[ends - back] = False
+        pieces = (pieces[inside] + np.uint64(1)) * _GOLD
+        keys = _keys(pieces, lengths - 3, PIECE_ROWS, PIECE_KEYS, WORD_KEYS)
+        for n, row in zip(short, keys):
+            found[n] += row.tobytes()
+    return found
+
+
+_NAMES = ["key", "a", "b", "part", "node", "size", "fp"]
+_ROWS = "key bigint, a int, b int, part int, node bigint, size int, fp bigint"
+_ROW = pa.schema([(n, pa.int32() if n in ("a", "b", "part", "size") else pa.int64()) for n in _NAMES])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("fp", pa.int64())])
+    for b in batches:
+        keys = [np.frombuffer(k, np.int64) for k in b.column("bands").to_pylist()]
+        if keys:
+            times = np.array([len(k) for k in keys])
+            rest = (np.repeat(b.column(n).to_numpy(zero_copy_only=False), times) for n in ("node", "size", "fp"))
+            yield batch(schema, np.concatenate(keys), *rest)
+
+
+def _near(rows: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same group whose sizes and fingerprints allow for similar lines; rows come sorted."""
+    key, a, b, part, _, sizes, fp = rows[:7]
+    new = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    start = np.flatnonzero(np.r_[True, new])
+    size = np.diff(np.r_[start, len(key)])
+    left = np.repeat(start + size, size) - np.arange(len(key)) - 1
+    bits = fp.view(np.uint64)
+    active, shift = np.flatnonzero(left > 0), 1
+    while len(active):
+        x, y = active, active + shift
+        ok = np.bitwise_count(bits[x] ^ bits[y]) <= FAR
+        ok &= np.minimum(sizes[x], sizes[y]) >= least * np.maximum(sizes[x], sizes[y]) - 1e-9
+        ok &= (a[x] == b[x]) | (part[x] != part[y])
+        if ok.any():
+            yield x[ok], y[ok]
+        shift += 1
+        active = active[left[active] >= shift]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Rows in whole groups, many groups at a time; a group has a bounded number of rows."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [b.column(n).to_numpy(zero_copy_only=False) for n in names]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+        other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+        cut = other[-1] + 1 if len(other) else 0
+        if cut:
+            yield [r[:cut] for r in rows]
+        held = [r[cut:].copy() for r in rows]
+    if held is not None:
+        yield held
+
+
+def _candidates(least: float):
+    """The rows that have a near one in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, _NAMES):
+            wanted = np.zeros(len(rows[0]), bool)
+            for x, y in _near(rows, least):
+                wanted[x] = wanted[y] = True
+            if wanted.any():
+                yield batch(_ROW, *(r[wanted] for r in rows))
+
+    return run
+
+
+def _links(least: float, alike: Callable[[str, str], bool]):
+    """Links of similar texts, contracted; what is connected already is not compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for rows in _grouped(batches, [*_NAMES, "text"]):
+            node, text = rows[4].tolist(), rows[7]
+            for x, y in _near(rows, least):
+                for i, j in zip(x.tolist(), y.tolist()):
+                    if forest.find(node[i]) != forest.find(node[j]) and alike(text[i], text[j]):
+                        forest.join(node[i], node[j])
+        nodes, roots = forest.stars()
+        for at in range(0, len(nodes), 50_000):
+            yield batch(EDGE, nodes[at : at + 50_000], roots[at : at + 50_000])
+
+    return run
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+
+def near_rows(numbers: DataFrame, least: float, stage: Stage) -> DataFrame:
+    """The rows of groups of equal keys that have a near one in their group.
+
+    ``numbers`` has ``node``, ``size``, ``fp`` and ``bands``, the line's keys. A group of
+    over ``GROUP_ROWS`` rows is dealt by node over parts, and any two parts meet in a tile of
+    their own: all pairs are met, and no task holds a group of more than a tile.
+    """
+    shape = "key bigint, node bigint, size int, fp bigint"
+    rows = stage.table(arrow_map(numbers.select("node", "size", "fp", "bands"), _exploded, shape))
+    counts = rows.groupBy("key").agg(F.count("*").alias("rows"))
+    large = stage.table(counts.where(f"rows > {GROUP_ROWS}"))
+    if large.limit(1).count():
+        parts = F.ceil(F.col("rows") / (GROUP_ROWS // 2)).cast("int")
+        tiled = rows.join(large.select("key", parts.alias("parts")), "key")
+        tiled = tiled.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+        tiled = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tiled = tiled.select(
+            "key", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"), "part", "node", "size", "fp"
+        )
+        few = rows.join(large.select("key"), "key", "left_anti")
+    else:
+        tiled, few = None, rows
+    zero = F.lit(0)
+    ready = few.select("key", zero.alias("a"), zero.alias("b"), zero.alias("part"), "node", "size", "fp")
+    ready = ready if tiled is None else ready.union(tiled)
+    return stage.table(arrow_map(_dealt(ready), _candidates(least), _ROWS))
+
+
+def text_links(near: DataFrame, texts: DataFrame, least: float, alike: Callable[[str, str], bool], stage: Stage):
+    """Links that connect all similar lines among ``near``; ``texts`` has ``node`` and ``text``."""
+    found = arrow_map(_dealt(near.join(texts, "node").select(*_NAMES, "text")), _links(least, alike), "hi bigint, lo bigint")
+    return stage.table(found)
