@@ -217,3 +217,11 @@ def test_similar_lines_meet_without_a_distance(spark, monkeypatch, group_rows):
     found = {r.row.doc_id for r in lines.remove_similar_lines(docs, distance=None).collect() if r.n_removed}
     assert len(repeats) > 80
     assert found <= repeats and len(found) >= 0.9 * len(repeats)
+
+
+def test_lines_that_differ_in_numbers_must_be_similar(spark):
+    rows = [(1, "3"), (2, "123456789"), (3, "12 34 56"), (4, "7 80 9123"), (5, "Total: 12.50 EUR"), (6, "total: 9,871 eur")]
+    rows += [(7, "sent on 12 March 2019 to all of the members"), (8, "Sent on 13 March 2019, to all of the members!")]
+    docs = documents(spark, rows)
+    found = {r.row.doc_id: r.n_removed for r in lines.remove_similar_lines(docs, distance=None, digits=True).collect()}
+    assert found == {i: int(i == 8) for i in range(1, 9)}

@@ -53,7 +53,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove_similar_lines(read(spark, sf_dir, "documents"), distance=None, similarity=0.8)
+    found = lines.remove_similar_lines(read(spark, sf_dir, "documents"), distance=None, similarity=0.8, digits=True)
     return found.select("row.doc_id", "n_lines", "n_removed", sha256("kept").alias("kept_sha256"))
 
 
