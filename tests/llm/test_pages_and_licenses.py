@@ -3,13 +3,14 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from re import _parser
 
 import duckdb
 import pytest
 from helpers import documents, messy_rows
 
 from tidemark.llm import html_text, licenses
-from tidemark.llm.license_rules import load_rules
+from tidemark.llm.license_rules import RULES, load_rules
 
 LONG = "running text of an article that goes on for long enough to be told from a list of short labels or links"
 
@@ -166,3 +167,39 @@ def test_labels_of_known_wordings():
     assert labels("GNU Affero General Public License v3.0") == {"agpl-3"}
     assert labels("SPDX-License-Identifier: BSD-3-Clause-Clear") == {"bsd-3-clause-clear"}
     assert labels("we permit a limited licence to commit") == set()
+
+
+def wordings(pattern):
+    """What a rule's pattern matches: every branch, optional parts with and without, any letters as one."""
+    found = [""]
+    for op, arg in pattern:
+        kind = str(op)
+        if kind == "LITERAL":
+            own = [chr(arg)]
+        elif kind == "IN":
+            own = ["7" if str(x[0]) == "CATEGORY" else chr(x[1]) for x in arg]
+        elif kind == "ANY":
+            own = ["x"]
+        elif kind == "BRANCH":
+            own = [w for branch in arg[1] for w in wordings(branch)]
+        elif kind == "SUBPATTERN":
+            own = wordings(arg[3])
+        else:
+            assert kind == "MAX_REPEAT"
+            own = wordings(arg[2]) if arg[0] else ["", *wordings(arg[2])]
+        found = [a + b for a in found for b in own]
+    return found
+
+
+def test_every_wording_of_every_rule_passes_the_gate():
+    scanner, checked = licenses.scanner(), 0
+    for line, rule in zip(filter(None, map(str.strip, RULES.splitlines())), load_rules()):
+        for wording in wordings(_parser.parse(line.split(maxsplit=3)[3])):
+            words = [w.decode() for w in licenses.words_of(wording)]
+            if " ".join(words) == wording and rule.pattern.fullmatch(wording):
+                assert rule.keywords.intersection(words), (rule.label, wording)
+                checked += 1
+    assert checked > 3000
+    for text in ("mplv1 1", "lgpl2.1", "EUPLv1.2", "EPL2.0", "OpenRAILM", "CreativeML OpenRAILM", "PSF license"):
+        got = [(d.label, d.start, d.end, d.score) for d in scanner.scan(text).detections]
+        assert got and sorted(got) == sorted(slow_detections(text)), text

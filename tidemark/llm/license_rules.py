@@ -15,7 +15,7 @@ from dataclasses import dataclass
 # Wordings and identifiers of published licenses.
 RULES = r"""
 apache-2 1.00 apache licensed under the apache license version 2( 0)?
-apache-2 1.00 apache you may not use this file except in compliance with the license .{0,60}apache org licenses license 2 0
+apache-2 1.00 compliance you may not use this file except in compliance with the license .{0,60}apache org licenses license 2 0
 apache-2 1.00 apache spdx license identifier apache 2( 0)?
 apache-2 0.99 apache www apache org licenses license 2 0( txt| html)?
 apache-2 0.99 apache apache license version 2( 0)?( january 2004)?
@@ -55,7 +55,7 @@ bsd-3-clause 0.98 bsd (bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modifi
 bsd-3-clause 0.98 bsd opensource org licenses bsd 3 clause
 bsd-3-clause-clear 1.00 bsd (spdx license identifier )?bsd 3 clause clear( licen[cs]e)?
 bsd-2-clause 1.00 bsd spdx license identifier bsd 2 clause
-bsd-2-clause 0.98 bsd (bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)( licen[cs]e)?
+bsd-2-clause 0.98 bsd|freebsd (bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)( licen[cs]e)?
 bsd-2-clause 0.98 bsd opensource org licenses bsd 2 clause
 bsd-2-clause 0.95 freebsd freebsd( documentation)? licen[cs]e
 bsd-2-clause-patent 1.00 bsd bsd 2 clause (plus )?patent( licen[cs]e)?
@@ -65,7 +65,7 @@ agpl-3-or-later 1.00 agpl spdx license identifier agpl 3 0 or later
 agpl-3-only 1.00 agpl spdx license identifier agpl 3 0( only)?
 agpl-3-or-later 0.99 affero gnu affero general public license .{0,60}version 3 .{0,40}or .{0,20}any later version
 agpl-3 0.99 affero gnu affero general public license( as published by the free software foundation)?( either)?( version| v) ?3( 0)?
-agpl-3 0.98 agpl|agplv3|agpl3 (gnu )?(agpl ?v? ?3( 0)?|agplv3|agpl3)( licen[cs]e)?
+agpl-3 0.98 agpl|agplv|agplv3|agpl3 (gnu )?(agpl ?v? ?3( 0)?|agplv3|agpl3)( licen[cs]e)?
 agpl 0.93 affero (gnu )?affero general public licen[cs]e
 agpl 0.90 agpl (under |licensed )(the )?(gnu )?agpl
 lgpl-3-or-later 1.00 lgpl spdx license identifier lgpl 3 0 or later
@@ -76,9 +76,9 @@ lgpl-2-or-later 1.00 lgpl spdx license identifier lgpl 2 0 or later
 lgpl-3 0.99 lesser (gnu )?lesser general public license( as published by the free software foundation)?( either)?( version| v) ?3( 0)?
 lgpl-2.1 0.99 lesser (gnu )?lesser general public license( as published by the free software foundation)?( either)?( version| v) ?2 1
 lgpl-2 0.99 library gnu library general public license( as published by the free software foundation)?( either)?( version| v) ?2( 0)?
-lgpl-3 0.98 lgpl|lgplv3|lgpl3 (gnu )?(lgpl ?v? ?3( 0)?|lgplv3|lgpl3)( licen[cs]e)?
-lgpl-2.1 0.98 lgpl|lgplv2 (gnu )?(lgpl ?v? ?2 1|lgplv2 1)( licen[cs]e)?
-lgpl-2 0.96 lgpl|lgplv2 (gnu )?(lgpl ?v? ?2( 0)?|lgplv2)( licen[cs]e)?
+lgpl-3 0.98 lgpl|lgplv|lgplv3|lgpl3 (gnu )?(lgpl ?v? ?3( 0)?|lgplv3|lgpl3)( licen[cs]e)?
+lgpl-2.1 0.98 lgpl|lgpl2|lgplv|lgplv2 (gnu )?(lgpl ?v? ?2 1|lgplv2 1)( licen[cs]e)?
+lgpl-2 0.96 lgpl|lgpl2|lgplv|lgplv2 (gnu )?(lgpl ?v? ?2( 0)?|lgplv2)( licen[cs]e)?
 lgpl 0.93 lesser (gnu )?lesser general public licen[cs]e
 lgpl 0.93 library (gnu )?library general public licen[cs]e
 lgpl 0.90 lgpl (under |licensed )(the )?(gnu )?lgpl
@@ -93,8 +93,8 @@ gpl-2-classpath 1.00 classpath (gpl|general public license) .{0,40}with (the )?c
 gpl-3 0.99 general gnu general public license( as published by the free software foundation)?( either)?( version| v) ?3( 0)?
 gpl-2 0.99 general gnu general public license( as published by the free software foundation)?( either)?( version| v) ?2( 0)?
 gpl-1 0.98 general gnu general public license( as published by the free software foundation)?( either)?( version| v) ?1( 0)?
-gpl-3 0.98 gpl|gplv3|gpl3 (gnu )?(gpl ?v? ?3( 0)?|gplv3|gpl3)( licen[cs]e)?
-gpl-2 0.98 gpl|gplv2|gpl2 (gnu )?(gpl ?v? ?2( 0)?|gplv2|gpl2)( licen[cs]e)?
+gpl-3 0.98 gpl|gplv|gplv3|gpl3 (gnu )?(gpl ?v? ?3( 0)?|gplv3|gpl3)( licen[cs]e)?
+gpl-2 0.98 gpl|gplv|gplv2|gpl2 (gnu )?(gpl ?v? ?2( 0)?|gplv2|gpl2)( licen[cs]e)?
 gpl 0.93 general (gnu )?general public licen[cs]e
 gpl 0.92 gnu www gnu org licenses gpl( \d \d)?( html| txt)?
 gpl 0.90 gpl (under |licensed )(the )?(gnu )?gpl
@@ -109,18 +109,18 @@ mpl-2 1.00 mozilla this source code form is subject to the terms of the mozilla
 mpl-2 1.00 mpl spdx license identifier mpl 2 0
 mpl-2 0.99 mozilla mozilla public license( version| v)? ?2( 0)?
 mpl-2 0.98 mozilla mozilla org mpl 2 0
-mpl-2 0.97 mpl|mplv2|mpl2 (mpl ?v? ?2( 0)?|mplv2|mpl2)( licen[cs]e)?
+mpl-2 0.97 mpl|mplv|mplv2|mpl2 (mpl ?v? ?2( 0)?|mplv2|mpl2)( licen[cs]e)?
 mpl-1.1 1.00 mpl spdx license identifier mpl 1 1
 mpl-1.1 0.99 mozilla mozilla public license( version| v)? ?1 1
-mpl-1.1 0.97 mpl mpl ?v? ?1 1
+mpl-1.1 0.97 mpl|mpl1|mplv|mplv1 mpl ?v? ?1 1
 mpl-1.0 0.98 mozilla mozilla public license( version| v)? ?1 0
 mpl 0.93 mozilla mozilla public licen[cs]e
 epl-2 1.00 epl spdx license identifier epl 2 0
 epl-1 1.00 epl spdx license identifier epl 1 0
 epl-2 0.99 eclipse eclipse public license( version| v)? ?2( 0)?
 epl-1 0.99 eclipse eclipse public license( version| v)? ?1( 0)?
-epl-2 0.97 epl|eplv2 (epl ?v? ?2( 0)?|eplv2)
-epl-1 0.97 epl|eplv1 (epl ?v? ?1( 0)?|eplv1)
+epl-2 0.97 epl|epl2|eplv|eplv2 (epl ?v? ?2( 0)?|eplv2)
+epl-1 0.97 epl|epl1|eplv|eplv1 (epl ?v? ?1( 0)?|eplv1)
 epl 0.93 eclipse eclipse public licen[cs]e
 edl-1 0.97 eclipse eclipse distribution license( version| v)?( 1 0)?
 cddl-1.0 1.00 cddl spdx license identifier cddl 1 0
@@ -133,8 +133,8 @@ cpl-1 0.98 common common public license( version| v)? ?1 0
 cpl-1 0.97 cpl spdx license identifier cpl 1 0
 cpal-1 0.98 attribution common public attribution license( version)?( 1 0)?
 ipl-1 0.98 ibm ibm public license( version)?( 1 0)?
-eupl-1.2 1.00 eupl (spdx license identifier )?eupl ?v? ?1 2
-eupl-1.1 1.00 eupl (spdx license identifier )?eupl ?v? ?1 1
+eupl-1.2 1.00 eupl|eupl1|euplv|euplv1 (spdx license identifier )?eupl ?v? ?1 2
+eupl-1.1 1.00 eupl|eupl1|euplv|euplv1 (spdx license identifier )?eupl ?v? ?1 1
 eupl-1.2 0.99 european european union public licen[cs]e( eupl)?( version| v)? ?1 2
 eupl 0.95 european european union public licen[cs]e
 cecill-2.1 0.98 cecill (cecill 2 1|cecill version 2 1)
@@ -175,8 +175,8 @@ zlib 0.97 zlib (the )?zlib( libpng)? licen[cs]e
 zlib 0.97 origin the origin of this software must not be misrepresented
 libpng 0.97 libpng libpng licen[cs]e
 postgresql 0.98 postgresql (the )?postgresql licen[cs]e
-python-2 0.98 python (psf|python software foundation) license( version)?( 2)?
-python-2 0.97 python spdx license identifier (psf|python) 2 0
+python-2 0.98 python|psf (psf|python software foundation) license( version)?( 2)?
+python-2 0.97 python|psf spdx license identifier (psf|python) 2 0
 ruby 0.96 ruby (the )?ruby licen[cs]e
 php-3.01 0.98 php php license( version)? 3 01
 php-3 0.97 php php license( version)?( 3( 0)?)?
@@ -201,7 +201,7 @@ vim 0.95 vim (the )?vim licen[cs]e
 curl 0.96 curl (the )?curl licen[cs]e
 json 0.97 good the software shall be used for good not evil
 beerware 0.97 beerware|beer (the )?beer ?ware licen[cs]e
-blueoak-1 0.98 oak blue ?oak model license( version)?( 1 0 0)?
+blueoak-1 0.98 oak|blueoak blue ?oak model license( version)?( 1 0 0)?
 blueoak-1 0.98 blueoak spdx license identifier blueoak 1 0 0
 mulan-psl-2 0.98 mulan mulan psl( v|version )?2?|mulan permissive software license( version| v)?( 2)?
 ncgl-uk-2 0.96 commercial non commercial government licen[cs]e
@@ -219,8 +219,8 @@ cdla-permissive-1 0.96 community community data license agreement permissive
 cdla-sharing-1 0.96 community community data license agreement sharing
 llama-2 0.97 llama llama 2 community licen[cs]e( agreement)?
 llama-3 0.97 llama llama 3 community licen[cs]e( agreement)?
-openrail-m 0.96 openrail (creativeml |bigscience )?(big ?code )?openrail ?(m|\+\+)?
-rail 0.94 rail (responsible ai|bigscience rail|bigscience bloom rail) licen[cs]e
+openrail-m 0.96 openrail|openrailm (creativeml |bigscience )?(big ?code )?openrail ?(m|\+\+)?
+rail 0.94 rail|responsible (responsible ai|bigscience rail|bigscience bloom rail) licen[cs]e
 hippocratic-2.1 0.97 hippocratic hippocratic license( version)?( 2 1)?
 parity-7 0.96 parity parity public license( 7 0 0)?
 ethical-source 0.94 ethical ethical source licen[cs]e
@@ -260,7 +260,7 @@ public-domain 0.85 domain this (work|text|file|software|document) is in the publ
 proprietary 0.90 confidential (proprietary and confidential|confidential and proprietary)
 proprietary 0.88 prohibited unauthori[sz]ed (copying|distribution|reproduction) .{0,60}strictly prohibited
 all-rights-reserved 0.80 reserved all rights reserved
-non-commercial 0.80 commercial (for )?non ?commercial (use|purposes) only
+non-commercial 0.80 commercial|noncommercial (for )?non ?commercial (use|purposes) only
 non-commercial 0.80 noncommercial for noncommercial (use|purposes)( only)?
 research-only 0.80 research for research (use|purposes) only
 """
