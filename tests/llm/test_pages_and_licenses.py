@@ -102,6 +102,7 @@ TEXTS = [
     "GNU General Public License v3 or GPL-2.0-only",
     "permit limits apache cc gpl license é under the mit licenseé",
     "mit license under the",
+    "under the mit license\u00a0agreement, x\u2003under the mit license, under the mit license\u3000x, CC-BY-NC\u0085x",
 ]
 
 

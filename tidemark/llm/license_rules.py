@@ -278,6 +278,6 @@ def load_rules(table: str = RULES) -> list[Rule]:
     rules = []
     for line in filter(None, map(str.strip, table.splitlines())):
         label, score, keywords, pattern = line.split(maxsplit=3)
-        whole = re.compile(rf"(?<!\S)(?:{pattern})(?!\S)")
+        whole = re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])")
         rules.append(Rule(label, float(score), frozenset(keywords.split("|")), whole))
     return rules

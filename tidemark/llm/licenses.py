@@ -51,7 +51,7 @@ class Scanner:
     def __init__(self, rules: list[Rule], base: dict[str, tuple[str, str]]):
         self.rules = rules
         self.base = [
-            (re.compile(rf"(?<!\S)(?={re.escape(phrase)}(?!\S))"), label, gate.encode())
+            (re.compile(rf"(?<![^ ])(?={re.escape(phrase)}(?![^ ]))"), label, gate.encode())
             for phrase, (label, gate) in base.items()
         ]
         self.by_keyword: dict[bytes, list[int]] = {}
