@@ -10,7 +10,7 @@ import xxhash
 from helpers import documents, edited, groups, messy_rows, sentence
 
 from tidemark.llm import buckets, lines, substring
-from tidemark.llm.shared import signed
+from tidemark.llm.shared import Stage, signed
 
 
 # --- repeated passages ---------------------------------------------------------
@@ -225,3 +225,19 @@ def test_lines_that_differ_in_numbers_must_be_similar(spark):
     docs = documents(spark, rows)
     found = {r.row.doc_id: r.n_removed for r in lines.remove_similar_lines(docs, distance=None, digits=True).collect()}
     assert found == {i: int(i == 8) for i in range(1, 9)}
+
+
+def test_no_task_gets_more_of_a_group_than_a_tile(spark, monkeypatch):
+    """All lines have the same key and fingerprint; still every pair meets, in tiles of bounded size."""
+    monkeypatch.setattr(buckets, "GROUP_ROWS", 32)
+    n = 300
+    numbers = spark.range(n).selectExpr("id AS node", "10 AS size", "0L AS fp", "unhex('0100000000000000') AS bands")
+    near = buckets.near_rows(numbers, 0.8, Stage(spark)).collect()
+    tiles = {}
+    for r in near:
+        tiles.setdefault((r.a, r.b), []).append((r.part, r.node))
+    assert max(map(len, tiles.values())) <= 64 < n
+    met = Counter(
+        frozenset((x, y)) for (a, b), own in tiles.items() for (p, x), (q, y) in itertools.combinations(own, 2) if a == b or p != q
+    )
+    assert len(met) == n * (n - 1) // 2 and set(met.values()) == {1}

@@ -15,7 +15,7 @@ from tidemark.llm.shared import EDGE, Forest, Stage, arrow_map, batch
 ROWS, WORD_KEYS = 4, 12
 PIECE_ROWS, PIECE_KEYS, SHORT = 3, 8, 160
 #: Bits of 64 in which the fingerprints of lines that are compared may differ.
-FAR = 26
+FAR = 18
 #: A group of more rows is dealt over tiles: two parts of it, of about half as many rows, meet in each.
 GROUP_ROWS = 4096
 _MANY = np.random.default_rng(20).integers(0, 2**63, 48, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,10 +133,21 @@ def _links(least: float, alike: Callable[[str, str], bool]):
         forest = Forest()
         for rows in _grouped(batches, [*_NAMES, "text"]):
             node, text = rows[4].tolist(), rows[7]
+            own = np.unique(rows[4], return_inverse=True)[1]
+            up = np.arange(len(node))  # for each node a node of the same component, never a later one
             for x, y in _near(rows, least):
-                for i, j in zip(x.tolist(), y.tolist()):
-                    if forest.find(node[i]) != forest.find(node[j]) and alike(text[i], text[j]):
+                apart = up[own[x]] != up[own[y]]  # what is connected already is left out many at a time
+                for i, j in zip(x[apart].tolist(), y[apart].tolist()):
+                    a, b = own[i], own[j]
+                    while up[a] != a:
+                        a = up[a]
+                    while up[b] != b:
+                        b = up[b]
+                    if a != b and (forest.find(node[i]) == forest.find(node[j]) or alike(text[i], text[j])):
+                        up[max(a, b)] = min(a, b)
                         forest.join(node[i], node[j])
+                while (up[up] != up).any():
+                    up = up[up]
         nodes, roots = forest.stars()
         for at in range(0, len(nodes), 50_000):
             yield batch(EDGE, nodes[at : at + 50_000], roots[at : at + 50_000])
