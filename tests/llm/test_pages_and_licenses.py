@@ -68,6 +68,22 @@ def test_surge_and_dive_without_an_article():
     assert html_text.main_text(page + f"<div class=footer>{LONG}</div><div>short</div>") == f"{LONG} ok. {LONG}"
 
 
+def test_cards_and_comments_are_not_the_article():
+    prose = "".join(f"<p>{LONG} {i}</p>" for i in range(4))
+    text = " ".join(f"{LONG} {i}" for i in range(4))
+    card = "<article><p>Next story</p></article>"
+    assert html_text.main_text(f"<div id=content>{prose}</div><div class=box><hr>{card}</div>").startswith(text)
+    comment = f"<article class='comment'><p>{LONG} says a reader</p></article>"
+    assert html_text.main_text(f"<div id=content>{prose}</div>{comment}") == text
+    assert html_text.main_text(f"<article>{prose}{comment}</article>") == text
+
+
+def test_short_stretches_between_kept_ones_stay():
+    advert = "<div class=ad>buy</div>"
+    page = f"<div>a</div>{advert}<p>{LONG}</p>{advert}<p>Short.</p>{advert}<p>{LONG}</p>{advert}<p>b</p>"
+    assert html_text.main_text(page) == f"{LONG} Short. {LONG}"
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (2, None, None), (None, "v", ""), (3, "w", f"<p>{LONG}")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text", "2 AS row")

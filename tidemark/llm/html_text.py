@@ -15,6 +15,8 @@ from tidemark.llm.shared import arrow_map, col, text_or_empty
 
 #: Lines in a window, and the characters that a window of running text has at least.
 WINDOW, SURGE = 3, 86
+#: Running text beside marked articles, more than they hold, from which on the marks are not the page's article.
+PROSE = WINDOW * SURGE
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -74,7 +76,8 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     role = found.get("role", "").lower()
     main = tag in _MAIN or role in ("main", "article") or "articlebody" in found.get("itemprop", "").lower()
-    if tag in ("html", "body") or main:
+    beside = _named_beside(found.get("class", "")) or _named_beside(found.get("id", ""))
+    if tag in ("html", "body") or main and not beside:
         return tag in _APART, main
     style = found.get("style", "").replace(" ", "").lower()
     apart = (
@@ -83,10 +86,9 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
         or "hidden" in found
         or found.get("aria-hidden", "").lower() == "true"
         or "display:none" in style
-        or _named_beside(found.get("class", ""))
-        or _named_beside(found.get("id", ""))
+        or beside
     )
-    return apart, main
+    return apart, False
 
 
 class _Lines:
@@ -189,33 +191,44 @@ def page_lines(html: str) -> list[tuple[str, bool]]:
     return lines.rows
 
 
+def _stretches(length: list[int]) -> list[tuple[int, int, int]]:
+    """Lines from surge to dive of the window sums: begin, end and the largest sum."""
+    sums = [sum(length[i : i + WINDOW]) for i in range(len(length))]
+    found: list[tuple[int, int, int]] = []
+    begin = None
+    for i, total in enumerate([*sums, 0]):
+        if begin is None and total:
+            begin = i
+        elif begin is not None and not total:
+            found.append((begin, i, max(sums[begin:i])))
+            begin = None
+    return found
+
+
 def main_text(html: str | None) -> str:
     """The running text of a page, its blocks joined by one space.
 
     The distribution is that of text length over the page's lines, where a line ends
     with a block element. What markup sets apart counts as empty lines, as do link
-    lists; where the page marks its article, so does all outside of it. Sums over
-    windows of lines then surge where running text begins and dive to zero where it
-    ends. A stretch between surge and dive is kept if a window in it has the
-    length of running text, or if it is in the marked article; the longest
-    stretch is if none has.
+    lists. Sums over windows of lines surge where running text begins and dive to zero
+    where it ends. A stretch between surge and dive is kept if a window in it has the
+    length of running text, or if it lies between two such; the longest stretch is if
+    none has. Where the page marks its article, all outside of it counts as empty, too, and each
+    stretch in it is kept, unless the stretches of running text outside hold more than
+    the marked text, and ``PROSE`` characters or more: then the marks are those of cards.
     """
     rows = page_lines(html or "")
-    marked = any(within and text for text, within in rows)
+    inside = sum(len(text) for text, within in rows if within)
+    outside = [0 if within else len(text) for text, within in rows]
+    running = sum(sum(outside[a:z]) for a, z, most in _stretches(outside) if most >= SURGE) if inside else 0
+    marked = inside > 0 and (running <= inside or running < PROSE)
     length = [0 if marked and not within else len(text) for text, within in rows]
-    sums = [sum(length[i : i + WINDOW]) for i in range(len(length))]
-    stretches: list[tuple[int, int]] = []
-    begin = None
-    for i, total in enumerate([*sums, 0]):
-        if begin is None and total:
-            begin = i
-        elif begin is not None and not total:
-            stretches.append((begin, i))
-            begin = None
-    kept = [s for s in stretches if marked or max(sums[s[0] : s[1]]) >= SURGE]
+    stretches = _stretches(length)
+    surging = [n for n, (_, _, most) in enumerate(stretches) if marked or most >= SURGE]
+    kept = stretches[surging[0] : surging[-1] + 1] if surging else []
     if not kept and stretches:
         kept = [max(stretches, key=lambda s: sum(length[s[0] : s[1]]))]
-    return " ".join(rows[i][0] for a, z in kept for i in range(a, z) if length[i])
+    return " ".join(rows[i][0] for a, z, _ in kept for i in range(a, z) if length[i])
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
