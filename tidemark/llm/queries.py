@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, html_text, licenses, lines, packing, simhash, substring, topk, toxicity
+from tidemark.llm import (
+    bpe,
+    exact,
+    html_text,
+    licenses,
+    lines,
+    negatives,
+    packing,
+    periodic,
+    simhash,
+    substring,
+    token_counts,
+    topk,
+    toxicity,
+)
 from tidemark.llm.shared import SPACE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +114,50 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = token_counts.count_tokens(read(spark, sf_dir, "documents"), model)
+    over = (F.col("n_tokens") > 4096).alias("over_limit")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", over)
+
+
+#: Words of every tenth document from a place on repeat with a period, both given by a hash of its id.
+PLANTED = f"""
+CASE WHEN crc32(CAST(doc_id AS STRING)) % 10 = 0 THEN
+  transform(array(filter(split(coalesce(text, ''), r'{SPACE}'), w -> w <> '')), words -> array_join(
+    transform(
+      array(struct(floor(crc32(CAST(doc_id AS STRING)) / 10) AS g)), x -> transform(
+        array(struct(
+          CAST(x.g % greatest(size(words), 1) AS INT) AS a,
+          CAST(1 + (size(words) - x.g % greatest(size(words), 1)) DIV (3 + x.g % 8) AS INT) AS p)),
+        y -> transform(words, (w, i) -> IF(i >= y.a, words[y.a + (i - y.a) % y.p], w)))[0])[0],
+    ' '))[0]
+ELSE text END"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(PLANTED).alias("text"))
+    found = periodic.periodic_runs(docs, least=12)
+    longest = "array_max(transform(runs, r -> struct(r.length, -r.start AS before, -r.period AS finer)))"
+    listed = "array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')"
+    found = found.select("row.doc_id", "runs", F.expr(longest).alias("longest"), "collapsed", F.expr(listed).alias("listed"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.expr("-longest.before").alias("start"),
+        "longest.length",
+        F.expr("-longest.finer").alias("period"),
+        F.expr("1000 * longest.length DIV -longest.finer").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, changed)
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_exact_top_k": op2_exact_top_k,
@@ -111,6 +169,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -150,5 +211,25 @@ WITH t AS (
   FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(c.v) = len(a.v)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
 """,
 }
