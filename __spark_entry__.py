@@ -35,6 +35,7 @@ from tidemark.operators import concurrency, kpis, lifecycle, reports, selection,
 from tidemark.sinks.tables import REPORT_NAMES  # noqa: E402
 from tidemark.sources import order_log  # noqa: E402
 from tidemark.sources.orders_table import order_log_from_orders  # noqa: E402
+from tidemark.staging import Staging  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 GROUP = [S.STORE, S.NAME]
@@ -110,6 +111,41 @@ def _working_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid_counts(orders, grid.drop("hourmin")).select("minute", "hour", "order_minutes")
 
 
+#: Names as logs hold them: with commas, quotes, line feeds and backslashes, blank or missing.
+ODD_NAME = r"""CASE order_id % 8 WHEN 0 THEN concat(store_name, ', "east" side') WHEN 1 THEN concat('"', store_name, '"')
+    WHEN 2 THEN concat(store_name, char(10), char(9), 'upper floor') WHEN 3 THEN concat(store_name, char(92), 'n')
+    WHEN 4 THEN NULL ELSE store_name END"""
+#: What a CSV log writes for them: C escapes for backslashes and control characters.
+ESCAPED = r"""replace(replace(replace(store_name, char(92), concat(char(92), char(92))),
+    char(10), concat(char(92), 'n')), char(9), concat(char(92), 'x09'))"""
+
+
+def _order_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with odd names, written as CSV files and read back; its columns stand in another order."""
+    log = _log(spark, sf_dir).withColumn(S.NAME, F.expr(ODD_NAME))
+    text = _as_csv_text(log).withColumn(S.NAME, F.expr(ESCAPED)).withColumn("remark", F.lit("a, b"))
+    path = f"{Staging(spark).root}/log_csv"
+    writer = text.select(sorted(text.columns)).repartition(5).write.option("header", True)
+    writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(path)
+    return lifecycle.parse_lifecycle(order_log.read_order_log_csv(spark, path))
+
+
+def _repeated(log: DataFrame) -> DataFrame:
+    """A log in which every sixth order stands twice: alike, or with another store, name, status or time."""
+    twice = log.selectExpr("*", f"explode(IF({S.ORDER} % 6 = 0, array(0, 1), array(0))) AS copy")
+    other = {
+        S.STORE: (4, f"{S.STORE} + 1"),
+        S.NAME: (5, "CAST(NULL AS STRING)"),
+        "final_status": (7, "'CanceledStatus'"),
+        "pickup_time_local": (9, "pickup_time_local + INTERVAL '1' SECOND"),
+    }
+    changed = {
+        c: F.expr(f"CASE WHEN copy = 1 AND {S.ORDER} DIV 6 % {n} = 0 THEN {value} ELSE {c} END")
+        for c, (n, value) in other.items()
+    }
+    return twice.withColumns(changed).drop("copy")
+
+
 def _log_queries() -> dict[str, Query]:
     cfg = StudyConfig()
     durations = [d.name for d in S.DURATIONS]
@@ -137,6 +173,11 @@ def _log_queries() -> dict[str, Query]:
 
     return {
         "order_log_scan": on_log(order_log.normalise),
+        "order_log_csv": _order_log_csv,
+        "conflicting_orders": on_log(lambda log: selection.conflicting_orders(_repeated(log))),
+        "store_order_counts_quarantined": on_log(
+            lambda log: selection.store_order_counts(Study(_repeated(log), StudyConfig(quarantine=True)).log)
+        ),
         "parse_lifecycle": on_log(lambda log: lifecycle.parse_lifecycle(_as_csv_text(log)).select(S.ORDER, *S.LIFECYCLE)),
         "time_of_day": on_log(clock),
         "status_flags": on_log(flags),
@@ -178,6 +219,10 @@ def _reconcile(study: Study) -> DataFrame:
     return reduce(DataFrame.unionByName, totals)
 
 
+#: Fewer than the level table has, so that the sample is one.
+SAMPLED_ROWS = 25
+
+
 def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
     """One builder per query; each works on a study of its own."""
     level_keys = [*GROUP, S.LEVEL]
@@ -206,7 +251,8 @@ def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
     def written(report: str) -> Callable[[Study], DataFrame]:
         def run(study: Study) -> DataFrame:
             (path,) = study.write_reports(f"{study.staging.root}/reports", only=[report])
-            return study.log.sparkSession.read.parquet(path)
+            found = study.log.sparkSession.read.parquet(path)
+            return reports.unfolded(found) if report == REPORT_NAMES["report_level"] else found
 
         return run
 
@@ -243,7 +289,7 @@ def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
         "impacts": lambda s: s.impacts,
         "store_suggestions": lambda s: s.store_suggestions,
         "report_hour": lambda s: s.report_hour,
-        "report_level": lambda s: s.report_level,
+        "report_level": lambda s: reports.unfolded(s.report_level),
         "report_level_long": long_levels,
         "level_range": levels,
         "kpis_by_level_range": ranges,
@@ -255,6 +301,7 @@ def _study_tables() -> dict[str, Callable[[Study], DataFrame]]:
         "series_orders": lambda s: reports.series_orders(s.by_level, s.busiest_stores),
         "series_costs": lambda s: reports.series_costs(s.by_level, s.busiest_stores),
         "scatter_input": lambda s: reports.scatter_input(s.by_level),
+        "scatter_sample": lambda s: reports.scatter_sample(s.by_level, SAMPLED_ROWS),
     }
     for report in REPORT_NAMES.values():
         tables[f"written_{report.lower()}"] = written(report)
@@ -270,6 +317,36 @@ def _study_query(name: str, build: Callable[[Study], DataFrame], cfg: StudyConfi
     return run
 
 
+def _uneven_grid(spark: SparkSession) -> DataFrame:
+    """Every third minute without those from 12:45 to 13:14, and two times between minutes."""
+    minutes = order_log.minute_grid(spark).where("minute % 3 = 0 AND minute NOT BETWEEN 765 AND 794").select("hourmin")
+    between = spark.range(2).selectExpr("concat('13:0', 5 + 2 * id, ':30') AS hourmin")
+    return order_log.with_second(minutes.union(between))
+
+
+def _grid_tables() -> dict[str, Callable[[Study], DataFrame]]:
+    """Queries of a study that counts orders at the times of a supplied grid."""
+
+    def concurrent(study: Study) -> DataFrame:
+        study.share("orders")
+        found = concurrency.ongoing_concurrency(study.intervals, study.curve, study.grid)
+        return study.grid.on_clock(found)
+
+    return {
+        "ongoing_concurrency_grid": concurrent,
+        "kpis_by_level_grid": lambda s: s.by_level,
+        "kpis_by_hour_grid": lambda s: s.by_hour,
+        "store_suggestions_grid": lambda s: s.store_suggestions,
+    }
+
+
+def _grid_query(name: str, build: Callable[[Study], DataFrame], cfg: StudyConfig) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _published(name, build(Study(_log(spark, sf_dir), cfg, _uneven_grid(spark))))
+
+    return run
+
+
 #: One brand of the stores above a percentile of all stores.
 NAMED = StudyConfig(percentile=0.2, store_name="STORE_12")
 NAMED_QUERIES = ("kpis_by_level", "store_suggestions")
@@ -309,6 +386,9 @@ def queries() -> dict[str, Query]:
         found[f"{name}_p50"] = _study_query(name, build, StudyConfig(percentile=0.5))
         if name in NAMED_QUERIES:
             found[f"{name}_named"] = _study_query(name, build, NAMED)
+    for name, build in _grid_tables().items():
+        found[name] = _grid_query(name, build, StudyConfig())
+        found[f"{name}_p50"] = _grid_query(name, build, StudyConfig(percentile=0.5))
     return {**found, **_training_data()[0]}
 
 
@@ -317,4 +397,5 @@ def oracle_sql() -> dict[str, str]:
     brand = oracle_queries.study_sql(NAMED.percentile, NAMED.store_name)
     named = {f"{name}_named": brand[name] for name in NAMED_QUERIES}
     own = {**oracle_queries.selection_sql(0.95), **oracle_queries.study_sql(0.95), **half, **named}
+    own |= oracle_queries.grid_sql(0.95) | {f"{name}_p50": sql for name, sql in oracle_queries.grid_sql(0.5).items()}
     return {**own, **_training_data()[1]}

@@ -26,6 +26,7 @@ NULLABLE_COUNTS = {
     "reconcile_by_store": ["delivered", "cancels"],
     "impacts": ["lost_orders"],
     "lost_orders_long": ["lost_orders"],
+    "kpis_by_hour_grid": ["delivered", "cancels"],
 }
 TIMESTAMPS = [
     "activation_time_local",
@@ -247,11 +248,27 @@ def _needed(ctes: dict[str, str], text: str) -> list[str]:
     return [n for n in ctes if n in wanted]
 
 
+#: A grid of seconds: every third minute with a gap, and two times between minutes.
+UNEVEN_GRID = {
+    "grid": """SELECT minute * 60 AS second FROM day_grid
+    WHERE minute >= 420 AND minute < 1260 AND minute % 3 = 0 AND minute NOT BETWEEN 765 AND 794
+  UNION ALL SELECT 47130 UNION ALL SELECT 47250""",
+    "minute_rows": """
+  SELECT selected.*, second AS minute, CAST(second // 3600 AS INTEGER) AS hour
+  FROM selected JOIN grid ON dispatch_tod <= second AND pickup_tod > second""",
+}
+
+
 def _sql(
-    scope: tuple[float, str | None], final: str, cut: list[str] = (), absolute: list[str] = (), dated: bool = False
+    scope: tuple[float, str | None],
+    final: str,
+    cut: list[str] = (),
+    absolute: list[str] = (),
+    dated: bool = False,
+    changed: dict[str, str] | None = None,
 ) -> str:
     """Full statement; ``cut`` columns rounded to 6 decimals, ``absolute`` to 7, dates as text."""
-    ctes = _ctes(*scope)
+    ctes = _ctes(*scope) | (changed or {})
     names = _needed(ctes, final)
     changes = [f'round("{c}" + {OFF_TIES}, 6) + 0.0 AS "{c}"' for c in cut]
     changes += [f'round(CAST("{c}" AS DOUBLE), 7) + 0.0 AS "{c}"' for c in absolute]
@@ -286,6 +303,20 @@ def selection_sql(percentile: float) -> dict[str, str]:
     durations = ", ".join(f"us_{k[4:]} / 60000000.0 AS {k}" for k in minutes)
     return _published({
         "order_log_scan": _sql(p, f"SELECT store_address_id, store_name, order_id, final_status, {', '.join(TIMESTAMPS)}, cpo, cm0 FROM log"),
+        "order_log_csv": _sql(p, f"""SELECT store_address_id, CASE order_id % 8 WHEN 0 THEN store_name || ', "east" side'
+      WHEN 1 THEN '"' || store_name || '"' WHEN 2 THEN store_name || chr(10) || chr(9) || 'upper floor'
+      WHEN 3 THEN store_name || chr(92) || 'n' WHEN 4 THEN NULL ELSE store_name END AS store_name,
+    order_id, final_status, {', '.join(TIMESTAMPS)}, cpo, cm0 FROM log"""),
+        "conflicting_orders": _sql(p, """SELECT order_id, CAST(2 AS BIGINT) AS log_rows, concat_ws(',',
+    CASE WHEN (order_id // 6) % 4 = 0 THEN 'store' END, CASE WHEN (order_id // 6) % 5 = 0 THEN 'name' END,
+    CASE WHEN (order_id // 6) % 7 = 0 AND final_status <> 'CanceledStatus' THEN 'status' END,
+    CASE WHEN (order_id // 6) % 9 = 0 AND pickup_time_local IS NOT NULL THEN 'times' END) AS reason
+  FROM log WHERE order_id % 6 = 0 AND reason <> ''"""),
+        "store_order_counts_quarantined": _sql(p, """SELECT store_address_id, count(DISTINCT order_id) AS orders FROM log
+  WHERE NOT (order_id % 6 = 0 AND ((order_id // 6) % 4 = 0 OR (order_id // 6) % 5 = 0
+    OR ((order_id // 6) % 7 = 0 AND final_status <> 'CanceledStatus')
+    OR ((order_id // 6) % 9 = 0 AND pickup_time_local IS NOT NULL)))
+  GROUP BY store_address_id"""),
         "parse_lifecycle": _sql(p, f"SELECT order_id, {', '.join(TIMESTAMPS)} FROM log"),
         "time_of_day": _sql(p, f"SELECT order_id, {tod} FROM facts"),
         "status_flags": _sql(p, "SELECT order_id, delivered, cancels FROM facts"),
@@ -383,8 +414,11 @@ def study_sql(percentile: float, store_name: str | None = None) -> dict[str, str
         "impacts": _sql(p, "SELECT * FROM impacts", ["wtp_impact"]),
         "store_suggestions": _sql(p, "SELECT * FROM suggested", ["perc_lost", "impact_wtp", "real_wtp"]),
         "report_hour": _sql(p, _pivoted(hour_long, "hour", hours, "k.value AS value", value_join), ["value", *map(str, hours)]),
-        "report_level": _sql(p, f"""SELECT * FROM (PIVOT ({rounded_levels}) ON ongoing_orders USING first(cell)
-  GROUP BY store_address_id, store_name, concept, r2, value)"""),
+        "report_level": _sql(p, f"""SELECT w.*, h.ongoing_orders, c.cell
+  FROM (SELECT DISTINCT store_address_id, store_name, concept, r2, value FROM ({rounded_levels}) a) w
+  JOIN (SELECT DISTINCT ongoing_orders FROM kpi_level) h ON true
+  LEFT JOIN ({rounded_levels}) c ON c.store_address_id = w.store_address_id AND c.concept = w.concept
+    AND c.store_name IS NOT DISTINCT FROM w.store_name AND c.ongoing_orders = h.ongoing_orders"""),
         "report_level_long": _sql(p, rounded_levels),
         "level_range": _sql(p, f"SELECT {by}, ongoing_orders, level_range FROM ranged"),
         "kpis_by_level_range": _sql(p, f"SELECT {by}, level_range, {concepts} FROM rollup_range", MEANS),
@@ -395,7 +429,25 @@ def study_sql(percentile: float, store_name: str | None = None) -> dict[str, str
         "series_orders": _sql(p, _long("charted", f"{by}, ongoing_orders", ["delivered", "cancels"], "value", "kpi")),
         "series_costs": _sql(p, _long("charted", f"{by}, ongoing_orders", MEANS[5:], "value", "kpi"), ["value"]),
         "scatter_input": _sql(p, f"SELECT ongoing_orders, {', '.join(MEANS[:4])} FROM kpi_level"),
+        "scatter_sample": _sql(p, f"""SELECT
+    ((store_address_id * 2654435761) % 4294967296 + (ongoing_orders * CAST(2246822519 AS BIGINT)) % 4294967296)
+      % 2147483648 * 3266489917 % 4294967296 AS sample_key,
+    {by}, ongoing_orders, {', '.join(MEANS[:4])} FROM kpi_level
+  ORDER BY sample_key, store_address_id, store_name, ongoing_orders LIMIT 25"""),
     }
     reports = {"infohour": "report_hour", "infooo": "report_level", "infogroup": "report_level_range", "impacts": "store_suggestions"}
     out |= {f"written_{name}": out[report] for name, report in reports.items()}
     return _published(out)
+
+
+def grid_sql(percentile: float) -> dict[str, str]:
+    """Queries of a study with a supplied grid."""
+    p, by, means = (percentile, None), "store_address_id, store_name", ", ".join(MEANS)
+    return _published({
+        "ongoing_concurrency_grid": _sql(p, f"SELECT order_id, {by}, date, CAST(minute AS INTEGER) AS second, ongoing AS ongoing_orders FROM conc",
+                                         dated=True, changed=UNEVEN_GRID),
+        "kpis_by_level_grid": _sql(p, f"SELECT {by}, ongoing_orders, {', '.join(CONCEPTS)} FROM kpi_level", COSTS, changed=UNEVEN_GRID),
+        "kpis_by_hour_grid": _sql(p, f"SELECT {by}, hour, delivered, cancels, avg_ongoing_orders, {means} FROM kpi_hour",
+                                  ["avg_ongoing_orders", *COSTS], changed=UNEVEN_GRID),
+        "store_suggestions_grid": _sql(p, "SELECT * FROM suggested", ["perc_lost", "impact_wtp", "real_wtp"], changed=UNEVEN_GRID),
+    })

@@ -28,8 +28,12 @@ def top_stores(log, percentile):
     return {s for s, n in counts.items() if n >= cutoff}
 
 
-def detail(log, stores, open_hour=7, close_hour=21):
-    """One dict per order row and ongoing minute, with concurrency and level."""
+def detail(log, stores, open_hour=7, close_hour=21, times=None):
+    """One dict per order row and ongoing minute, with concurrency and level.
+
+    ``times`` are seconds of the day instead of every minute; then so is ``minute``.
+    """
+    grid = [(m * 60, m) for m in range(1440)] if times is None else [(t, t) for t in sorted(set(times))]
     rows = []
     for r in log:
         if r["store_address_id"] not in stores:
@@ -47,8 +51,8 @@ def detail(log, stores, open_hour=7, close_hour=21):
             "cpo": r["cpo"],
             "cm0": r["cm0"],
         }
-        for minute in range(open_hour * 60, close_hour * 60):
-            if start <= minute * 60 < end:
+        for time, minute in grid:
+            if open_hour * 3600 <= time < close_hour * 3600 and start <= time < end:
                 rows.append(
                     {
                         "store": r["store_address_id"],
@@ -57,7 +61,7 @@ def detail(log, stores, open_hour=7, close_hour=21):
                         "status": r["final_status"],
                         "date": None if act is None else act.date(),
                         "minute": minute,
-                        "hour": minute // 60,
+                        "hour": time // 3600,
                         **measures,
                     }
                 )

@@ -1,0 +1,264 @@
+"""Supplied grids, conflicting orders, the reconciliation of what is published, samples."""
+
+from __future__ import annotations
+
+import os
+import random
+import re
+
+import brute_force as B
+import pytest
+from builders import level_table, log_of, order
+from conftest import SF_DIR
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from test_brute_force import close, random_log, table
+from test_plans import plan
+
+import __spark_entry__ as entry
+from tidemark import Study, StudyConfig
+from tidemark import schema as S
+from tidemark.operators import concurrency, reports, selection
+from tidemark.operators.grid import grid_places
+from tidemark.operators.reconciliation import Ledger, ReconciliationError, Totals
+from tidemark.sources import order_log
+
+# --- grids --------------------------------------------------------------------------
+
+
+def grid_of(spark, seconds):
+    return spark.createDataFrame([(s,) for s in seconds], "second int")
+
+
+GRIDS = {
+    "uneven": [s for s in range(0, 86_400, 157) if not 45_000 < s < 47_000] + [43_200, 43_200, 86_399, None],
+    "one": [45_000],
+    "hours": [h * 3600 for h in range(24)],
+}
+
+
+@pytest.mark.parametrize("name", GRIDS)
+def test_supplied_grid_against_definitions(spark, name):
+    rows, times = random_log(11), [s for s in GRIDS[name] if s is not None]
+    stores = B.top_stores(rows, 0.0)
+    detail = B.detail(rows, stores, times=times)
+    with Study(log_of(spark, rows), StudyConfig(percentile=0.0), grid_of(spark, GRIDS[name])) as study:
+        study.share("orders")
+        found = study.grid.on_clock(concurrency.ongoing_concurrency(study.intervals, study.curve, study.grid))
+        assert sorted(
+            repr((r[S.ORDER], r[S.STORE], r[S.NAME], r["date"], r["second"], r[S.LEVEL])) for r in found.collect()
+        ) == sorted(
+            repr((d["order"], d["store"], d["name"], d["date"], d["minute"], d["ongoing"])) for d in detail
+        )
+        close(table(study.store_kpis, [S.STORE], S.KPI_MEANS), B.kpi_means(detail, ["store"]))
+        keys = [S.STORE, S.NAME, S.LEVEL]
+        close(table(study.by_level, keys, S.KPI_MEANS), B.kpi_means(detail, ["store", "name", "level"]))
+        hourly = B.group(detail, ["store", "name", "hour"])
+        close(
+            table(study.by_hour, [S.STORE, S.NAME, "hour"], ["avg_ongoing_orders", *S.KPI_MEANS]),
+            {
+                k: [B.mean([d["ongoing"] for d in ds]), *[B.mean([d[m] for d in ds]) for m in B.KPIS]]
+                for k, ds in hourly.items()
+            },
+        )
+        daily = B.group(detail, ["store", "name", "date", "hour"])
+        close(
+            table(study.by_date_hour, [*S.CELL, "hour"], ["avg_ongoing_orders"]),
+            {k: [B.mean([d["ongoing"] for d in ds])] for k, ds in daily.items()},
+        )
+
+
+def test_every_minute_supplied_is_the_regular_grid(spark):
+    log = log_of(spark, random_log(12))
+    minutes = order_log.with_second(order_log.minute_grid(spark).select("hourmin"))
+    with Study(log, StudyConfig(percentile=0.0)) as plain, Study(log, StudyConfig(percentile=0.0), minutes) as given:
+        for name in ("by_level", "by_hour", "store_suggestions"):
+            a, b = getattr(plain, name), getattr(given, name)
+            assert a.columns == b.columns
+            assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_a_grid_without_working_times(spark):
+    with Study(log_of(spark, random_log(13)), StudyConfig(percentile=0.0), grid_of(spark, [3600, None])) as study:
+        assert study.by_level.count() == study.by_hour.count() == study.report_level.count() == 0
+
+
+def test_places_of_a_grid(spark):
+    found = grid_places(grid_of(spark, [30_000, 25_200, 30_000, 75_600, 25_199, None]), StudyConfig()).first()
+    assert found.times == [25_200, 30_000]
+    assert len(found.ranks) == 86_401
+    assert [found.ranks[s] for s in (0, 25_200, 25_201, 30_000, 30_001, 86_400)] == [0, 0, 1, 1, 2, 2]
+
+
+def test_no_row_per_order_and_time_of_a_grid(spark):
+    with Study(entry._log(spark, SF_DIR), StudyConfig(percentile=0.5), entry._uneven_grid(spark)) as study:
+        study.share("orders")
+        for df in (study.intervals, concurrency.concurrency_curve(study.intervals), concurrency.order_levels(study.intervals)):
+            text = plan(df)
+            assert "Generate explode" not in text and "NestedLoop" not in text and "CartesianProduct" not in text
+        assert "Join" not in plan(study.intervals)  # places are looked up in constants
+
+
+def test_grid_files(spark, tmp_path):
+    (tmp_path / "grid.csv").write_text("hourmin\r\n7:00\r\n 12:30:15 \r\n\r\n23:59:59.0\r\n")
+    grid = order_log.read_grid_csv(spark, str(tmp_path / "grid.csv"))
+    assert [r.second for r in grid.collect()] == [25_200, 45_015, 86_399]
+    for wrong in ("10:00:00.5", "ten", "10", "10:61", "10:00:00 PM"):
+        (tmp_path / "wrong.csv").write_text(f"hourmin\n10:00\n{wrong}\n")
+        with pytest.raises(PySparkException, match=f"no time of whole seconds: {re.escape(wrong)}"):
+            order_log.read_grid_csv(spark, str(tmp_path / "wrong.csv")).collect()
+
+
+def test_command_line_takes_a_grid(spark, tmp_path):
+    from tidemark.__main__ import main
+
+    log = entry._log(spark, SF_DIR)
+    log.write.parquet(str(tmp_path / "log"))
+    (tmp_path / "grid.csv").write_text("hourmin\n" + "".join(f"{h}:{m:02d}:00\n" for h in range(24) for m in range(0, 60, 5)))
+    main(["--log", f"{tmp_path}/log", "--log-format", "parquet", "--out", f"{tmp_path}/out", "--grid", f"{tmp_path}/grid.csv"])
+    with Study(log, grid=order_log.read_grid_csv(spark, f"{tmp_path}/grid.csv")) as study:
+        want = sorted(map(repr, study.store_suggestions.collect()))
+    assert sorted(map(repr, spark.read.parquet(f"{tmp_path}/out/Impacts").collect())) == want != []
+
+
+# --- conflicting orders -------------------------------------------------------------
+
+
+def test_conflicting_orders(spark):
+    same = order(1, "06-01 10:00:00", "06-01 10:05:00")
+    rows = [same, same, same]
+    rows += [order(2, "06-01 10:00:00", "06-01 10:05:00", store=s) for s in (1, 2, 2)]
+    rows += [order(3, "06-01 10:00:00", "06-01 10:05:00", name=n) for n in ("A", None)]
+    rows += [order(4, "06-01 10:00:00", None, name=None, store=None)] * 2
+    rows += [order(5, "06-01 10:00:00", p, name=n) for p, n in ((None, "A"), ("06-01 10:05:00", "B"))]
+    rows += [order(6, "06-01 10:00:00", None, status=s, cpo=c) for s, c in (("Other", 1.0), ("CanceledStatus", 2.0))]
+    rows += [order(None, "06-01 10:00:00", None, store=s) for s in (1, 2)]
+    rows += [order(7, "06-01 10:00:00", None, cpo=c) for c in (1.0, 2.0)]  # costs are not held against each other
+    rows += [order(8, "06-01 10:00:00", "06-01 10:05:00")]
+    log = log_of(spark, rows)
+    found = selection.conflicting_orders(log)
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in found.collect()} == {(2, 3, "store"), (3, 2, "name"), (5, 2, "name,times"), (6, 2, "status")}
+    kept = selection.set_aside(log, found)
+    assert kept.columns == log.columns
+    ids = sorted((r[S.ORDER] for r in kept.collect()), key=str)
+    assert ids == sorted([1, 1, 1, 4, 4, None, None, 7, 7, 8], key=str)
+
+
+def test_a_study_may_leave_conflicting_orders_out(spark):
+    rows = random_log(14)
+    log = log_of(spark, rows)
+    bad = {r[S.ORDER] for r in selection.conflicting_orders(log).collect()}
+    assert bad
+    with Study(log, StudyConfig(percentile=0.0, quarantine=True)) as study:
+        assert {r[S.ORDER] for r in study.conflicts.collect()} == bad
+        clean = [r for r in rows if r[S.ORDER] not in bad]
+        detail = B.detail(clean, B.top_stores(clean, 0.0))
+        keys = [S.STORE, S.NAME, S.LEVEL]
+        close(table(study.by_level, keys, S.KPI_MEANS), B.kpi_means(detail, ["store", "name", "level"]))
+
+
+# --- reconciliation -----------------------------------------------------------------
+
+
+def damage(study, name):
+    """One row of a staged table is lost."""
+    spark, folder = study.log.sparkSession, f"{study.staging.root}/{name}"
+    rows = spark.read.parquet(folder)
+    schema, (lost, *kept) = rows.schema, sorted(rows.collect(), key=lambda r: -r["delivered"])
+    assert lost["delivered"] > 0
+    spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(folder)
+    study.__dict__[name] = spark.read.parquet(folder)
+
+
+@pytest.mark.parametrize("name, first", [("level_outcomes", []), ("by_level", ["InfoHour"]), ("store_kpis", None)])
+def test_a_damaged_table_stops_the_reports(spark, tmp_path, name, first):
+    with Study(entry._log(spark, SF_DIR), StudyConfig(percentile=0.5)) as study:
+        if name == "store_kpis":
+            name = "level_outcomes"
+            study.share("by_level")  # the level table is whole; the store table is made of what is damaged
+            first = []
+        study.share(name)
+        damage(study, name)
+        with pytest.raises(ReconciliationError, match=name):
+            study.write_reports(str(tmp_path / "out"))
+        there = sorted(os.listdir(tmp_path / "out")) if (tmp_path / "out").exists() else []
+        assert [n for n in there if n != "InfoOO"] == first
+
+
+def test_a_damaged_set_is_not_published(spark, tmp_path):
+    from tidemark.sinks.publishing import ReportFolder
+
+    log, place = entry._log(spark, SF_DIR), ReportFolder(spark, str(tmp_path / "out"))
+    with Study(log, StudyConfig(percentile=0.5)) as study:
+        study.publish_reports(place.folder)
+        now = place.current()
+    with Study(log, StudyConfig(percentile=0.5)) as study:
+        study.share("by_level")
+        damage(study, "by_level")
+        with pytest.raises(ReconciliationError):
+            study.publish_reports(place.folder)
+    assert place.current() == now and place.versions() == [now["version"]]
+
+
+def test_totals_are_seen_while_tables_are_written(spark, tmp_path):
+    with Study(entry._log(spark, SF_DIR), StudyConfig(percentile=0.5)) as study:
+        study.write_reports(str(tmp_path))
+        found = study.ledger.check()
+        assert set(found) == {"level_outcomes", "by_level", "store_kpis", "report_level", "report_level_range"}
+        sums = study.by_level.agg(F.count("*"), F.sum("delivered"), F.sum("cancels")).first()
+        assert found["by_level"] == Totals(*sums)
+        assert found["report_level"].cancels == sums[2] and found["report_level_range"].cancels is None
+        table = study.report_level
+        watched = Ledger().watch("report_level", table)
+        assert plan(watched).count("Scan parquet") == plan(table).count("Scan parquet")
+        assert "CollectMetrics" in plan(watched)
+
+
+def test_names_explain_more_outcomes_but_not_fewer():
+    def check(table):
+        ledger = Ledger()
+        seen = {"level_outcomes": Totals(4, 10.0, 2.0), "by_level": table}
+        ledger._seen, ledger.totals = seen, seen.get
+        return ledger.check()
+
+    check(Totals(4, 10.0, 2.0))
+    check(Totals(5, 13.0, 2.0))
+    for wrong in (Totals(4, 13.0, 2.0), Totals(5, 9.0, 2.0), Totals(5, 13.0, 1.0), Totals(3, 9.0, 2.0)):
+        with pytest.raises(ReconciliationError):
+            check(wrong)
+
+
+# --- reports and samples ------------------------------------------------------------
+
+
+def test_unfolded_reports_keep_empty_cells(spark):
+    wide = spark.createDataFrame(
+        [(1, "A", "delivered", 0.5, 3.0, 1.0, None), (2, None, "delivered", None, 2.0, None, 2.0)],
+        'store_address_id bigint, store_name string, concept string, r2 double, value double, `1` double, `12` double',
+    )
+    found = reports.unfolded(wide)
+    assert found.columns == [*wide.columns[:5], S.LEVEL, "cell"]
+    assert [tuple(r)[5:] for r in found.collect()] == [(1, 1.0), (12, None), (1, None), (12, 2.0)]
+    none = reports.unfolded(wide.select(*wide.columns[:5]))
+    assert none.columns == found.columns and none.dtypes == found.dtypes and none.count() == 0
+
+
+def test_scatter_sample(spark):
+    rng = random.Random(1)
+    levels = level_table(spark, [(n, l, 1, 1.0, rng.random()) for n in ("A", "B", None) for l in range(1, 60)])
+    found = reports.scatter_sample(levels.repartition(7), 20)
+    again = reports.scatter_sample(levels.orderBy(F.desc(S.LEVEL)), 20)
+    assert found.collect() == again.collect() and found.count() == 20
+    assert "TakeOrderedAndProject" in plan(found)
+    fewer = levels.where("ongoing_orders % 2 = 0")  # rows that stay are still drawn
+    kept = {tuple(r) for r in found.where("ongoing_orders % 2 = 0").collect()}
+    assert kept <= {tuple(r) for r in reports.scatter_sample(fewer, 20).collect()}
+    assert reports.scatter_sample(levels, 1000).count() == 177
+    keys = [r.sample_key for r in reports.scatter_sample(levels, 1000).select("sample_key").distinct().collect()]
+    assert len(keys) == 59 and 0 <= min(keys) < 2**28 and 2**31 < max(keys) < 2**32
+    for wrong in (0, -1):
+        with pytest.raises(ValueError):
+            reports.scatter_sample(levels, wrong)
+    with pytest.raises(ValueError):
+        StudyConfig(scatter_rows=0)

@@ -35,7 +35,8 @@ def study(request, spark):
 
 
 def same(ours, connection, sql):
-    ours, theirs = ours.toArrow(), connection.sql(sql).to_arrow_table()
+    connection.sql(sql).create_view("expected", replace=True)  # every statement can be one
+    ours, theirs = ours.toArrow(), connection.sql("SELECT * FROM expected").to_arrow_table()
     left = {f.name: _plain(f.type) for f in ours.schema}
     assert left == {f.name: _plain(f.type) for f in theirs.schema}
     assert rows_of(ours, sorted(left)) == rows_of(theirs, sorted(left))

@@ -37,6 +37,10 @@ class StudyConfig:
     compat_labels: bool = False
     # keep cancelled orders in the level-range report
     include_cancels: bool = False
+    # leave out orders whose log rows disagree
+    quarantine: bool = False
+    # rows of the sample behind the scatter chart
+    scatter_rows: int = 5000
 
     def __post_init__(self) -> None:
         if not 0.0 <= self.percentile <= 1.0:
@@ -45,8 +49,8 @@ class StudyConfig:
             raise ValueError("working hours must satisfy 0 <= open < close <= 24")
         if self.range_width < 1 or self.range_cap % self.range_width:
             raise ValueError("range_cap must be a multiple of range_width")
-        if self.top_n < 1:
-            raise ValueError("top_n must be positive")
+        if self.top_n < 1 or self.scatter_rows < 1:
+            raise ValueError("top_n and scatter_rows must be positive")
 
     @property
     def open_minute(self) -> int:

@@ -19,20 +19,21 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 from tidemark.config import StudyConfig
 from tidemark.functions.joins import null_safe_join
+from tidemark.operators.grid import Grid, MinuteGrid
 
 CELL_MINUTE = [*S.CELL, "minute"]
 CELL_HOUR = [*S.CELL, "hour"]
 
 
-def ongoing_intervals(orders: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Orders with at least one ongoing minute: [first_minute, end_minute)."""
+def ongoing_intervals(orders: DataFrame, cfg: StudyConfig, grid: Grid | None = None) -> DataFrame:
+    """Orders with at least one ongoing minute: [first_minute, end_minute).
+
+    On a supplied grid, here and below, a minute is one of its times, by its place.
+    """
     known = orders.where("dispatch_tod IS NOT NULL AND pickup_tod IS NOT NULL")
+    first, end = (grid or MinuteGrid(cfg)).span("dispatch_tod", "pickup_tod")
     return (
-        known.selectExpr(
-            "*",
-            f"greatest({cfg.open_minute}, CAST(ceil(dispatch_tod / 60) AS INT)) AS first_minute",
-            f"least({cfg.close_minute}, CAST(ceil(pickup_tod / 60) AS INT)) AS end_minute",
-        )
+        known.select("*", first.alias("first_minute"), end.alias("end_minute"))
         .where("first_minute < end_minute")
         .withColumn("minutes", F.expr("end_minute - first_minute"))
     )
@@ -81,23 +82,24 @@ def ongoing_per_minute(orders: DataFrame) -> DataFrame:
     return curve.where("order_minutes > 0").selectExpr("explode(sequence(minute, until - 1)) AS minute", "order_minutes")
 
 
-def hour_segments(spans: DataFrame) -> DataFrame:
-    """[first_minute, end_minute) spans cut at full hours, with ``hour`` and ``minutes`` of each piece."""
+def hour_segments(spans: DataFrame, grid: Grid | None = None) -> DataFrame:
+    """[first_minute, end_minute) spans cut at full hours, with ``hour`` and ``minutes`` of each piece.
+
+    An hour in which the grid has no time gives no piece.
+    """
+    grid = grid or MinuteGrid(StudyConfig())
     kept = [c for c in spans.columns if c not in ("hour", "minutes", "first_minute", "end_minute")]
+    hours = F.sequence(grid.hour_of("first_minute"), grid.hour_of("end_minute - 1"))
     return (
-        spans.selectExpr(
-            *kept,
-            "first_minute",
-            "end_minute",
-            "explode(sequence(CAST(first_minute DIV 60 AS INT), CAST((end_minute - 1) DIV 60 AS INT))) AS hour",
-        )
-        .selectExpr(
+        spans.select(*kept, "first_minute", "end_minute", F.explode(hours).alias("hour"))
+        .select(
             *kept,
             "hour",
-            "greatest(first_minute, hour * 60) AS first_minute",
-            "least(end_minute, (hour + 1) * 60) AS end_minute",
+            F.greatest("first_minute", grid.hour_begin("hour")).alias("first_minute"),
+            F.least("end_minute", grid.hour_begin("hour + 1")).alias("end_minute"),
         )
         .withColumn("minutes", F.expr("end_minute - first_minute"))
+        .where("minutes > 0")
     )
 
 
@@ -160,10 +162,12 @@ def with_level(intervals: DataFrame, curve: DataFrame | None = None) -> DataFram
     return null_safe_join(intervals.select(*kept), levels, [S.ORDER])
 
 
-def ongoing_concurrency(intervals: DataFrame, curve: DataFrame | None = None) -> DataFrame:
+def ongoing_concurrency(
+    intervals: DataFrame, curve: DataFrame | None = None, grid: Grid | None = None
+) -> DataFrame:
     """One row per order and ongoing minute with the cell's concurrency.
 
-    The curve is packed to one row per cell and hour (at most 60 entries) and
+    The curve is packed to one row per cell and hour (the grid's times of an hour) and
     joined to hour pieces of the orders; minutes are unfolded after the join,
     so what is shuffled stays at order size.
     """
@@ -172,10 +176,11 @@ def ongoing_concurrency(intervals: DataFrame, curve: DataFrame | None = None) ->
         .where("ongoing > 0")
         .selectExpr(*S.CELL, "ongoing", "explode(sequence(minute, until - 1)) AS minute")
     )
-    packed = per_minute.groupBy(*S.CELL, F.expr("CAST(minute DIV 60 AS INT) AS hour")).agg(
+    grid = grid or MinuteGrid(StudyConfig())
+    packed = per_minute.groupBy(*S.CELL, grid.hour_of("minute").alias("hour")).agg(
         F.expr("collect_list(struct(minute, ongoing)) AS curve")
     )
-    pieces = hour_segments(intervals).select(S.ORDER, *CELL_HOUR, "first_minute", "end_minute")
+    pieces = hour_segments(intervals, grid).select(S.ORDER, *CELL_HOUR, "first_minute", "end_minute")
     return null_safe_join(pieces, packed, CELL_HOUR).selectExpr(
         S.ORDER,
         *S.CELL,
@@ -183,13 +188,14 @@ def ongoing_concurrency(intervals: DataFrame, curve: DataFrame | None = None) ->
     )
 
 
-def hourly_concurrency(curve: DataFrame, keys: list[str]) -> DataFrame:
+def hourly_concurrency(curve: DataFrame, keys: list[str], grid: Grid | None = None) -> DataFrame:
     """Mean concurrency per ``keys`` as an ongoing order sees it.
 
     A minute with n ongoing orders counts n times, so the mean is the sum of
     squares over the sum of the curve; minutes without orders do not count.
     """
     busy = curve.where("ongoing > 0")
-    pieces = hour_segments(busy.selectExpr(*S.CELL, "ongoing", "minute AS first_minute", "until AS end_minute"))
+    spans = busy.selectExpr(*S.CELL, "ongoing", "minute AS first_minute", "until AS end_minute")
+    pieces = hour_segments(spans, grid)
     mean = "sum(CAST(ongoing AS DOUBLE) * ongoing * minutes) / sum(ongoing * minutes)"
     return pieces.groupBy(*keys).agg(F.expr(f"{mean} AS avg_ongoing_orders"))

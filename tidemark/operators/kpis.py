@@ -14,6 +14,7 @@ from tidemark import schema as S
 from tidemark.functions.aggregates import means_of_sums, minute_weighted_means, minute_weighted_sums
 from tidemark.functions.joins import null_safe_join, to_long
 from tidemark.operators.concurrency import concurrency_curve, hour_segments, hourly_concurrency
+from tidemark.operators.grid import Grid
 
 
 def outcome_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,24 +98,33 @@ def outcomes_by_hour(orders: DataFrame) -> DataFrame:
 
 
 def _by_hour(
-    intervals: DataFrame, curve: DataFrame | None, keys: list[str], outcomes: DataFrame, outcome_keys: list[str]
+    intervals: DataFrame,
+    curve: DataFrame | None,
+    keys: list[str],
+    outcomes: DataFrame,
+    outcome_keys: list[str],
+    grid: Grid | None,
 ) -> DataFrame:
-    segments = hour_segments(intervals.drop("hour"))
-    hourly = hourly_concurrency(curve or concurrency_curve(intervals), keys)
+    segments = hour_segments(intervals.drop("hour"), grid)
+    hourly = hourly_concurrency(curve or concurrency_curve(intervals), keys, grid)
     hourly = null_safe_join(kpi_means(segments, keys), hourly, keys)
     joined = null_safe_join(hourly, outcomes, outcome_keys, "left")
     return joined.select(*keys, *S.OUTCOMES, "avg_ongoing_orders", *S.KPI_MEANS)
 
 
-def kpis_by_date_hour(orders: DataFrame, intervals: DataFrame, curve: DataFrame | None = None) -> DataFrame:
+def kpis_by_date_hour(
+    orders: DataFrame, intervals: DataFrame, curve: DataFrame | None = None, grid: Grid | None = None
+) -> DataFrame:
     """Per store, name, date and clock hour; outcomes go by activation hour."""
     outcomes = outcomes_by_date_hour(orders)
-    return _by_hour(intervals, curve, [*S.CELL, "hour"], outcomes, [S.STORE, "date", "hour"])
+    return _by_hour(intervals, curve, [*S.CELL, "hour"], outcomes, [S.STORE, "date", "hour"], grid)
 
 
-def kpis_by_hour(orders: DataFrame, intervals: DataFrame, curve: DataFrame | None = None) -> DataFrame:
+def kpis_by_hour(
+    orders: DataFrame, intervals: DataFrame, curve: DataFrame | None = None, grid: Grid | None = None
+) -> DataFrame:
     """Per store, name and clock hour over all dates."""
-    return _by_hour(intervals, curve, [S.STORE, S.NAME, "hour"], outcomes_by_hour(orders), [S.STORE, "hour"])
+    return _by_hour(intervals, curve, [S.STORE, S.NAME, "hour"], outcomes_by_hour(orders), [S.STORE, "hour"], grid)
 
 
 # --- by level --------------------------------------------------------------

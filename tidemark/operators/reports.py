@@ -63,6 +63,20 @@ def report_level(
     return _widen(report_level_long(by_level, kpis_long, r2_long), S.LEVEL, levels)
 
 
+def unfolded(report: DataFrame, header: str = S.LEVEL) -> DataFrame:
+    """A wide level report with a row per cell, those of levels that a store never reached included.
+
+    The header is whatever columns stand behind the row-identifying ones; ``header``
+    gets their names as numbers. A report without level columns has no cells.
+    """
+    lead = [c for c in (*GROUP, "concept", "r2", "value") if c in report.columns]
+    cells = [c for c in report.columns if c not in lead]
+    if not cells:
+        return report.selectExpr(*lead, f"CAST(NULL AS INT) AS {header}", "CAST(NULL AS DOUBLE) AS cell").limit(0)
+    long = report.unpivot(lead, cells, header, "cell")
+    return long.withColumn(header, F.col(header).cast("int"))
+
+
 def kpis_by_level_range(by_level: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Levels rolled up to ranges; each level has one vote in the means.
 
@@ -121,3 +135,31 @@ def series_costs(by_level: DataFrame, top: DataFrame) -> DataFrame:
 def scatter_input(by_level: DataFrame) -> DataFrame:
     """Scatter-matrix input: the level and the four partner-side times."""
     return by_level.select(S.LEVEL, *S.TIME_MEANS[:4])
+
+
+#: Odd factors below 2**32 and the modulus of the hash that orders a sample.
+HASH_FACTORS, HASH_MODULUS = (2_654_435_761, 2_246_822_519, 3_266_489_917), 1 << 32
+
+
+def sample_key(store: str, level: str) -> str:
+    """SQL for a hash of store and level below 2**32, which any engine with 64-bit numbers computes alike."""
+    by_store, by_level, mixed = HASH_FACTORS
+    low = 1 << 31  # each product stays within 64 bits
+    folded = f"pmod(coalesce({store}, -1), {low}L) * {by_store}L % {HASH_MODULUS}L"
+    joined = f"({folded} + pmod(coalesce({level}, -1), {low}L) * {by_level}L % {HASH_MODULUS}L)"
+    return f"({joined} % {low}L) * {mixed}L % {HASH_MODULUS}L"
+
+
+def scatter_sample(by_level: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` rows of :func:`scatter_input`, the same ones in every run, with the keys they were drawn by.
+
+    The rows with the smallest hashes of store and level, so that a row is kept or
+    not whatever else is in the table; ties go by store, name and level. Each task
+    keeps its own ``n`` smallest, and only these meet.
+    """
+    if n < 1:
+        raise ValueError("a sample has at least one row")
+    drawn = by_level.select(
+        F.expr(sample_key(S.STORE, S.LEVEL)).alias("sample_key"), *GROUP, S.LEVEL, *S.TIME_MEANS[:4]
+    )
+    return drawn.orderBy("sample_key", *GROUP, S.LEVEL).limit(n)

@@ -74,3 +74,34 @@ def store_totals(counts: DataFrame) -> DataFrame:
 def outcome_totals_by_store(summary: DataFrame) -> DataFrame:
     """Reconciliation check: outcomes of a summary table added up per store."""
     return summary.groupBy(S.STORE).agg(F.sum("delivered").alias("delivered"), F.sum("cancels").alias("cancels"))
+
+
+# what rows of one order have to agree on, and how a difference is told
+ORDER_FACTS = {"store": [S.STORE], "name": [S.NAME], "status": ["final_status"], "times": S.LIFECYCLE}
+
+
+def conflicting_orders(log: DataFrame) -> DataFrame:
+    """Order ids whose rows disagree: ``order_id, log_rows, reason``.
+
+    Levels and distinct counts take rows of one id as one order, wherever they
+    are; this lists the ids for which that is doubtful, and whether their rows
+    differ in store, name, status or times. A value beside a missing one is a
+    difference; rows that are alike are not. Rows without an id are no order. One
+    aggregate of smallest and largest values, combined before the shuffle.
+    """
+    measures = [F.count(F.lit(1)).alias("log_rows")]
+    differs = {}
+    for reason, columns in ORDER_FACTS.items():
+        for c in columns:
+            measures += [F.min(c).alias(f"least_{c}"), F.max(c).alias(f"most_{c}"), F.count(c).alias(f"known_{c}")]
+        differs[reason] = " OR ".join(
+            f"(least_{c} <> most_{c} OR known_{c} BETWEEN 1 AND log_rows - 1)" for c in columns
+        )
+    told = ", ".join(f"CASE WHEN {differs[reason]} THEN '{reason}' END" for reason in ORDER_FACTS)
+    found = log.where(F.col(S.ORDER).isNotNull()).groupBy(S.ORDER).agg(*measures)
+    return found.selectExpr(S.ORDER, "log_rows", f"concat_ws(',', {told}) AS reason").where("reason <> ''")
+
+
+def set_aside(log: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """The log without the rows of conflicting orders; rows without an id stay."""
+    return log.join(conflicts.select(S.ORDER), S.ORDER, "left_anti").select(*log.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame
 from tidemark import schema as S
 from tidemark.config import StudyConfig
 from tidemark.operators import concurrency, kpis, lifecycle, reports, selection, statistics, thresholds
+from tidemark.operators.grid import Grid, MinuteGrid, SuppliedGrid, grid_places
+from tidemark.operators.reconciliation import Ledger
+from tidemark.sinks.publishing import ReportFolder, ReportViews
 from tidemark.sinks.tables import REPORT_NAMES, write_report
 from tidemark.staging import Staging
 
 
+#: Reports that hold the outcomes of the level table, and no others.
+LEVEL_REPORTS = ("report_level", "report_level_range")
+
+
 class Study:
     """Tables of a saturation study, each planned when first asked for.
 
@@ -21,23 +28,40 @@ class Study:
     once for the narrow rows of the selected stores. A table that feeds more
     than one step is staged first (:meth:`share`), so the work behind it is
     done once and later steps start from an input of known size.
+
+    ``grid`` are the times of day at which orders are counted, a ``second`` of the
+    day per row; every minute if not given.
     """
 
-    def __init__(self, log: DataFrame, cfg: StudyConfig | None = None):
-        self.log = log
+    def __init__(self, log: DataFrame, cfg: StudyConfig | None = None, grid: DataFrame | None = None):
         self.cfg = cfg or StudyConfig()
         self.staging = Staging(log.sparkSession)
         self._shared: set[str] = set()
+        self.ledger = Ledger()
+        self.whole_log = log
+        self._grid_times = grid
 
     def share(self, *tables: str) -> None:
         """Stage the named tables before several others are built on them."""
         for name in tables:
             if name not in self._shared:
-                self.__dict__[name] = self.staging.table(getattr(self, name), name)
+                table = getattr(self, name)
+                counted = name in ("level_outcomes", "by_level", "store_kpis")
+                self.__dict__[name] = self.staging.table(self.ledger.watch(name, table) if counted else table, name)
                 self._shared.add(name)
 
     # selection
 
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        """Orders whose log rows disagree; staged, as they are few and a join with few needs no shuffle."""
+        return self.staging.table(selection.conflicting_orders(self.whole_log), "conflicts")
+
+    @cached_property
+    def log(self) -> DataFrame:
+        """The log that is studied: all of it, or with ``quarantine`` what is left without conflicting orders."""
+        return selection.set_aside(self.whole_log, self.conflicts) if self.cfg.quarantine else self.whole_log
+
     @cached_property
     def top_stores(self) -> DataFrame:
         """Selected stores; staged so that their size is known to the semi join."""
@@ -62,9 +86,15 @@ class Study:
     def orders(self) -> DataFrame:
         return lifecycle.order_facts(self.selected_log, self.cfg)
 
+    @cached_property
+    def grid(self) -> Grid:
+        if self._grid_times is None:
+            return MinuteGrid(self.cfg)
+        return SuppliedGrid(self.staging.table(grid_places(self._grid_times, self.cfg), "grid"))
+
     @property
     def intervals(self) -> DataFrame:
-        return concurrency.ongoing_intervals(self.orders, self.cfg)
+        return concurrency.ongoing_intervals(self.orders, self.cfg, self.grid)
 
     @cached_property
     def curve(self) -> DataFrame:
@@ -100,12 +130,12 @@ class Study:
     @cached_property
     def by_hour(self) -> DataFrame:
         self.share("orders")
-        return kpis.kpis_by_hour(self.orders, self.intervals, self.curve)
+        return kpis.kpis_by_hour(self.orders, self.intervals, self.curve, self.grid)
 
     @cached_property
     def by_date_hour(self) -> DataFrame:
         self.share("orders")
-        return kpis.kpis_by_date_hour(self.orders, self.intervals, self.curve)
+        return kpis.kpis_by_date_hour(self.orders, self.intervals, self.curve, self.grid)
 
     @cached_property
     def by_date_level(self) -> DataFrame:
@@ -150,6 +180,10 @@ class Study:
         self.share("by_level")
         return reports.report_level_range(self.by_level, self.store_kpis_long, self.r2_long, self.cfg)
 
+    @cached_property
+    def scatter_sample(self) -> DataFrame:
+        return reports.scatter_sample(self.by_level, self.cfg.scatter_rows)
+
     @cached_property
     def store_suggestions(self) -> DataFrame:
         totals = kpis.store_wtp_totals(self.store_kpis)
@@ -167,23 +201,50 @@ class Study:
         ``tables`` is what the tables' names begin with: ``"sales."`` for a schema,
         ``"sales.june_"`` for a schema and a prefix.
         """
-        if (folder is None) == (tables is None):
-            raise ValueError("give either a folder or a beginning of table names")
-        self.share("curve", "level_sums", "level_outcomes", "by_level", "store_kpis")
+        self._one_place(folder, tables)
         written = []
-        for attribute, name in REPORT_NAMES.items():
-            if name not in only:
-                continue
-            report = getattr(self, attribute)
-            order = [c for c in (S.STORE, S.NAME, "concept") if c in report.columns]
+        for name, report in self._reports(only):
             if tables is not None:
                 written.append(f"{tables}{name}")
-                write_report(report.orderBy(*order), table=written[-1], fmt=fmt)
+                write_report(report, table=written[-1], fmt=fmt)
             else:
                 written.append(f"{folder.rstrip('/')}/{name}")
-                write_report(report.orderBy(*order), path=written[-1], fmt=fmt)
+                write_report(report, path=written[-1], fmt=fmt)
         return written
 
+    def publish_reports(
+        self, folder: str | None = None, fmt: str = "parquet", tables: str | None = None, keep: int = 1
+    ) -> list[str]:
+        """Publish the four reports as one set, which replaces the last one when all of it is written.
+
+        Readers use :class:`ReportFolder`, or the views named by ``tables`` and the
+        report. ``keep`` earlier sets stay for those who still read them.
+        """
+        self._one_place(folder, tables)
+        spark = self.whole_log.sparkSession
+        place = ReportFolder(spark, folder) if tables is None else ReportViews(spark, tables)
+        return place.publish(self._reports(), fmt, keep)
+
+    @staticmethod
+    def _one_place(folder: str | None, tables: str | None) -> None:
+        if (folder is None) == (tables is None):
+            raise ValueError("give either a folder or a beginning of table names")
+
+    def _reports(self, only: Collection[str] = tuple(REPORT_NAMES.values())) -> Iterator[tuple[str, DataFrame]]:
+        """Names of the published reports and their rows in order; what they share is staged first.
+
+        Outcome totals are compared before the first report and behind each: a
+        difference that the definitions don't explain ends the writing.
+        """
+        self.share("curve", "level_sums", "level_outcomes", "by_level", "store_kpis")
+        self.ledger.check()
+        for attribute, name in REPORT_NAMES.items():
+            if name in only:
+                report = getattr(self, attribute)
+                report = report.orderBy(*[c for c in (S.STORE, S.NAME, "concept") if c in report.columns])
+                yield name, self.ledger.watch(attribute, report) if attribute in LEVEL_REPORTS else report
+                self.ledger.check()
+
     def __enter__(self) -> Study:
         return self
 

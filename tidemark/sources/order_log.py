@@ -63,6 +63,21 @@ def read_minute_grid_csv(spark: SparkSession, path: str) -> DataFrame:
     return with_minute(grid.select(F.trim("hourmin").alias("hourmin")))
 
 
+def read_grid_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Grid file with any times of day, as ``H:MM`` or ``H:MM:SS`` in its first column; blank rows do not count."""
+    grid = spark.read.schema(T.StructType([T.StructField("hourmin", T.StringType())])).option("header", True).csv(path)
+    return with_second(grid.select(F.trim("hourmin").alias("hourmin")).where("hourmin <> ''"))
+
+
+def with_second(grid: DataFrame) -> DataFrame:
+    """Adds the second of the day; a row that is no time of whole seconds fails instead of being dropped."""
+    parts = F.split("hourmin", ":")
+    second = parts[0].cast("int") * 3600 + parts[1].cast("int") * 60 + F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(0))
+    told = F.col("hourmin").rlike(r"^\d{1,2}:[0-5]?\d(:[0-5]?\d([.]0*)?)?$")
+    refused = F.raise_error(F.concat(F.lit("the grid has a row that is no time of whole seconds: "), F.col("hourmin")))
+    return grid.withColumn("second", F.when(told, second.cast("int")).otherwise(refused.cast("int")))
+
+
 def minute_grid(spark: SparkSession) -> DataFrame:
     """The regular grid, one row per minute of the day."""
     minute = F.col("id").cast("int")
