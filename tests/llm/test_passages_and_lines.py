@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from helpers import documents, edited, groups, messy_rows, sentence
 
-from tidemark.llm import buckets, lines, substring
+from tidemark.llm import line_blocks, lines, substring
 from tidemark.llm.shared import Stage, signed
 
 
@@ -199,7 +200,7 @@ def test_case_digits_and_punctuation_do_not_matter(spark):
 @pytest.mark.parametrize("group_rows", [4096, 8])
 def test_similar_lines_meet_without_a_distance(spark, monkeypatch, group_rows):
     """Recall against edit similarity alone: every pair of lines is compared, none by its fingerprint."""
-    monkeypatch.setattr(buckets, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(line_blocks, "GROUP_ROWS", group_rows)
     rng = random.Random(11)
     vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(400)]
     texts = []
@@ -227,17 +228,180 @@ def test_lines_that_differ_in_numbers_must_be_similar(spark):
     assert found == {i: int(i == 8) for i in range(1, 9)}
 
 
-def test_no_task_gets_more_of_a_group_than_a_tile(spark, monkeypatch):
-    """All lines have the same key and fingerprint; still every pair meets, in tiles of bounded size."""
-    monkeypatch.setattr(buckets, "GROUP_ROWS", 32)
-    n = 300
-    numbers = spark.range(n).selectExpr("id AS node", "10 AS size", "0L AS fp", "unhex('0100000000000000') AS bands")
-    near = buckets.near_rows(numbers, 0.8, Stage(spark)).collect()
-    tiles = {}
-    for r in near:
-        tiles.setdefault((r.a, r.b), []).append((r.part, r.node))
-    assert max(map(len, tiles.values())) <= 64 < n
-    met = Counter(
-        frozenset((x, y)) for (a, b), own in tiles.items() for (p, x), (q, y) in itertools.combinations(own, 2) if a == b or p != q
-    )
-    assert len(met) == n * (n - 1) // 2 and set(met.values()) == {1}
+def packed(node, fp, low, step=None, part=None):
+    n = len(node)
+    full = {"node": node, "fp": fp, "low": low, "step": step if step is not None else np.full(n, 80)}
+    full["part"] = np.zeros(n) if part is None else part
+    rows = {name: np.asarray(full[name]).astype(kind) for name, kind in line_blocks._FIELDS}
+    return (n, b"".join(rows[name].tobytes() for name, _ in line_blocks._FIELDS))
+
+
+def slow_near(rows, tile=False, steps=7):
+    """Indices of near pairs: loose bits that agree but for one, and what else a pair must have."""
+    out = set()
+    for i, j in itertools.combinations(range(len(rows["node"])), 2):
+        near = int(rows["low"][i] ^ rows["low"][j]).bit_count() <= line_blocks.DIFFERING
+        near &= int(rows["fp"][i] ^ rows["fp"][j]).bit_count() <= line_blocks.FAR
+        near &= abs(int(rows["step"][i]) - int(rows["step"][j])) <= steps
+        if near and (not tile or rows["part"][i] != rows["part"][j]):
+            out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize("light, at_once", [(64, 1 << 20), (3, 5), (0, 1)])
+@pytest.mark.parametrize("tile", [False, True])
+def test_near_pairs_of_a_group(monkeypatch, light, at_once, tile):
+    monkeypatch.setattr(line_blocks, "LIGHT", light)
+    monkeypatch.setattr(line_blocks, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(light + tile)
+    for n, lows, spread in [(2, 1, 2), (40, 3, 6), (60, 8, 9), (150, 4, 12), (80, 1 << 14, 2)]:
+        centres = rng.integers(0, 2**63, 4, np.uint64)
+        flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, spread), np.uint64), axis=1)
+        blob = packed(rng.permutation(n), centres[rng.integers(0, 4, n)] ^ flips, rng.integers(0, lows, n),
+                      rng.integers(70, 90, n), rng.integers(0, 2, n))
+        rows = line_blocks._unpacked([blob])
+        expected = slow_near(rows, tile)
+        x, y = line_blocks._Pairs(rows, tile, 0.8, np.arange(n), True).run()
+        forest = {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())}
+        assert forest <= expected
+        want = groups(expected, range(n))
+        assert groups(forest, range(n)) == want and len(forest) == n - len(set(want.values()))
+        roots = rng.integers(0, 3, n)
+        up = np.array([np.flatnonzero(roots == r)[0] for r in roots])
+        x, y = line_blocks._Pairs(rows, tile, 0.8, up, False).run()
+        found = {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())}
+        assert found == {(i, j) for i, j in expected if roots[i] != roots[j]}
+
+
+def test_a_crowded_group_is_dealt_over_tiles():
+    """Every two lines of a group meet in a tile as long as they are of different parts, or in their part's own."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    node = rng.permutation(300).astype(np.int64)
+    prints = np.zeros((300, line_blocks.FP_WORDS), "<u8")
+    lines_in = pa.RecordBatch.from_pydict({"node": node, "fp": [p.tobytes() for p in prints], "size": [10] * 300})
+    dealt = list(line_blocks._into_groups({0: 4})(iter([lines_in, lines_in.slice(0, 50)])))
+    sizes = [r for b in line_blocks._group_sizes(iter([lines_in])) for r in b.to_pylist()]
+    assert sizes == [{"g": k << line_blocks.WHOLE, "rows": 300} for k in range(line_blocks.BLOCKS)]
+    met, tiles = Counter(), 0
+    for r in (r for b in dealt for r in b.to_pylist()):
+        if r["g"] == 0:
+            tiles += 1
+            assert r["rows"] < 300
+            rows = line_blocks._unpacked([(r["rows"], r["data"])])
+            own = list(zip(rows["node"].tolist(), rows["part"].tolist()))
+            for (x, p), (y, q) in itertools.combinations(own, 2):
+                if r["a"] == r["b"] or p != q:
+                    met[frozenset((x, y))] += 1
+    assert tiles == 10 and len(met) == 300 * 299 // 2 and set(met.values()) == {1}
+
+
+def slow_prints(line):
+    """Bits of a wide fingerprint, word by word."""
+    hashes, lengths, _ = line_blocks.word_hashes([line])
+    weights = [int(n**0.5) for n in lengths.tolist()]
+    out = []
+    for k in range(line_blocks.FP_WORDS):
+        mixed = line_blocks._mixed(hashes, k).tolist()
+        for bit in range(64):
+            out.append(2 * sum(w for h, w in zip(mixed, weights) if h >> bit & 1) > sum(weights))
+    return out
+
+
+def test_wide_fingerprints():
+    rng = random.Random(9)
+    parts = ["a", "bb", "ccc", "été", "x" * 300, "word", "日本"]
+    texts = [" ".join(rng.choice(parts) for _ in range(n)).encode() for n in (1, 2, 3, 9, 60, 300, 6000)]
+    prints = line_blocks.fingerprints(texts)
+    values = line_blocks.block_values(prints)
+    for n, text in enumerate(texts):
+        bits = slow_prints(text)
+        assert np.unpackbits(prints[n : n + 1].view(np.uint8), bitorder="little").astype(bool).tolist() == bits
+        for k in range(line_blocks.BLOCKS):
+            width = line_blocks.WHOLE + line_blocks.LOOSE
+            assert int(values[k][n]) == sum(b << i for i, b in enumerate(bits[k * width : (k + 1) * width]))
+    hashes = {}
+    h, lengths, sizes = line_blocks.word_hashes(texts)
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    for word, value in zip(b" ".join(texts).split(), h.tolist()):
+        assert hashes.setdefault(word, value) == value
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def slow_registered(rows, similarity=0.8):
+    """The registered configuration by its definition: all pairs of lines, their blocks and their texts."""
+    occurrences = []
+    for key in {(i is None, -1 if i is None else i, t or "") for i, t in rows}:
+        for n, words in enumerate(lines.normal_lines(key[2], True)):
+            if words:
+                occurrences.append((key, n, b" ".join(words)))
+    distinct = sorted({o[2] for o in occurrences})
+    prints = line_blocks.fingerprints(distinct)
+    values, last = line_blocks.block_values(prints).T.tolist(), prints[:, -1].tolist()
+    steps = line_blocks.size_steps(np.array([len(t.decode()) for t in distinct])).tolist()
+    whole = (1 << line_blocks.WHOLE) - 1
+    pairs = []
+    for i, j in itertools.combinations(range(len(distinct)), 2):
+        meet = any((v ^ w) & whole == 0 and (v ^ w).bit_count() <= line_blocks.DIFFERING for v, w in zip(values[i], values[j]))
+        if meet and (last[i] ^ last[j]).bit_count() <= line_blocks.FAR and abs(steps[i] - steps[j]) <= 7:
+            x, y = distinct[i].decode(), distinct[j].decode()
+            if 1 - slow_distance(x, y) / max(len(x), len(y)) >= similarity - 1e-9:
+                pairs.append((distinct[i], distinct[j]))
+    return occurrences, groups(pairs, distinct), len(pairs)
+
+
+@pytest.mark.parametrize("group_rows", [1 << 20, 4])
+def test_registered_configuration_equals_brute_force(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(line_blocks, "GROUP_ROWS", group_rows)
+    rng = random.Random(21)
+    rows = messy_rows()
+    base = [sentence(rng, n) for n in (6, 15, 40)]
+    rows += [(1000 + k, edited(rng, base[k % 3], 1 + k % 4)) for k in range(45)]
+    found = lines.remove_similar_lines(documents(spark, rows), distance=None, digits=True).collect()
+    occurrences, root, n_pairs = slow_registered(rows)
+    assert n_pairs > 50
+
+    def order(o):
+        (missing, i, text), n, _ = o
+        return (missing, i, signed(xxhash.xxh64_intdigest(text.encode(), 42)), n)
+
+    first = {}
+    for o in sorted(occurrences, key=order):
+        first.setdefault(root[o[2]], o)
+    gone = {}
+    for o in occurrences:
+        if first[root[o[2]]] is not o:
+            gone.setdefault(o[0], set()).add(o[1])
+    expected = Counter()
+    for i, t in rows:
+        drop = gone.get((i is None, -1 if i is None else i, t or ""), set())
+        own = t.split("\n") if t else []
+        kept = "\n".join(x for n, x in enumerate(own) if n not in drop) if drop else t
+        expected[(i, kept, len(own), len(drop))] += 1
+    assert Counter((r.row.doc_id, r.kept, r.n_lines, r.n_removed) for r in found) == expected
+
+
+def test_least_edits_bounds_edit_distance():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcé ") for _ in range(rng.randrange(12))) for _ in range(2))
+        assert lines.least_edits(a, b) <= slow_distance(a, b)
+
+
+def test_staged_tables_of_lines_go_when_they_are_not_needed(spark):
+    stage = Stage(spark)
+    found = lines.remove_similar_lines(documents(spark, messy_rows()), distance=None, digits=True, stage=stage)
+    folder = stage.root.removeprefix("file://")
+    assert len(os.listdir(folder)) == 1  # the lines that go
+    assert found.count() == len(messy_rows())
+    stage.drop()
+
+
+def test_a_very_long_line(spark):
+    rng = random.Random(2)
+    long = sentence(rng, 90_000)
+    near = edited(rng, long, 30)
+    rows = [(1, long), (2, near), (3, sentence(rng, 90_000)), (4, "x" * 400_000), (5, "short one\n" + long)]
+    found = lines.remove_similar_lines(documents(spark, rows), distance=None, digits=True).collect()
+    assert {r.row.doc_id: r.n_removed for r in found} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}

@@ -39,6 +39,15 @@ class Stage(Staging):
             conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
+    def within(self, build: Callable[[Stage], DataFrame]) -> DataFrame:
+        """A staged table made of others, which go as soon as it is written."""
+        inner = Stage(self._spark)
+        try:
+            return self.table(build(inner))
+        finally:
+            inner.drop()
+
+
 _shipped: set[str] = set()
 
 
