@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections import Counter
 from re import _parser
@@ -84,6 +85,74 @@ def test_short_stretches_between_kept_ones_stay():
     assert html_text.main_text(page) == f"{LONG} Short. {LONG}"
 
 
+PROSE = (
+    "The council met on Monday evening to discuss the new bridge over the river, and after a long debate it agreed "
+    "that the work should begin in the spring of the coming year, weather permitting as ever"
+)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div id=content>{PROSE} {PROSE}<div class=ad>Buy</div><p>It ended at nine.</p></div>", f"{PROSE} {PROSE} It ended at nine."),
+        (f"<div id=content><p>First.</p><div class=advert>Buy</div><p>{PROSE}</p><p>{PROSE}</p></div>", f"First. {PROSE} {PROSE}"),
+        (f"<h1>The title</h1><div class='share-bar'>Share</div><p>{PROSE}</p><p>{PROSE}</p>", f"The title {PROSE} {PROSE}"),
+        (f"<div class='form-story'><p>{PROSE}</p></div>", PROSE),
+        (f"<div id='social-history'>{PROSE}</div>", PROSE),
+        (f"<p>{PROSE}</p><p><a href=x>A linked sentence of its own stands here</a></p><p>{PROSE}</p>",
+         f"{PROSE} A linked sentence of its own stands here {PROSE}"),
+        (f"<main>{PROSE} {PROSE[:90]}</main><div>{PROSE} and on it goes</div>", f"{PROSE} {PROSE[:90].strip()} {PROSE} and on it goes"),
+        (f"<aside><p>x</p><article><p>{PROSE}</p></article>", PROSE),
+        (f"<aside><p>x</p><article><p>{PROSE}</p></article></aside><p>{PROSE} too</p>", f"{PROSE} too"),
+        (f"<article><header><h1>Title</h1></header><p>{PROSE}</p></article>", f"Title {PROSE}"),
+        (f"<header><h1>Site</h1></header><div class=entry-header><h1>T</h1></div><p>{PROSE}</p>", f"T {PROSE}"),
+        (f"<div><p class=byline>By A. Writer</p><p>{PROSE}</p></div>", f"By A. Writer {PROSE}"),
+        (f"<div class='widget'><p>{PROSE}</p></div>", PROSE),  # names are not looked at where nothing else is left
+        (f"<div id=w><div id=content><p>{PROSE}</p><p>x</p></div><div class=footer>{PROSE}</div><div>legal</div></div>", f"{PROSE} x"),
+        (f"<div class='post-comments'>{PROSE}</div><div class=social-share>{PROSE}</div><p>{PROSE} only</p>", f"{PROSE} only"),
+        (f"<div id=main-nav>{PROSE}</div><p>{PROSE}</p><ul class=related-posts><li>{PROSE}</ul>", PROSE),
+    ],
+)
+def test_articles_are_kept_whole(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_generated_pages_without_marked_articles():
+    """An article in a container of any name, broken up by adverts, notices and shares, among what pages have."""
+    rng = random.Random(17)
+    words = "river bridge council spring work evening debate year plan money vote people city water road house".split()
+
+    def said(n):
+        return " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+
+    beside = ["<div class=ad-slot>{}</div>", "<div class='promo'>{}</div>", "<div class='share-buttons'>{}</div>"]
+    beside += ["<iframe>{}</iframe>", "<form><p>{}</p></form>", "<!-- {} -->", "<div class='newsletter-signup'>{}</div>"]
+    names = ["content", "story", "social-history", "form-of-verse", "text", "postbody", "header-image-story", "c1"]
+    for _ in range(300):
+        parts, text = [], []
+        if rng.random() < 0.5:
+            text.append(said(5))
+            parts.append(f"<h1>{text[-1]}</h1>")
+        for _ in range(rng.randrange(2, 9)):
+            text.append(said(rng.choice([3, 20, 40, 80])))
+            parts.append(f"<p>{text[-1]}</p>" if rng.random() < 0.8 else f"<blockquote>{text[-1]}</blockquote>")
+            if rng.random() < 0.4:
+                parts.append(rng.choice(beside).format(said(rng.choice([2, 30]))))
+        text.append(said(30))
+        parts.append(f"<p>{text[-1]}</p>")
+        page = f"<nav><ul><li><a href=/>{said(2)}</a></ul></nav><div class=header>{said(20)}</div>"
+        page += f"<div class='{rng.choice(names)}'>{''.join(parts)}</div>"
+        page += f"<div class='sidebar'><p>{said(40)}</p></div><section id=comments><p>{said(60)}</p></section>"
+        page += f"<footer>{said(30)}</footer>"
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == " ".join(text), page
+
+
+def test_a_very_long_page():
+    paragraph = f"<p>{PROSE}</p>"
+    page = f"<nav><a>x</a></nav><div>{paragraph * 20_000}</div><footer>f</footer>"
+    assert html_text.main_text(page) == " ".join([PROSE] * 20_000)
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (2, None, None), (None, "v", ""), (3, "w", f"<p>{LONG}")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text", "2 AS row")
