@@ -4,6 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is written a
 Parquet and read again as the next one's ``docs``. All but the last return the
 columns of ``documents``. A document of which a stage takes all words stays as an
 empty one; near-duplicate removal then keeps one of them.
+
+What a stage has staged goes when the next one begins, whose input is written by
+then: at any time the shared folder holds one stage's tables beside the results.
 """
 
 from __future__ import annotations
@@ -19,6 +22,18 @@ from tidemark.llm.shared import Stage
 ORACLE_SQL = None
 
 
+_stages: list[Stage] = []
+
+
+def _stage(spark: SparkSession) -> Stage:
+    """A place for the tables of one stage; those of the stage before go."""
+    for earlier in _stages:
+        if earlier.session is spark:
+            earlier.drop()
+    _stages[:] = [Stage(spark)]
+    return _stages[0]
+
+
 def _with_kept_text(found: DataFrame) -> DataFrame:
     """The rows with what is left of their texts, and its length where it changed."""
     changed = F.col("n_removed") > 0
@@ -36,29 +51,31 @@ def _with_kept_text(found: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not find toxic."""
-    classifier = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    classifier = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), stage=_stage(spark))
     return toxicity.scores(docs, classifier).where("score < 0.5").select("row.*")
 
 
 def drop_similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one."""
-    return _with_kept_text(lines.remove_similar_lines(docs, distance=None, digits=True))
+    return _with_kept_text(lines.remove_similar_lines(docs, distance=None, digits=True, stage=_stage(spark)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-equal fingerprints."""
-    return simhash.one_of_each(docs, simhash.simhash_components(docs, shingle=3, distance=3))
+    found = simhash.simhash_components(docs, shingle=3, distance=3, stage=_stage(spark))
+    return simhash.one_of_each(docs, found)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words that stand in an earlier one."""
-    return _with_kept_text(substring.remove_repeated(docs, window=50))
+    return _with_kept_text(substring.remove_repeated(docs, window=50, stage=_stage(spark)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of at most 2048 tokens."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(docs, vocabulary, capacity=2048, end_id=0).withColumnRenamed("id", "doc_id")
+    packed = packing.pack_documents(docs, vocabulary, capacity=2048, end_id=0, stage=_stage(spark))
+    return packed.withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
@@ -71,9 +88,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read again."""
-    stage = Stage(spark)
+    """All stages over ``documents``; each is written to the shared folder and read again, the last but one goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    results: list[Stage] = []
     for name, apply in STAGES:
-        docs = stage.table(apply(spark, docs, sf_dir), name)
+        result = Stage(spark)
+        docs = result.table(apply(spark, docs, sf_dir), name)
+        results.append(result)
+        if len(results) > 1:
+            results.pop(0).drop()
     return docs

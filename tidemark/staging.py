@@ -43,6 +43,10 @@ class Staging:
         self._spark = spark
         self._root: str | None = None
 
+    @property
+    def session(self) -> SparkSession:
+        return self._spark
+
     @property
     def root(self) -> str:
         if self._root is None:
