@@ -151,10 +151,13 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     rows that repeat the kept one's id and text, one stays.
     """
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rk")).alias("first")
-    kept = found.groupBy("root").agg(first).select(F.col("first.id").alias("id"), F.col("first.rk").alias("rk"))
+    kept = found.groupBy("root").agg(first).select("first.id", "first.rk", F.col("first.last").alias("missing"))
+    kind = docs.schema[id_col].dataType
+    # plain keys, by which the rows are exchanged once for the join and for what repeats
+    known = F.coalesce("id", F.lit("0").cast(kind))
+    kept = kept.select(known.alias("known"), "missing", "rk")
     row = F.struct(*[col(c) for c in docs.columns])
-    rows = docs.select(
-        row.alias("row"), col(id_col).alias("row_id"), F.xxhash64(text_or_empty(text_col)).alias("row_rk")
-    )
-    same = F.col("id").eqNullSafe(F.col("row_id")) & (F.col("rk") == F.col("row_rk"))
-    return rows.join(unbounded(kept), same, "left_semi").dropDuplicates(["row_id", "row_rk"]).select("row.*")
+    rows = docs.select(row.alias("row"), col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("rk"))
+    rows = rows.select("row", known.alias("known"), F.col("id").isNull().alias("missing"), "rk")
+    keys = ["known", "missing", "rk"]
+    return rows.join(unbounded(kept), keys, "left_semi").dropDuplicates(keys).select("row.*")
