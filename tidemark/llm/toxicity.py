@@ -23,7 +23,10 @@ _PLAIN = bytes.maketrans(bytes(range(128)), bytes(b if chr(b).isalnum() else 32
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and parameters of the fit; scoring covers every row, whatever these are."""
+    """Bounds of the labelled texts, of those fitted against them and of the features, and the fit's parameters.
+
+    Features are counted over all rows and scores cover every row, whatever these are.
+    """
 
     max_positive: int = 6_000
     max_unlabelled: int = 18_000
@@ -116,16 +119,40 @@ def held_out(id_col: str) -> Column:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many positive and unlabelled texts of a partition each feature occurs."""
-    schema = pa.schema([("feature", pa.string()), ("p", pa.int64()), ("u", pa.int64())])
-    counts = Counter(), Counter()
+    """In how many texts of a partition each feature occurs; for bounded tables."""
+    schema = pa.schema([("feature", pa.string()), ("n", pa.int64())])
+    counts = Counter()
     for b in batches:
-        for text, positive in zip(b.column("text").to_pylist(), b.column("positive").to_pylist()):
-            counts[0 if positive else 1].update({f for w in words_of(text) for f in features_of(w)})
-    names = [*(counts[0].keys() | counts[1].keys())]
+        for text in b.column("text").to_pylist():
+            counts.update({f for w in words_of(text) for f in features_of(w)})
+    names = [*counts]
     for at in range(0, len(names), 50_000):
-        some = names[at : at + 50_000]
-        yield batch(schema, some, [counts[0][f] for f in some], [counts[1][f] for f in some])
+        yield batch(schema, names[at : at + 50_000], [counts[f] for f in names[at : at + 50_000]])
+
+
+def _counts_of(features: dict[str, int]):
+    """In how many texts of a partition each of the numbered features occurs."""
+    schema = pa.schema([("feature", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, known = np.zeros(len(features), np.int64), {}
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                found: set[int] = set()
+                for word in words_of(text):
+                    own = known.get(word)
+                    if own is None:
+                        if len(known) > WORDS_KEPT:
+                            known.clear()
+                        own = known[word] = tuple(features[f] for f in features_of(word) if f in features)
+                    if own:
+                        found.update(own)
+                if found:
+                    counts[list(found)] += 1
+        at = np.flatnonzero(counts)
+        yield batch(schema, at, counts[at])
+
+    return run
 
 
 def _numbered(features: dict[str, int]):
@@ -154,16 +181,17 @@ def train(
     """A classifier from confirmed toxic texts and texts of unknown kind.
 
     Labels are read for rows that are not :func:`held_out`. Positive texts are those
-    labelled 1, unlabelled ones any texts, without a look at their label; of both,
-    at most ``max_positive`` and ``max_unlabelled`` rows with the smallest hashes of
-    their ids. The share of 1 among the labels is the class prior. Features are
-    words and word beginnings that occur more or less often in positive texts than
-    in unlabelled ones by ``least_z`` standard errors. Of several labels of a row the
-    largest counts; with no positive text that is there, nothing is toxic.
+    labelled 1, unlabelled ones any texts, without a look at their label; of both, at
+    most ``max_positive`` and ``max_unlabelled`` different rows with the smallest hashes of
+    id and text are fitted. The share of 1 among the labels is the class prior.
+    Features are words and word beginnings of at least ``least_count`` of these positive
+    texts, which occur more or less often there than in all rows that are not held out, by
+    ``least_z`` standard errors; at most ``max_features``, those that differ most. Of several
+    labels of a row the largest counts; rows that repeat an id and a text are one in the
+    fit; with no positive text that is there, nothing is toxic.
     """
     how = how or Training()
     stage = stage or Stage(docs.sparkSession)
-    order = F.xxhash64("id")
     marked = labels.where(~held_out(id_col) & col(label_col).isNotNull())
     marked = marked.groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).alias("label"))
     prior = marked.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
@@ -172,23 +200,35 @@ def train(
     rows = docs.where(~held_out(id_col) & col(id_col).isNotNull()).select(
         col(id_col).alias("id"), text_or_empty(text_col).alias("text")
     )
-    # as many ids as the bound says, so small enough to broadcast
-    toxic = stage.table(marked.where("label = 1").orderBy(order, "id").limit(how.max_positive).select("id"))
-    last = rows.select(order.alias("h")).orderBy("h").limit(how.max_unlabelled).agg(F.max("h")).first()[0]
-    positive = rows.join(F.broadcast(toxic), "id").select("text", F.lit(True).alias("positive"))
-    unlabelled = rows.where(order <= F.lit(last)).select("text", F.lit(False).alias("positive"))
-    sample = stage.table(positive.union(unlabelled))
+    rows = rows.withColumns({"h": F.xxhash64("id"), "k": F.xxhash64("text")})
+
+    def smallest(keyed: DataFrame, bound: int) -> DataFrame:
+        """The texts of so many different rows at most, so their keys are few enough to broadcast."""
+        keys = stage.table(keyed.select("h", "k").distinct().orderBy("h", "k").limit(bound))
+        return rows.join(F.broadcast(keys), ["h", "k"], "left_semi").dropDuplicates(["h", "k"])
+
+    toxic = stage.table(marked.where("label = 1").select("id"))
+    positive = smallest(rows.select("id", "h", "k").join(toxic, "id", "left_semi"), how.max_positive)
+    unlabelled = smallest(rows, how.max_unlabelled)
+    sample = stage.table(
+        positive.select("text", F.lit(True).alias("positive")).union(unlabelled.select("text", F.lit(False)))
+    )
     n = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     if not n.get(True) or not n.get(False):
         return Classifier()
 
-    counted = arrow_map(sample, _counts, "feature string, p bigint, u bigint")
-    counted = counted.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    rate = f"(p + u + 1) / {n[True] + n[False]}"
-    z = F.expr(f"abs(p / {n[True]} - u / {n[False]}) / sqrt({rate} * {1 / n[True] + 1 / n[False]!r}D)")
-    chosen = counted.where(F.col("p") + F.col("u") >= how.least_count).withColumn("z", z)
-    chosen = chosen.where(F.col("z") > how.least_z).orderBy(F.desc("z"), "feature").limit(how.max_features)
-    names = sorted(r["feature"] for r in chosen.select("feature").collect())
+    counted = arrow_map(sample.where("positive").select("text"), _counts, "feature string, n bigint")
+    counted = counted.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= how.least_count)
+    # words of at most max_positive texts
+    known = sorted((r["feature"], r["n"]) for r in counted.collect())
+    seen = arrow_map(rows.select("text"), _counts_of({f: i for i, (f, _) in enumerate(known)}), "feature int, n bigint")
+    p, u, whole = np.array([c for _, c in known], np.float64), np.zeros(len(known)), rows.count()
+    for r in seen.groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        u[r["feature"]] = r["n"]
+    rate = (p + u + 1) / (n[True] + whole)
+    z = np.abs(p / n[True] - u / whole) / np.sqrt(rate * (1 / n[True] + 1 / whole))
+    chosen = [i for i in np.argsort(-z, kind="stable")[: how.max_features].tolist() if z[i] > how.least_z]
+    names = sorted(known[i][0] for i in chosen)
     features = {f: i for i, f in enumerate(names)}
 
     texts = arrow_map(sample, _numbered(features), "positive boolean, found array<int>").toArrow()
