@@ -174,6 +174,56 @@ def test_fillings_are_undominated():
     assert packing.fillings(counts, 1) == [(1, ())]
 
 
+def slow_fillings(counts, room):
+    """All ways to fill, less those that one item more, or a longer one for one, makes fuller."""
+    items = [(x, int(counts[x])) for x in range(1, room + 1) if counts[x]]
+    ways = [(room, ())]
+    for x, n in items:
+        ways = [(w - k * x, (*own, *[x] * k)) for w, own in ways for k in range(min(n, w // x) + 1)]
+    good = set()
+    for waste, own in ways:
+        spare = [x for x, n in items if n > own.count(x)]
+        if not any(x <= waste or any(x > y and x - y <= waste for y in own) for x in spare):
+            good.add((waste, tuple(sorted(own, reverse=True))))
+    return good
+
+
+def test_no_undominated_filling_is_left_out():
+    rng = random.Random(3)
+    beyond = 0
+    for _ in range(300):
+        capacity = rng.choice([5, 9, 14, 20])
+        counts = np.zeros(capacity + 1, np.int64)
+        for _ in range(rng.randrange(1, 12)):
+            counts[rng.randrange(1, capacity + 1)] += 1
+        room = rng.randrange(capacity + 1)
+        found = [f for f in packing.every_filling(counts, room) if f is not None]
+        assert len(found) == len(set(found))
+        if room and counts[room]:
+            assert found == [(0, (room,))]
+        else:
+            assert slow_fillings(counts, room) <= set(found)
+            beyond += len(found) > len(packing.fillings(counts, room))
+    assert beyond > 20
+
+
+def test_a_filling_beyond_the_greedy_ones_is_found():
+    """Led by 6, ten is filled by 2 and 2 alone, and what leads is completed by the longest that fits, 3."""
+    counts = np.zeros(11, np.int64)
+    counts[[7, 6, 3, 2]] = 1, 1, 1, 2
+    assert (0, (6, 2, 2)) not in packing.fillings(counts, 10)
+    assert (0, (6, 2, 2)) in list(packing.every_filling(counts, 10))
+
+
+def test_packings_of_few_items_are_optimal_whatever_the_first_descent():
+    rng = random.Random(8)
+    for _ in range(150):
+        capacity = rng.choice([10, 16, 23, 30])
+        items = [rng.randrange(capacity // 5, capacity // 2 + 1) for _ in range(rng.randrange(1, 12))]
+        counts = np.bincount(items, minlength=capacity + 1)
+        assert sum(packing.pack(counts).values()) == fewest(items, capacity)
+
+
 @pytest.mark.parametrize("capacity", [16, 64, 2048])
 def test_packed_documents(spark, reference, capacity):
     rows = messy_rows() + [(400, "many words " * 300)]

@@ -18,8 +18,9 @@ from tidemark.llm.shared import Stage, arrow_map, col, text_or_empty
 
 #: Lengths of the members of one sequence, largest first.
 Filling = tuple[int, ...]
-#: Fillings tried around one largest item, and nodes of the search; the best found so far stands then.
-BRANCHES, NODES = 6, 6_000
+#: Fillings around one largest item that are tried first; nodes of the search, after which the best found so far
+#: stands; beginnings of fillings that count as a node.
+FIRST, NODES, LOOKED_AT = 6, 6_000, 200
 
 
 # --- the packing of a histogram ----------------------------------------------------
@@ -68,7 +69,7 @@ def best_fit(counts: np.ndarray) -> Counter[Filling]:
 
 
 def fillings(counts: np.ndarray, room: int) -> list[tuple[int, Filling]]:
-    """Undominated ways to fill ``room``: ``(waste, lengths)``, the least waste first.
+    """Promising ways to fill ``room``: ``(waste, lengths)``, the least waste first.
 
     A single item that fills it exactly dominates every other way. Otherwise each
     length that fits leads one filling, completed by the longest that still fit;
@@ -100,18 +101,59 @@ def fillings(counts: np.ndarray, room: int) -> list[tuple[int, Filling]]:
         waste = room - sum(lengths)
         if not any(w <= waste and set(other) >= set(lengths) for w, other in found):
             found.append((waste, tuple(lengths)))
-        if len(found) >= BRANCHES:
+        if len(found) >= FIRST:
             break
     return sorted(found)
 
 
+def every_filling(counts: np.ndarray, room: int) -> Iterator[tuple[int, Filling] | None]:
+    """The promising fillings, then all others that no filling dominates by one item more or by a longer one for one.
+
+    They are made as far as they are asked for; None stands for ``LOOKED_AT`` beginnings
+    of fillings that led to nothing.
+    """
+    first = fillings(counts, room)
+    yield from first
+    if not first[0][1] or first[0][1] == (room,):
+        return
+    told = {lengths for _, lengths in first}
+    have = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1]]
+    left = [int(counts[x]) for x in have]
+    looked = 0
+
+    def grow(rest: int, begin: int, most: int, chosen: Filling) -> Iterator[tuple[int, Filling] | None]:
+        """``most`` is the waste up to which no chosen item can be replaced by a longer one."""
+        nonlocal looked
+        looked += 1
+        if looked % LOOKED_AT == 0:
+            yield None
+        smallest = next((x for x, n in zip(reversed(have), reversed(left)) if n), room + 1)
+        if rest < smallest:
+            if rest <= most and chosen not in told:
+                yield rest, chosen
+            return
+        longer = None  # the next longer length that is left over
+        for n in range(len(have)):
+            x = have[n]
+            if n >= begin and x <= rest and left[n]:
+                allowed = most if longer is None else min(most, longer - x - 1)
+                left[n] -= 1
+                yield from grow(rest - x, n, allowed, (*chosen, x))
+                left[n] += 1
+            if left[n]:
+                longer = x
+
+    yield from grow(room, 0, room, ())
+
+
 def pack(counts: np.ndarray) -> Counter[Filling]:
     """How many sequences to fill in which way; ``counts[n]`` items of length n.
 
     Bin completion: around the largest item that is left, undominated fillings are
-    tried, the one with the least waste first and as often as its items last. A branch
-    ends when its waste shows that it can't beat the incumbent, which is the best-fit
-    packing at first; the search ends when the incumbent meets the lower bound.
+    tried, first some with little waste, each as often as its items last and then less
+    often. A branch ends when its waste shows that it can't beat the incumbent, which is
+    the best-fit packing at first; the search ends when the incumbent meets the lower
+    bound, when nothing is left to try, or after ``NODES`` steps.
     """
     capacity = len(counts) - 1
     best = best_fit(counts)
@@ -128,26 +170,39 @@ def pack(counts: np.ndarray) -> Counter[Filling]:
         largest = int(at[-1])
         without = left.copy()
         without[largest] -= 1
-        frames.append((iter(fillings(without, capacity - largest)), left, waste, largest))
+        frames.append((branches(without, left, largest, waste), left, waste, largest))
         return True
 
+    def branches(without: np.ndarray, left: np.ndarray, largest: int, waste: int):
+        """Fillings with how often they are used, most often first."""
+        for found in every_filling(without, capacity - largest):
+            if found is None:
+                yield None
+                continue
+            loss, lengths = found
+            need = Counter((largest, *lengths))
+            times = min(int(left[x]) // n for x, n in need.items())
+            allowed = (best_bins - 1) * capacity - total - waste  # more waste than this is no improvement
+            if loss:
+                times = min(times, allowed // loss)
+            for n in range(times, 0, -1):
+                yield loss, lengths, n
+
     open_frame(counts.astype(np.int64), 0)
     while frames and best_bins > bound and nodes < NODES:
         tried, left, waste, largest = frames[-1]
-        step = next(tried, None)
+        step = next(tried, ())
         del path[len(frames) - 1 :]
-        if step is None:
+        if step == ():
             frames.pop()
             continue
         nodes += 1
-        loss, lengths = step
+        if step is None:
+            continue
+        loss, lengths, times = step
         filling = (largest, *lengths)
         need = Counter(filling)
-        times = min(int(left[x]) // n for x, n in need.items())
-        allowed = (best_bins - 1) * capacity - total  # more waste than this is no improvement
-        if times > 1 and waste + loss * times > allowed:
-            times = max(1, (allowed - waste) // loss)
-        if waste + loss * times > allowed:
+        if waste + loss * times > (best_bins - 1) * capacity - total:  # the incumbent may be better by now
             continue
         after = left.copy()
         for x, n in need.items():
