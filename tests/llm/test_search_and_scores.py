@@ -85,6 +85,27 @@ def test_products_beyond_doubles():
     assert topk._products(big, other).tolist() == [[2**60 + 3, -(2**63) + 1]]
 
 
+def test_components_that_are_no_longs(spark):
+    rng = random.Random(4)
+    sizes = [1e-3, 1.0, 1e9, 1e17, 1e306, -1e306, 1.7e308]
+    rows = [(i, [rng.choice(sizes) * rng.uniform(0.5, 1) for _ in range(3)]) for i in range(40)]
+
+    def whole(x):
+        return 2**63 - 1024 if x > 2**53 and 1024 * x >= 2.0**63 else -(2**63) if 1024 * x < -(2.0**63) else math.floor(1024 * x)
+
+    expected = Counter()
+    for q, v in rows:
+        if q % 3 == 0:
+            scored = []
+            for i, w in rows:
+                score = sum(whole(a) * whole(b) for a, b in zip(v, w))
+                scored.append((-((score + 2**63) % 2**64 - 2**63), i))
+            for rank, (s, i) in enumerate(sorted(x for x in scored if x[1] != q)[:5], 1):
+                expected[(q, rank, i, -s)] += 1
+    found = topk.top_k(vectors(spark, rows), F.col("vec_id") % 3 == 0, k=5).collect()
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in found) == expected
+
+
 def test_no_vectors(spark):
     empty = vectors(spark, [])
     assert topk.top_k(empty, F.col("vec_id") % 3 == 0).count() == 0

@@ -18,12 +18,22 @@ _PACKED = pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("ids", pa.binar
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
+#: The doubles between which whole numbers are longs.
+_LEAST, _MOST = -(2.0**63), 2.0**63 - 1024
+
+
+def _whole(vectors: np.ndarray) -> np.ndarray:
+    """floor(1024 * x); what is no long is the nearest of these bounds."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(1024 * vectors), _LEAST, _MOST)
+
+
 def _pack(parts: int):
     """Rows of (id, vector) as rows of whole matrices, by dimension."""
 
     def matrices(held: list, dim: int) -> pa.RecordBatch:
         ids = np.array([x[0] for x in held], "<i8")
-        vectors = np.floor(1024 * np.array([x[1] for x in held], "<f8").reshape(len(held), dim))
+        vectors = _whole(np.array([x[1] for x in held], "<f8").reshape(len(held), dim))
         part = int(ids[0] * 0x9E3779B1 >> 7) % parts
         return batch(_PACKED, [dim], [part], [ids.tobytes()], [vectors.tobytes()])
 
@@ -47,10 +57,7 @@ def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     largest = np.abs(queries).max(initial=0.0) * np.abs(vectors).max(initial=0.0) * queries.shape[1]
     if largest < 2.0**53:  # every partial sum is a whole number that a double holds
         return (queries @ vectors.T).astype(np.int64)
-    whole = [[int(x) for x in row] for row in queries], [[int(x) for x in row] for row in vectors]
-    sums = [[sum(x * y for x, y in zip(q, v)) for v in whole[1]] for q in whole[0]]
-    wrapped = [[(s + 2**63) % 2**64 - 2**63 for s in row] for row in sums]
-    return np.array(wrapped, np.int64).reshape(len(queries), len(vectors))
+    return queries.astype(np.int64) @ vectors.astype(np.int64).T
 
 
 def _best(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -126,7 +133,8 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the k best of all other vectors.
 
-    Components count as floor(1024 * x); the score is their inner product, ties go
+    Components count as floor(1024 * x), at most the largest double that is a long and
+    at least the smallest; the score is their inner product, in which longs wrap. Ties go
     to the smaller id. Queries and vectors are packed into matrices of a fixed
     size in bytes. Every tile of queries meets every shard in some task: a shard's
     row is repeated per tile, a tile's row per group of shards, so that the work
