@@ -166,6 +166,7 @@ class Study:
 
     @cached_property
     def report_hour(self) -> DataFrame:
+        self.share("curve")  # the hours read it, and the levels behind the stores' values
         return reports.report_hour(self.by_hour, self.store_kpis_long, self.cfg)
 
     @cached_property
