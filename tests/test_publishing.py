@@ -123,6 +123,22 @@ def test_views_are_switched_last(spark, study, later, tmp_path, monkeypatch):
         spark.sql("DROP DATABASE set_test CASCADE")
 
 
+def test_a_study_can_publish_again_after_a_failure(spark, study, tmp_path, monkeypatch):
+    place = ReportFolder(spark, str(tmp_path / "again"))
+
+    def fail(*_, **__):
+        raise Killed
+
+    for broken in (1, 2):  # the second report is watched, and never written
+        done = []
+        monkeypatch.setattr(publishing, "write_report", lambda *a, **k: fail() if len(done) == broken else done.append(write_report(*a, **k)))
+        with pytest.raises(Killed):
+            study.publish_reports(place.folder)
+    monkeypatch.undo()
+    study.publish_reports(place.folder)
+    assert place.read("InfoOO").count() == study.report_level.count()
+
+
 def test_a_set_needs_one_place(study):
     for wrong in ({}, {"folder": "x", "tables": "y"}):
         with pytest.raises(ValueError):

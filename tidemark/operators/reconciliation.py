@@ -72,6 +72,11 @@ class Ledger:
         self._seen[name] = Observation()
         return table.observe(self._seen[name], *measures)
 
+    def forget(self, *names: str) -> None:
+        """Tables that are written anew, or were not written in the end: their totals are not waited for."""
+        for name in names:
+            self._seen.pop(name, None)
+
     def totals(self, name: str) -> Totals | None:
         return Totals(**self._seen[name].get) if name in self._seen else None
 

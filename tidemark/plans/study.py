@@ -47,7 +47,11 @@ class Study:
             if name not in self._shared:
                 table = getattr(self, name)
                 counted = name in ("level_outcomes", "by_level", "store_kpis")
-                self.__dict__[name] = self.staging.table(self.ledger.watch(name, table) if counted else table, name)
+                try:
+                    self.__dict__[name] = self.staging.table(self.ledger.watch(name, table) if counted else table, name)
+                except BaseException:
+                    self.ledger.forget(name)
+                    raise
                 self._shared.add(name)
 
     # selection
@@ -237,6 +241,7 @@ class Study:
         Outcome totals are compared before the first report and behind each: a
         difference that the definitions don't explain ends the writing.
         """
+        self.ledger.forget(*LEVEL_REPORTS)
         self.share("curve", "level_sums", "level_outcomes", "by_level", "store_kpis")
         self.ledger.check()
         for attribute, name in REPORT_NAMES.items():
