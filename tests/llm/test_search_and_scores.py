@@ -138,37 +138,6 @@ def test_held_out_rows_teach_nothing(spark):
     assert toxicity.train(documents(spark, rows), marked).weights == {}
 
 
-def test_features_are_counted_over_all_rows(spark, monkeypatch):
-    """A word of few fitted texts but of many rows gets its weight; one of all rows alike gets none."""
-    rows = [(i, f"plain common text {i % 7} vile") for i in range(40)]
-    rows += [(1000 + i, f"plain common text number {i % 11}" + " rude" * (i % 50 == 0)) for i in range(3000)]
-    marked = spark.createDataFrame([(i, int(i < 40)) for i, _ in rows], "doc_id bigint, toxic int")
-    asked = []
-    plain = toxicity._counts_of
-    monkeypatch.setattr(toxicity, "_counts_of", lambda features: asked.append(set(features)) or plain(features))
-    how = toxicity.Training(max_positive=30, max_unlabelled=60)
-    classifier = toxicity.train(documents(spark, rows), marked, how=how)
-    assert {"vile", "common", "plain"} <= asked[0] and "rude" not in asked[0]
-    assert classifier.weights["vile"] > 0 and "common" not in classifier.weights
-
-
-def test_an_id_that_repeats_adds_no_more_than_the_bound(spark, monkeypatch):
-    """One id, and one row, repeated 10,000 times: the fitted texts stay as many as the bounds say."""
-    rows = [(5, f"text number {i}") for i in range(10_000)] + [(7, "one and the same")] * 10_000
-    rows += [(100 + i, "vile words") for i in range(60)]
-    marked = spark.createDataFrame([(5, 1), (7, 1), *[(100 + i, 1) for i in range(60)], (1, 0)], "doc_id bigint, toxic int")
-    fitted = []
-
-    def fit(positive, unlabelled, size, prior, how):
-        fitted.append((len(positive), len(unlabelled)))
-        return np.zeros(size), 0.0
-
-    monkeypatch.setattr(toxicity, "fit_nnpu", fit)
-    how = toxicity.Training(max_positive=50, max_unlabelled=200)
-    toxicity.train(documents(spark, rows), marked, how=how)
-    assert fitted == [(50, 200)]
-
-
 def test_very_long_and_empty_texts_are_scored(spark):
     classifier = toxicity.Classifier({"vile": 3.0}, -1.0)
     rows = [(1, "plain " * 400_000 + "vile"), (2, "x" * 2_000_000), (3, ""), (4, None)]
