@@ -411,3 +411,46 @@ def test_a_very_long_line(spark):
     rows = [(1, long), (2, near), (3, sentence(rng, 90_000)), (4, "x" * 400_000), (5, "short one\n" + long)]
     found = lines.remove_similar_lines(documents(spark, rows), distance=None, digits=True).collect()
     assert {r.row.doc_id: r.n_removed for r in found} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+
+
+def test_anchored_distance_bounds_edit_distance():
+    rng = random.Random(15)
+    close = 0
+    for _ in range(300):
+        x = [rng.choice(["a", "bb", "the", "é", "same"]) if rng.random() < 0.5 else f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 25))]
+        y = list(x)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(3)] = [rng.choice(["x", "the", "w7"]) for _ in range(rng.randrange(3))]
+        a, b = " ".join(x), " ".join(y)
+        least, bound = slow_distance(a, b), lines.anchored_distance(a, b)
+        assert least <= bound
+        close += bound <= least + 6
+        a, b = a.replace("w", " "), b.replace("the", "")
+        assert slow_distance(a, b) <= lines.anchored_distance(a, b)
+    assert close > 200
+
+
+def test_near_copies_of_other_numbers_of_words_need_no_edit_distance(monkeypatch):
+    """Words left out, put in and replaced are told by alignment; the distance itself is quadratic."""
+    monkeypatch.setattr(lines, "levenshtein", None)
+    rng = random.Random(16)
+    for n in range(50):
+        x = [f"word{rng.randrange(500)}" for _ in range(120)]
+        y = list(x)
+        for at in sorted(rng.sample(range(1, 119), 6), reverse=True):
+            y[at : at + 1] = [[], ["put", "in"], ["other"]][rng.randrange(3)]
+        y.append("more")
+        assert lines.similar_lines(0.8)(" ".join(x), " ".join(y))
+
+
+def test_equal_groups_tell_the_same_pairs(spark):
+    """Of lines that meet in several groups in another order, the pairs with the smallest other are told, whatever the order."""
+    rng = np.random.default_rng(5)
+    told = []
+    for _ in range(6):
+        order = rng.permutation(60)
+        rows = line_blocks._unpacked([packed(order, np.zeros(60), np.zeros(60), rng.integers(80, 87, 60))])
+        x, y = line_blocks._Pairs(rows, False, 0.8, np.arange(60), True).run()
+        told.append({tuple(sorted(p)) for p in zip(rows["node"][x].tolist(), rows["node"][y].tolist())})
+    assert all(t == {(0, n) for n in range(1, 60)} for t in told)
