@@ -11,7 +11,7 @@ import xxhash
 from helpers import documents, edited, groups, messy_rows, sentence
 
 from tidemark.llm import line_blocks, lines, substring
-from tidemark.llm.shared import Stage, signed
+from tidemark.llm.shared import Stage, components, signed
 
 
 # --- repeated passages ---------------------------------------------------------
@@ -454,3 +454,17 @@ def test_equal_groups_tell_the_same_pairs(spark):
         x, y = line_blocks._Pairs(rows, False, 0.8, np.arange(60), True).run()
         told.append({tuple(sorted(p)) for p in zip(rows["node"][x].tolist(), rows["node"][y].tolist())})
     assert all(t == {(0, n) for n in range(1, 60)} for t in told)
+
+
+def test_few_links_need_no_rounds(spark):
+    rng = random.Random(17)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(n, n + 1) for n in range(400, 440)]
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    links = spark.createDataFrame(pairs, "hi bigint, lo bigint").repartition(7)
+    for few, tables in ((1000, 2), (1, 5)):
+        stage = Stage(spark)
+        found = {r.node: r.root for r in components(links, stage, few).collect()}
+        assert found == groups(pairs, linked)
+        written = len(os.listdir(stage.root.removeprefix("file://")))
+        assert written == tables if few > 1 else written >= tables
+        stage.drop()
