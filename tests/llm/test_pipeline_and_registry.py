@@ -10,6 +10,7 @@ from conftest import SF_DIR
 from helpers import COLUMNS, documents, messy_rows
 
 import corpus_pipeline
+from tidemark import staging
 from tidemark.llm import queries
 from tidemark.llm.shared import Stage
 
@@ -112,20 +113,16 @@ def test_staged_tables_go(spark):
     assert not os.path.exists(folder)
 
 
-def test_a_stage_frees_what_the_one_before_has_staged(spark, small_corpus, tmp_path):
+def test_a_stage_frees_what_the_one_before_has_staged(spark, small_corpus, tmp_path, monkeypatch):
     """After each stage the shared folder holds its result and its own tables; after run(), the result alone."""
     folder, _ = small_corpus
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        docs, found = spark.read.parquet(f"{folder}/documents.parquet"), []
-        for name, apply in corpus_pipeline.STAGES:
-            apply(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
-            docs = spark.read.parquet(f"{tmp_path}/{name}")
-            found.append(len(os.listdir(tmp_path / "shared")))
-        assert found == [1] * 5
-        result = corpus_pipeline.run(spark, folder)
-        assert len(os.listdir(tmp_path / "shared")) == 2  # the packed pieces, and what the last stage reads
-        assert result.count() > 0
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(staging, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    docs, found = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, apply in corpus_pipeline.STAGES:
+        apply(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        found.append(len(os.listdir(tmp_path / "shared")))
+    assert found == [1] * 5
+    result = corpus_pipeline.run(spark, folder)
+    assert len(os.listdir(tmp_path / "shared")) == 2  # the packed pieces, and what the last stage reads
+    assert result.count() > 0
