@@ -464,7 +464,7 @@ def test_few_links_need_no_rounds(spark):
     for few, tables in ((1000, 2), (1, 5)):
         stage = Stage(spark)
         found = {r.node: r.root for r in components(links, stage, few).collect()}
-        assert found == groups(pairs, linked)
+        assert found == groups([p for p in pairs if p[0] != p[1]], linked)
         written = len(os.listdir(stage.root.removeprefix("file://")))
         assert written == tables if few > 1 else written >= tables
         stage.drop()
